@@ -237,6 +237,13 @@ OPEN_QUESTIONS = {
     "mitigations": "Issues flagged but no mitigations requested.",
 }
 
+# --- FIXED VALUES: codes a generated packet may violate, and how many --------
+DIFFICULTY_POOLS = {
+    "easy": (["PII-001", "RETENTION-005", "EVAL-008"], 1),
+    "medium": (["ACCESS-002", "ESCALATION-003", "RETENTION-005", "AUDIT-007", "EVAL-008"], 2),
+    "hard": ([r[0] for r in RULES], 4),
+}
+
 CODES = [r[0] for r in RULES]
 RULE_NAME = {r[0]: r[1] for r in RULES}
 SEVERITY = {r[0]: r[3] for r in RULES}

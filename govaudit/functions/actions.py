@@ -15,6 +15,18 @@ def _kind(variant: Column) -> Column:
     return F.schema_of_variant(variant)
 
 
+def strict_json(text: Column) -> Column:
+    """VARIANT of a text that is exactly one JSON value, else NULL.
+
+    The parser stops after the first value and ignores what follows.  Inside
+    brackets, text after the value has to fit an array; inside braces, it has
+    to fit an object.  Nothing but blanks fits both.
+    """
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
+
+
 def parse_actions(log: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds the five action fields and ``valid``; fields are NULL when invalid.
 
@@ -24,7 +36,7 @@ def parse_actions(log: DataFrame, raw: str = "raw") -> DataFrame:
     """
     names = ["action_type", "target", "severity", "issue_code", "note"]
     doc = F.col("_doc")
-    parsed = log.withColumn("_doc", F.try_parse_json(F.col(raw)))
+    parsed = log.withColumn("_doc", strict_json(F.col(raw)))
     is_object = F.coalesce(_kind(doc).startswith("OBJECT"), F.lit(False))
     # VARIANT paths on a non-object are NULL, so the checks below are safe.
     parsed = parsed.select("*", *[
@@ -50,7 +62,7 @@ def split_valid(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    return strict_json(text).isNotNull()
 
 
 def _without_tag(part: Column) -> Column:

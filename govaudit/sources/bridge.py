@@ -55,6 +55,15 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "domain"))
 
 
+def template_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One patched template packet per part; codes are the low byte of its key."""
+    from govaudit.operators.synth import template_with_patches
+    return template_with_patches(
+        table(spark, sf_dir, "part")
+        .select(F.col("p_partkey").alias("packet_id"), codes_of_mask(F.col("p_partkey")).alias("truth"),
+                F.lower("p_type").alias("domain")))
+
+
 def _props_k() -> Column:
     return F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int")
 
