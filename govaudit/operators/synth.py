@@ -62,15 +62,16 @@ def best_domain(selected: Column, weights: Column, forced: Column | None = None)
 
     ``weights``: MAP<code, BIGINT> in ten-thousandths, so sums are exact.
     """
-    hosts = F.create_map(*[
-        x for d, _ in cat.DOMAINS
-        for x in (F.lit(d), F.array(*[F.lit(c) for c, ds in cat.AFFINITY.items() if d in ds]).cast(TEXTS))])
+    def weight_hosted(domain: str) -> Column:
+        codes = [c for c, ds in cat.AFFINITY.items() if domain in ds]
+        if not codes:
+            return F.lit(0).cast("bigint")
+        return F.aggregate(
+            F.filter(selected, lambda c: c.isin(*codes)), F.lit(0).cast("bigint"),
+            lambda a, c: a + F.coalesce(F.try_element_at(weights, c), F.lit(0)).cast("bigint"))
+
     scores = F.array(*[
-        F.struct(
-            F.aggregate(F.filter(selected, lambda c, d=d: F.array_contains(F.element_at(hosts, F.lit(d)), c)),
-                        F.lit(0).cast("bigint"),
-                        lambda a, c: a + F.coalesce(F.try_element_at(weights, c), F.lit(0)).cast("bigint")).alias("score"),
-            F.lit(-i).alias("up"), F.lit(d).alias("domain"))
+        F.struct(weight_hosted(d).alias("score"), F.lit(-i).alias("up"), F.lit(d).alias("domain"))
         for i, (d, _) in enumerate(cat.DOMAINS)])
     best = F.array_max(scores).getField("domain")
     return best if forced is None else F.coalesce(forced, best)

@@ -21,7 +21,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         builder = builder.config(key, value)
     spark = (builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
              .config("spark.driver.memory", memory)
-             .config("spark.ui.enabled", "false")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
