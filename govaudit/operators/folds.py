@@ -136,11 +136,19 @@ class MonotoneFold:
         items = F.when(~long, F.flatten(F.transform("_parts", lambda p: p.getField("items"))))
         return ends.select(*group, F.col("block").alias("piece"), "n", items.alias("items"), "base", cuts.alias("cuts"))
 
-    def final_states(self, pieces: DataFrame, group: list[str], bits: int = PIECE_BITS) -> DataFrame:
-        """(group..., state) after the whole ordered history of each group."""
+    def final_states(self, pieces: DataFrame, group: list[str], starts: DataFrame | None = None,
+                     bits: int = PIECE_BITS) -> DataFrame:
+        """(group..., state) after the ordered history of each group.
+
+        ``starts`` (group..., state) continues from earlier states; groups
+        without one begin at ``start``.
+        """
         blocks = self.combined(self.summaries(pieces, group), group, bits)
         whole = blocks.groupBy(*group).agg(F.array_sort(F.collect_list(
             F.struct("piece", F.struct("items", "base", "cuts").alias("s")))).alias("_b"))
+        begin = self._whole(self.start)
+        if starts is not None:
+            whole = whole.join(starts.select(*group, F.col("state").alias("_from")), group, "left")
+            begin = F.coalesce(self._whole(F.col("_from")), begin)
         return whole.select(*group, F.aggregate(
-            F.transform("_b", lambda b: b.getField("s")), self._whole(self.start),
-            lambda s, p: self._through(p, s)).alias("state"))
+            F.transform("_b", lambda b: b.getField("s")), begin, lambda s, p: self._through(p, s)).alias("state"))

@@ -57,6 +57,14 @@ def _piece_starts(agents: DataFrame) -> DataFrame:
                     F.element_at("marks", F.col("i") + 2).alias("end")))
 
 
+def _from_state(df: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """Adds ``start``: the agent's earlier rating, or the common one."""
+    if earlier is None:
+        return df.withColumn("start", F.lit(R["start"]))
+    return (df.join(earlier.select("agent", F.col("rating").alias("_rating")), "agent", "left")
+            .withColumn("start", F.coalesce("_rating", F.lit(R["start"]))).drop("_rating"))
+
+
 def _settle(blocks: DataFrame) -> DataFrame:
     """Exact starts for the blocks of very long histories.
 
@@ -72,9 +80,10 @@ def _settle(blocks: DataFrame) -> DataFrame:
         end = F.aggregate("parts", F.col("start"), lambda r, p: _after(p.getField("wins"), r))
         return cut_lineage(df.withColumn("end", end))
 
-    current = folded(blocks.withColumn("start", F.lit(R["start"])))
+    # ``start`` of the blocks comes in as the agent's rating before all of them.
+    current = folded(blocks.withColumn("first", F.col("start")))
     while True:
-        handed = current.withColumn("handed", F.coalesce(F.lag("end").over(chain), F.lit(R["start"])))
+        handed = current.withColumn("handed", F.coalesce(F.lag("end").over(chain), F.col("first")))
         if handed.filter(F.col("handed") != F.col("start")).isEmpty():
             return current
         current = folded(handed.withColumn("start", F.col("handed")).drop("handed", "end"))
@@ -86,9 +95,12 @@ def round_pieces(rounds: DataFrame, order: list[str], bits: int = PIECE_BITS) ->
     return cut_lineage(ordered_pieces(rounds, ["agent"], order, item, bits))
 
 
-def piece_ratings(pieces: DataFrame, long: int = LONG, bits: int = PIECE_BITS) -> DataFrame:
+def piece_ratings(pieces: DataFrame, earlier: DataFrame | None = None, long: int = LONG,
+                  bits: int = PIECE_BITS) -> DataFrame:
     """(agent, piece, n, start, end): exact rating around every piece.
 
+    ``earlier`` (agent, rating) is where the fold goes on from.
+
     Runs a job to see whether any agent has more than ``long`` rounds.  Agents
     below that are folded in one row each (one boolean per round); longer ones
     block by block, see ``_settle``.
@@ -102,9 +114,10 @@ def piece_ratings(pieces: DataFrame, long: int = LONG, bits: int = PIECE_BITS) -
         return df.groupBy("agent", *keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
 
     if hot.isEmpty():
-        return _piece_starts(parts(wins).withColumn("start", F.lit(R["start"])))
-    short = parts(wins.join(hot, "agent", "left_anti")).withColumn("start", F.lit(R["start"]))
-    blocks = parts(wins.join(hot, "agent", "left_semi"), F.shiftright("piece", bits).alias("block"))
+        return _piece_starts(_from_state(parts(wins), earlier))
+    short = _from_state(parts(wins.join(hot, "agent", "left_anti")), earlier)
+    blocks = _from_state(
+        parts(wins.join(hot, "agent", "left_semi"), F.shiftright("piece", bits).alias("block")), earlier)
     return _piece_starts(short).unionByName(_piece_starts(_settle(blocks)))
 
 

@@ -30,16 +30,30 @@ def miss_counts(outcomes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.sum("missed").cast("bigint").alias("missed"))
 
 
-def miss_rates(outcomes: DataFrame, order: list[str]) -> DataFrame:
-    """(agent, code, rate) after the ordered history; rate in ten-thousandths."""
-    pieces = ordered_pieces(outcomes, ["agent", "code"], order, F.col("missed"))
-    return MISS_RATE.final_states(pieces, ["agent", "code"]).withColumnRenamed("state", "rate")
+def miss_rates(outcomes: DataFrame, order: list[str], earlier: DataFrame | None = None) -> DataFrame:
+    """(agent, code, rate) after the ordered history; rate in ten-thousandths.
+    ``earlier`` (agent, code, rate) is where the fold goes on from."""
+    key = ["agent", "code"]
+    pieces = ordered_pieces(outcomes, key, order, F.col("missed"))
+    starts = None if earlier is None else earlier.select(*key, F.col("rate").alias("state"))
+    return MISS_RATE.final_states(pieces, key, starts).withColumnRenamed("state", "rate")
+
+
+def observed_state(outcomes: DataFrame, order: list[str], earlier: DataFrame | None = None) -> DataFrame:
+    """agent, code, total, missed, rate for codes with new history."""
+    key = ["agent", "code"]
+    seen = miss_counts(outcomes).join(miss_rates(outcomes, order, earlier), key)
+    if earlier is None:
+        return seen
+    return (earlier.alias("old").join(seen.alias("new"), key, "full")
+            .select(*key, *[(F.coalesce(f"new.{n}", F.lit(0)) + F.coalesce(f"old.{n}", F.lit(0))).alias(n)
+                            for n in ("total", "missed")],
+                    F.coalesce("new.rate", "old.rate").alias("rate")))
 
 
 def weakness_state(outcomes: DataFrame, order: list[str]) -> DataFrame:
     """All eight codes per agent; codes without history get 0, 0, 0.5."""
-    known = miss_counts(outcomes).join(miss_rates(outcomes, order), ["agent", "code"])
-    return with_default_rows(known)
+    return with_default_rows(observed_state(outcomes, order))
 
 
 def with_default_rows(state: DataFrame) -> DataFrame:

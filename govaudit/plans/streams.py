@@ -1 +1,84 @@
+"""The same questions asked of streams, over the data that is there."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from govaudit import catalog as cat
+from govaudit.functions.actions import parse_actions
+from govaudit.operators import scan
+from govaudit.plans import sql
+from govaudit.plans.history import ROUNDS, WEAKNESS, _HISTORY
+from govaudit.plans.registry import query
+from govaudit.sources import bridge
+from govaudit.streaming import activity, incremental, scorer
+from govaudit.streaming.files import run_available, stream_table
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return stream_table(spark, sf_dir, f"{name}.parquet")
+
+
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actions = parse_actions(bridge.actions_from(_stream(spark, sf_dir, "events")))
+    return actions.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(sql.query("SELECT packet_id, sector, array_to_string(detected, ',') AS detected FROM scan", "scan"))
+def streamed_packet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets = bridge.packets_from(_stream(spark, sf_dir, "customer"))
+    found = scan.scan(packets).select("packet_id", "sector", F.array_join("detected", ",").alias("detected"))
+    return run_available(found, "packet-scan")
+
+
+@query(sql.query("""
+  SELECT a.episode_id, a.seq,
+    CASE WHEN s.seq IS NOT NULL THEN 'scored' WHEN a.seq > e.end_seq THEN 'post_terminal_action' ELSE 'invalid' END AS status,
+    round(CASE WHEN s.seq IS NOT NULL THEN s.reward WHEN a.seq > e.end_seq THEN 0.0 ELSE -0.5 END, 6) AS reward
+  FROM actions a LEFT JOIN steps s ON s.episode_id = a.episode_id AND s.seq = a.seq
+  LEFT JOIN (SELECT episode_id, seq AS end_seq FROM steps WHERE terminal) e ON e.episode_id = a.episode_id""",
+    "actions", "steps"))
+def streamed_review_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = bridge.packets(spark, sf_dir).select(
+        "packet_id", "truth", "expected_risk", "expected_decision",
+        F.array(*[F.lit(a) for a in cat.ARTIFACTS]).alias("artifact_names"))
+    scored = run_available(scorer.score_stream(_actions(spark, sf_dir).join(facts, "packet_id")), "scores")
+    return (scored.filter("status <> 'silent'")
+            .select("episode_id", "seq", "status", F.round("reward", 6).alias("reward")))
+
+
+@query(sql.query("SELECT agent, round(elo_after, 4) AS rating, CAST(n AS BIGINT) AS n_rounds FROM history WHERE age = 1",
+                 extra={"rounds": ROUNDS, "history": _HISTORY}))
+def streamed_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounds = bridge.rounds_from(_stream(spark, sf_dir, "orders"))
+    state = incremental.streamed_ratings(rounds, bridge.ROUND_ORDER)
+    return state.select("agent", F.round("rating", 4).alias("rating"), "n_rounds")
+
+
+@query(sql.query("SELECT agent, code, total, missed, CAST(rate AS BIGINT) AS rate FROM rates", extra={
+    k: WEAKNESS[k] for k in ("misses", "rates")}))
+def streamed_weakness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = bridge.miss_outcomes_from(_stream(spark, sf_dir, "lineitem"))
+    return incremental.streamed_weakness(outcomes, bridge.MISS_ORDER)
+
+
+@query(sql.query("""
+  SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(action_type, 'invalid') AS action_type, CAST(count(*) AS BIGINT) AS n_actions
+  FROM (SELECT *, date_trunc('day', ts) AS day, max(ts) OVER () - INTERVAL 1 HOUR AS mark FROM actions)
+  WHERE day + INTERVAL 1 DAY <= mark GROUP BY ALL""", "actions"))
+def streamed_action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = run_available(activity.action_counts(_actions(spark, sf_dir)), "action-counts")
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "action_type", "n_actions")
+
+
+@query(sql.query("""
+  SELECT agent, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, CAST(count(*) AS BIGINT) AS n_actions
+  FROM (SELECT *, sum(is_new) OVER (PARTITION BY agent ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS session FROM (
+    SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY agent ORDER BY ts, seq) + INTERVAL 12 HOUR OR
+        lag(ts) OVER (PARTITION BY agent ORDER BY ts, seq) IS NULL THEN 1 ELSE 0 END AS is_new,
+      max(ts) OVER () - INTERVAL 1 HOUR AS mark FROM actions))
+  GROUP BY agent, session HAVING max(ts) + INTERVAL 12 HOUR <= max(mark)""", "actions"))
+def streamed_reviewer_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = run_available(activity.reviewer_sessions(_actions(spark, sf_dir)), "sessions")
+    return sessions.select("agent", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n_actions")

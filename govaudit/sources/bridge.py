@@ -35,12 +35,19 @@ def codes_of_mask(mask: Column) -> Column:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One launch packet per customer; planted codes are the low byte of its key."""
+    return packets_from(table(spark, sf_dir, "customer"))
+
+
+def packets_from(customers: DataFrame) -> DataFrame:
+    """One launch packet per customer; planted codes are the low byte of its key.
+
+    Works on a batch or a stream of customers.
+    """
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     days = F.when(F.array_contains("truth", "RETENTION-005"), 91 + 10 * nation).otherwise(30 + 2 * nation)
     risk, decision = outcome_for(F.col("truth"))
     approve = F.size("truth") == 0
-    return (table(spark, sf_dir, "customer")
+    return (customers
             .select(key, nation, "c_mktsegment", codes_of_mask(key).alias("truth"))
             .withColumn("domain", pick([d[1] for d in cat.DOMAINS], nation % 10))
             .select(
@@ -73,6 +80,10 @@ def _episode() -> tuple[Column, Column]:
     return bucket, F.concat_ws("-", F.col("user_id").cast("string"), bucket.cast("string"))
 
 
+def packet_of(agent: Column, bucket: Column) -> Column:
+    return (agent * 3 + bucket) % EPISODE_PACKETS
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which packet each review episode is about, and who reviews it."""
     bucket, episode = _episode()
@@ -80,7 +91,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(episode.alias("episode_id"), F.col("user_id").alias("agent"), bucket.alias("bucket"))
             .distinct()
             .select("episode_id", "agent", "bucket",
-                    ((F.col("agent") * 3 + F.col("bucket")) % EPISODE_PACKETS).alias("packet_id")))
+                    packet_of(F.col("agent"), F.col("bucket")).alias("packet_id")))
 
 
 MALFORMED = [
@@ -101,7 +112,14 @@ DECIDE = [*cat.DECISIONS, cat.FINALIZE]
 
 
 def raw_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review log with one raw JSON action per event: episode_id, seq, ts, agent, raw."""
+    return actions_from(table(spark, sf_dir, "events"))
+
+
+def actions_from(events: DataFrame) -> DataFrame:
+    """Review log with one raw JSON action per event: episode_id, seq, ts, agent, raw.
+
+    Works on a batch or a stream of events.
+    """
     bucket, episode = _episode()
     k = F.col("k")
     tens = F.floor(k / 10).cast("int")
@@ -131,23 +149,32 @@ def raw_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 10 == 0, F.concat(F.lit('{"action_type": "'), pick(DECIDE, tens % 4), F.lit('"}')))
         .when(k % 10 == 1, pick(MALFORMED, tens))
         .otherwise(inspect))
-    return (table(spark, sf_dir, "events")
+    return (events
             .withColumn("k", _props_k())
             .select(episode.alias("episode_id"), F.col("event_id").alias("seq"), "ts",
-                    F.col("user_id").alias("agent"), raw.alias("raw")))
+                    F.col("user_id").alias("agent"), packet_of(F.col("user_id"), bucket).alias("packet_id"),
+                    raw.alias("raw")))
 
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds_from(table(spark, sf_dir, "orders"))
+
+
+def rounds_from(orders: DataFrame) -> DataFrame:
     """Scored review rounds per agent: agent, played_at, round_id, overall."""
-    return (table(spark, sf_dir, "orders")
+    return (orders
             .select(F.col("o_custkey").alias("agent"), F.col("o_orderdate").alias("played_at"),
                     F.col("o_orderkey").alias("round_id"),
                     (F.col("o_totalprice") / 500000.0).alias("overall")))
 
 
 def miss_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return miss_outcomes_from(table(spark, sf_dir, "lineitem"))
+
+
+def miss_outcomes_from(lineitem: DataFrame) -> DataFrame:
     """One row per agent and planted code: was it missed?  Ordered by four keys."""
-    return (table(spark, sf_dir, "lineitem")
+    return (lineitem
             .select(F.col("l_suppkey").alias("agent"),
                     pick(cat.CODES, F.col("l_partkey") % 8).alias("code"),
                     F.col("l_shipdate").alias("seen_at"), F.col("l_orderkey").alias("k1"),
