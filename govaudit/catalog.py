@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from govaudit.functions.sqltext import mapping, texts
+
 # --- FIXED VALUES: rules (code, name, description, severity, artifact) -------
 RULES = [
     ("PII-001", "No Raw PII in Logs",
@@ -291,7 +293,7 @@ def affinity(spark: SparkSession) -> DataFrame:
 # --- Column helpers over the fixed values ------------------------------------
 
 def literal_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.expr(mapping(values))
 
 
 def severity_of(code: Column, default: str = "medium") -> Column:
@@ -300,7 +302,7 @@ def severity_of(code: Column, default: str = "medium") -> Column:
 
 
 def codes_array() -> Column:
-    return F.array(*[F.lit(c) for c in CODES])
+    return F.expr(texts(CODES))
 
 
 def band(value: Column, bands: list[tuple[float, str]], otherwise: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from govaudit.catalog import ARTIFACTS
+from govaudit.functions.sqltext import text
 
 Piece = tuple[str | None, str, str]
 
@@ -92,65 +93,70 @@ TEMPLATE: dict[str, str] = {
 }
 
 
-def _fill(text: str, values: dict[str, Column]) -> Column:
-    """The text with its ``{name}`` holes filled, as one concat."""
-    parts, rest = [], text
-    while rest:
-        holes = [(rest.find("{" + n + "}"), n) for n in values if "{" + n + "}" in rest]
-        if not holes:
-            parts.append(F.lit(rest))
-            break
-        at, name = min(holes)
-        if at:
-            parts.append(F.lit(rest[:at]))
-        parts.append(values[name].cast("string"))
-        rest = rest[at + len(name) + 2:]
-    return F.concat(*parts) if parts else F.lit("")
-
-
-def planted_artifacts(truth: Column, domain: Column, days: Column) -> Column:
-    """STRUCT with one text field per artifact; violates exactly ``truth``."""
+def _fill(piece: str, values: dict[str, str]) -> str:
+    """SQL for the text with its ``{name}`` holes filled by expressions."""
+    parts = [piece]
+    for name, expression in values.items():
+        hole = "{" + name + "}"
+        for k in range(len(parts) - 1, -1, -1):
+            if isinstance(parts[k], str) and hole in parts[k]:
+                cut: list = []
+                for bit in parts[k].split(hole):
+                    cut += [bit, (expression,)]
+                parts[k:k + 1] = cut[:-1]
+    done = [f"CAST({p[0]} AS STRING)" if isinstance(p, tuple) else text(p) for p in parts if p]
+    return "concat(" + ", ".join(done or ["''"]) + ")"
+
+
+def _fields(values: dict[str, str]) -> Column:
+    return F.expr("named_struct(" + ", ".join(f"{text(n)}, {v}" for n, v in values.items()) + ")")
+
+
+def planted_artifacts(truth: str, domain: str, days: str) -> Column:
+    """STRUCT with one text field per artifact; violates exactly ``truth``.
+
+    The arguments are SQL expressions: an array of codes, a text, a number.
+    """
     values = {"domain": domain, "days": days}
-    fields = []
-    for name in ARTIFACTS:
-        pieces = [
-            _fill(on, values) if code is None else
-            F.when(F.array_contains(truth, code), _fill(on, values)).otherwise(_fill(off, values))
-            for code, on, off in PIECES[name]]
-        fields.append(F.concat(*pieces).alias(name))
-    return F.struct(*fields)
 
+    def piece(code: str | None, on: str, off: str) -> str:
+        if code is None:
+            return _fill(on, values)
+        return f"CASE WHEN array_contains({truth}, {text(code)}) THEN {_fill(on, values)} ELSE {_fill(off, values)} END"
 
-def template_artifacts(domain: Column) -> Column:
-    values = {"domain": domain, "title": F.initcap(domain)}
-    return F.struct(*[_fill(TEMPLATE[n], values).alias(n) for n in ARTIFACTS])
+    return _fields({n: "concat(" + ", ".join(piece(*p) for p in PIECES[n]) + ")" for n in ARTIFACTS})
 
 
-def patched(artifacts: Column, planted: Column) -> Column:
+def template_artifacts(domain: str) -> Column:
+    values = {"domain": domain, "title": f"initcap({domain})"}
+    return _fields({n: _fill(TEMPLATE[n], values) for n in ARTIFACTS})
+
+
+def patched(artifacts: str, planted: str) -> Column:
     """Artifact struct with the patch of every code in ``planted`` applied.
 
     Patches of different codes touch different artifacts, so their order does
     not matter and one projection applies them all.
     """
-    by_artifact = {artifact: (code, text) for code, (artifact, text) in PATCHES.items()}
-    fields = []
-    for name in ARTIFACTS:
-        old = artifacts.getField(name)
-        if name in by_artifact:
-            code, text = by_artifact[name]
-            new = F.concat(F.coalesce(old, F.lit("")), F.lit(text)) if code == APPENDED else F.lit(text)
-            old = F.when(F.array_contains(planted, code), new).otherwise(old)
-        fields.append(old.alias(name))
-    return F.struct(*fields)
-
-
-def as_map(artifacts: Column) -> Column:
+    by_artifact = {artifact: (code, patch) for code, (artifact, patch) in PATCHES.items()}
+
+    def field(name: str) -> str:
+        old = f"{artifacts}.`{name}`"
+        if name not in by_artifact:
+            return old
+        code, patch = by_artifact[name]
+        new = f"concat(coalesce({old}, ''), {text(patch)})" if code == APPENDED else text(patch)
+        return f"CASE WHEN array_contains({planted}, {text(code)}) THEN {new} ELSE {old} END"
+
+    return _fields({n: field(n) for n in ARTIFACTS})
+
+
+def as_map(artifacts: str) -> Column:
     """Artifact struct as MAP<STRING,STRING>, missing artifacts left out."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("key"), artifacts.getField(n).alias("value"))
-                      for n in ARTIFACTS])
-    return F.map_from_entries(F.filter(pairs, lambda p: p.value.isNotNull()))
+    pairs = ", ".join(f"struct({text(n)} AS key, {artifacts}.`{n}` AS value)" for n in ARTIFACTS)
+    return F.expr(f"map_from_entries(filter(array({pairs}), p -> p.value IS NOT NULL))")
 
 
-def as_struct(artifacts: Column) -> Column:
+def as_struct(artifacts: str) -> Column:
     """MAP<STRING,STRING> of artifacts as a struct with the catalog's fields."""
-    return F.struct(*[F.try_element_at(artifacts, F.lit(n)).alias(n) for n in ARTIFACTS])
+    return _fields({n: f"try_element_at({artifacts}, {text(n)})" for n in ARTIFACTS})

@@ -1,82 +1,64 @@
-"""Phrase search with negation, as Catalyst columns."""
+"""Phrase search with negation, as Spark SQL expressions.
 
-from __future__ import annotations
+The functions take and return SQL text; ``F.expr`` makes Columns of it.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from govaudit.catalog import NEGATORS
+from govaudit.functions.sqltext import any_of, bind, text, texts
 
 # White space and the punctuation stripped from a word before it is compared.
-WHITESPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+WHITESPACE = "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 PUNCTUATION = ".,;:\"'()"
 LOOK_BACK_CHARS, LOOK_BACK_WORDS = 50, 6
 
 
-def contains_any(text: Column, needles: list[str]) -> Column:
-    out = text.contains(needles[0])
-    for needle in needles[1:]:
-        out = out | text.contains(needle)
-    return out
-
+def contains_any(value: str, needles: list[str]) -> str:
+    return any_of(f"contains({value}, {text(n)})" for n in needles)
 
-def first_non_null(values: list[Column]) -> Column:
-    return F.coalesce(*values) if len(values) > 1 else values[0]
 
-
-def _check_phrase(phrase: str) -> None:
+def _pieces(value: str, phrase: str) -> str:
     if not phrase:
         raise ValueError("empty phrase")
     if any(phrase.startswith(phrase[i:]) for i in range(1, len(phrase))):
         # split() would skip an occurrence that overlaps the one before it
         raise ValueError(f"phrase {phrase!r} can overlap itself")
+    return f"split({value}, {text(chr(92) + 'Q' + phrase + chr(92) + 'E')}, -1)"
 
 
-def _contexts(text: Column, phrase: str) -> Column:
-    """One string per occurrence of ``phrase``: the 50 characters before it.
+def _asserted_at(pieces: str, index: str, phrase: str, negators: list[str]) -> str:
+    """Is there no negator among the last words before the occurrence?
 
-    Only as many neighbouring pieces are joined as can reach into those 50
-    characters, so a text with n occurrences costs O(n), not O(n^2).
+    Only as many neighbouring pieces are joined as can reach into the 50
+    characters before it, so a text with n occurrences costs O(n), not O(n^2).
     """
-    _check_phrase(phrase)
-    pieces = F.split(text, r"\Q" + phrase + r"\E", -1)
     reach = LOOK_BACK_CHARS // len(phrase) + 2
-    index = F.sequence(F.lit(1), F.size(pieces) - 1)
-    return F.when(
-        F.size(pieces) > 1,
-        F.transform(index, lambda i: F.right(
-            F.array_join(
-                F.slice(pieces, F.greatest(F.lit(1), i - reach + 1), F.least(i, F.lit(reach))),
-                phrase),
-            F.lit(LOOK_BACK_CHARS))),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def _negated(context: Column, negators: list[str]) -> Column:
-    words = F.filter(F.split(context, WHITESPACE), lambda w: w != "")
-    last = F.slice(words, F.greatest(F.lit(1), F.size(words) - LOOK_BACK_WORDS + 1),
-                   F.lit(LOOK_BACK_WORDS))
-    bare = F.transform(last, lambda w: F.btrim(w, F.lit(PUNCTUATION)))
-    return F.arrays_overlap(bare, F.array(*[F.lit(n) for n in negators]))
-
-
-def occurrences(text: Column, phrase: str) -> Column:
+    before = (f"right(array_join(slice({pieces}, greatest(1, {index} - {reach - 1}), least({index}, {reach})), "
+              f"{text(phrase)}), {LOOK_BACK_CHARS})")
+    words = f"filter(split({before}, {text(WHITESPACE)}), w -> w <> '')"
+    bare = (f"transform(slice(ws, greatest(1, size(ws) - {LOOK_BACK_WORDS - 1}), {LOOK_BACK_WORDS}), "
+            f"w -> btrim(w, {text(PUNCTUATION)}))")
+    return bind(words, "ws", f"NOT arrays_overlap({bare}, {texts(negators)})")
+
+
+def occurrences(value: str, phrase: str) -> str:
     """How often the phrase occurs in the whole text."""
-    _check_phrase(phrase)
-    return F.size(F.split(text, r"\Q" + phrase + r"\E", -1)) - 1
+    return f"(size({_pieces(value, phrase)}) - 1)"
 
 
-def asserted_occurrences(text: Column, phrase: str, negators: list[str] = NEGATORS) -> Column:
-    """How many occurrences have no negator among the last six words before."""
-    return F.size(F.filter(_contexts(text, phrase), lambda c: ~_negated(c, negators)))
+def asserted_occurrences(value: str, phrase: str, negators: list[str] = NEGATORS) -> str:
+    """How many occurrences have no negator among the six words before."""
+    free = f"filter(sequence(1, size(ps) - 1), i -> {_asserted_at('ps', 'i', phrase, negators)})"
+    return bind(_pieces(value, phrase), "ps", f"CASE WHEN size(ps) > 1 THEN size({free}) ELSE 0 END")
 
 
-def asserts(text: Column, phrase: str, negators: list[str] = NEGATORS) -> Column:
+def asserts(value: str, phrase: str, negators: list[str] = NEGATORS) -> str:
     """Does at least one occurrence of the phrase stand un-negated?
 
     The cheap ``contains`` test runs first, so texts without the phrase never
     enter the array expressions.
     """
-    return F.when(text.contains(phrase),
-                  F.exists(_contexts(text, phrase), lambda c: ~_negated(c, negators))
-                  ).otherwise(F.lit(False))
+    found = f"exists(sequence(1, size(ps) - 1), i -> {_asserted_at('ps', 'i', phrase, negators)})"
+    return (f"CASE WHEN contains({value}, {text(phrase)}) THEN {bind(_pieces(value, phrase), 'ps', found)} "
+            "ELSE false END")

@@ -1,88 +1,85 @@
-"""Policy rules as Column builders.
+"""Policy rules as Spark SQL expressions.
 
-A rule is ``fn(artifact) -> Column`` where ``artifact(name)`` yields the raw
-text of an artifact ('' when missing) and ``artifact(name, lower=True)`` its
-lower-cased text.  The result is the violation message, or NULL for a pass.
-New rules are added by passing a larger registry to the scan.
+A rule is ``fn(artifact) -> SQL text`` where ``artifact(name)`` is the name of
+the column with the raw text of an artifact ('' when missing) and
+``artifact(name, lower=True)`` that of its lower-cased text.  The expression
+yields the violation message, or NULL for a pass.  New rules are added by
+passing a larger registry to the scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from govaudit import catalog as cat
-from govaudit.functions.text import asserts, contains_any, first_non_null
+from govaudit.functions.sqltext import text
+from govaudit.functions.text import asserts, contains_any
 
-Artifact = Callable[..., Column]
-Rule = Callable[[Artifact], Column]
+Artifact = Callable[..., str]
+Rule = Callable[[Artifact], str]
 
 
-def raw_pii_logged(artifact: Artifact) -> Column:
+def raw_pii_logged(artifact: Artifact) -> str:
     raw, low = artifact("logging_policy.yaml"), artifact("logging_policy.yaml", lower=True)
     captured = contains_any(low, ["raw_prompt_capture: enabled", "capture: full"])
-    unfiltered = low.rlike(cat.PII_FILTER_OFF) | ~low.contains("pii_filter")
-    evidence = F.left(F.regexp_extract(raw, cat.PII_SNIPPET, 0), F.lit(80))
-    return F.when(captured & unfiltered, F.format_string(cat.RULE_MESSAGES["PII-001"], evidence))
+    unfiltered = f"({low} RLIKE {text(cat.PII_FILTER_OFF)} OR NOT contains({low}, 'pii_filter'))"
+    evidence = f"left(regexp_extract({raw}, {text(cat.PII_SNIPPET)}, 0), 80)"
+    return f"CASE WHEN {captured} AND {unfiltered} THEN format_string({text(cat.RULE_MESSAGES['PII-001'])}, {evidence}) END"
 
 
-def unjustified_access(artifact: Artifact) -> Column:
+def unjustified_access(artifact: Artifact) -> str:
     low = artifact("data_sources.json", lower=True)
     sensitive = contains_any(low, ['"sensitive": true', '"sensitive":true'])
-    return F.when(sensitive & ~low.contains("least_privilege"), F.lit(cat.RULE_MESSAGES["ACCESS-002"]))
+    return (f"CASE WHEN {sensitive} AND NOT contains({low}, 'least_privilege') "
+            f"THEN {text(cat.RULE_MESSAGES['ACCESS-002'])} END")
 
 
-def missing_escalation(artifact: Artifact) -> Column:
+def missing_escalation(artifact: Artifact) -> str:
     risky = contains_any(artifact("model_card.json", lower=True), ["high", "critical"])
     oversight = artifact("human_oversight.md", lower=True)
-    start = F.locate("escalation", oversight)
-    section = F.substring(oversight, start, F.lit(300))
+    section = f"substring({oversight}, locate('escalation', {oversight}), 300)"
     message = cat.RULE_MESSAGES["ESCALATION-003"]
-    found = first_non_null([
-        F.when(section.rlike(p), F.lit(message.replace("%s", p))) for p in cat.INCOMPLETE_PLAN])
-    return F.when(risky, F.when(start == 0, F.lit(cat.RULE_MESSAGES["ESCALATION-003/absent"]))
-                  .otherwise(found))
+    signs = " ".join(f"WHEN {section} RLIKE {text(p)} THEN {text(message.replace('%s', p))}" for p in cat.INCOMPLETE_PLAN)
+    return (f"CASE WHEN NOT {risky} THEN NULL WHEN NOT contains({oversight}, 'escalation') "
+            f"THEN {text(cat.RULE_MESSAGES['ESCALATION-003/absent'])} {signs} END")
 
 
-def prohibited_domain(artifact: Artifact) -> Column:
+def prohibited_domain(artifact: Artifact) -> str:
     spec = artifact("product_spec.md", lower=True)
     message = cat.RULE_MESSAGES["DOMAIN-004"]
-    return first_non_null([
-        F.when(asserts(spec, phrase), F.lit(message.replace("%s", shown)))
-        for phrase, shown in cat.PROHIBITED])
+    return "CASE " + " ".join(
+        f"WHEN {asserts(spec, phrase)} THEN {text(message.replace('%s', shown))}" for phrase, shown in cat.PROHIBITED) + " END"
 
 
-def retention_too_long(artifact: Artifact) -> Column:
+def retention_too_long(artifact: Artifact) -> str:
     # Compared as digit strings: no cast, so no length of number can overflow.
-    digits = F.regexp_extract(artifact("retention_policy.yaml"), cat.RETENTION_DAYS, 1)
-    days = F.regexp_replace(digits, r"^0+(?=\d)", "")
-    over = (F.length(days) > 2) | ((F.length(days) == 2) & (days > "90"))
-    return F.when(over, F.format_string(cat.RULE_MESSAGES["RETENTION-005"], days))
+    digits = f"regexp_extract({artifact('retention_policy.yaml')}, {text(cat.RETENTION_DAYS)}, 1)"
+    days = f"regexp_replace({digits}, {text(chr(94) + '0+(?=' + chr(92) + 'd)')}, '')"
+    return (f"CASE WHEN length({days}) > 2 OR (length({days}) = 2 AND {days} > '90') "
+            f"THEN format_string({text(cat.RULE_MESSAGES['RETENTION-005'])}, {days}) END")
 
 
-def trains_on_prompts(artifact: Artifact) -> Column:
+def trains_on_prompts(artifact: Artifact) -> str:
     card = artifact("model_card.json", lower=True)
     external = contains_any(card, ['"provider": "external"', '"provider":"external"'])
     opted_out = contains_any(card, ["disabled", "opted_out"])
-    return F.when(external & card.contains("training on prompts") & ~opted_out,
-                  F.lit(cat.RULE_MESSAGES["TRAINING-006"]))
+    return (f"CASE WHEN {external} AND contains({card}, 'training on prompts') AND NOT {opted_out} "
+            f"THEN {text(cat.RULE_MESSAGES['TRAINING-006'])} END")
 
 
-def no_audit_trail(artifact: Artifact) -> Column:
+def no_audit_trail(artifact: Artifact) -> str:
     spec = artifact("product_spec.md", lower=True)
     review = artifact("security_review.md", lower=True)
-    acts = contains_any(spec, ["admin", "write access"]) | (
-        spec.contains("action") & ~spec.contains("read-only"))
-    documented = review.contains("audit") & review.contains("trail") & review.contains("rollback")
-    return F.when(acts & ~documented, F.lit(cat.RULE_MESSAGES["AUDIT-007"]))
+    acts = (f"({contains_any(spec, ['admin', 'write access'])} OR "
+            f"(contains({spec}, 'action') AND NOT contains({spec}, 'read-only')))")
+    documented = " AND ".join(f"contains({review}, {text(n)})" for n in ("audit", "trail", "rollback"))
+    return f"CASE WHEN {acts} AND NOT ({documented}) THEN {text(cat.RULE_MESSAGES['AUDIT-007'])} END"
 
 
-def harms_not_evaluated(artifact: Artifact) -> Column:
+def harms_not_evaluated(artifact: Artifact) -> str:
     report = artifact("eval_report.json", lower=True)
-    return (F.when(report == "", F.lit(cat.RULE_MESSAGES["EVAL-008/absent"]))
-            .when(~contains_any(report, cat.EVAL_TERMS), F.lit(cat.RULE_MESSAGES["EVAL-008"])))
+    return (f"CASE WHEN {report} = '' THEN {text(cat.RULE_MESSAGES['EVAL-008/absent'])} "
+            f"WHEN NOT {contains_any(report, cat.EVAL_TERMS)} THEN {text(cat.RULE_MESSAGES['EVAL-008'])} END")
 
 
 REGISTRY: dict[str, Rule] = {
@@ -104,4 +101,4 @@ def with_rule(code: str, rule: Rule, registry: dict[str, Rule] = REGISTRY) -> di
 
 def phrase_rule(name: str, phrase: str, message: str, negators: list[str] = cat.NEGATORS) -> Rule:
     """A rule built from configuration: fails when the phrase is asserted."""
-    return lambda artifact: F.when(asserts(artifact(name, lower=True), phrase, negators), F.lit(message))
+    return lambda artifact: f"CASE WHEN {asserts(artifact(name, lower=True), phrase, negators)} THEN {text(message)} END"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govaudit import catalog as cat
+from govaudit.functions.sqltext import text
 from govaudit.operators.rules import REGISTRY, Rule
 
 PREVIEW_CHARS = 300
@@ -30,27 +31,26 @@ def artifact_text(packets: DataFrame, name: str) -> Column:
 
 def rule_results(packets: DataFrame, registry: dict[str, Rule] = REGISTRY) -> DataFrame:
     """Adds ``results``: ARRAY<STRUCT<ord, code, passed, message>> in registry order."""
-    raw: dict[str, Column] = {}
-    lowered: dict[str, Column] = {}
+    used: dict[str, None] = {}
 
-    def artifact(name: str, lower: bool = False) -> Column:
-        key = f"_text_{len(raw)}"
-        if name not in raw:
-            raw[name] = artifact_text(packets, name).alias(key)
-            lowered[name] = F.lower(artifact_text(packets, name)).alias("_low" + key)
-        position = list(raw).index(name)
-        return F.col(f"_low_text_{position}" if lower else f"_text_{position}")
+    def artifact(name: str, lower: bool = False) -> str:
+        used.setdefault(name)
+        return f"_{'low' if lower else 'text'}_{list(used).index(name)}"
 
     messages = [(code, rule(artifact)) for code, rule in registry.items()]
     # First the texts, once each; then all rules over them in one projection.
-    texts = packets.select("*", *raw.values(), *lowered.values())
-    results = F.array(*[
-        F.struct(F.lit(i).alias("ord"), F.lit(code).alias("code"),
-                 message.isNull().alias("passed"),
-                 F.coalesce(message, F.lit("")).alias("message"))
-        for i, (code, message) in enumerate(messages)])
-    helpers = [c for c in texts.columns if c not in packets.columns]
-    return texts.withColumn("results", results).drop(*helpers)
+    raw = [artifact_text(packets, name).alias(f"_text_{i}") for i, name in enumerate(used)]
+    low = [F.lower(artifact_text(packets, name)).alias(f"_low_{i}") for i, name in enumerate(used)]
+    results = ", ".join(
+        f"named_struct('ord', {i}, 'code', {text(code)}, 'passed', {_message(i)} IS NULL, "
+        f"'message', coalesce({_message(i)}, ''))" for i, (code, _) in enumerate(messages))
+    return (packets.select("*", *raw, *low)
+            .select(*packets.columns, *[F.expr(m).alias(_message(i)) for i, (_, m) in enumerate(messages)])
+            .select(*packets.columns, F.expr(f"array({results})").alias("results")))
+
+
+def _message(index: int) -> str:
+    return f"_message_{index}"
 
 
 def detected_codes(results: Column) -> Column:

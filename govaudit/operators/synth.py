@@ -93,8 +93,8 @@ def template_with_patches(requests: DataFrame) -> DataFrame:
         "*", F.lit("generated").alias("source"),
         F.concat(F.initcap("domain"), F.lit(" Copilot")).alias("feature_name"),
         F.concat(F.lit("AI copilot for "), F.col("domain")).alias("feature_summary"),
-        patched(template_artifacts(F.col("domain")), F.col("truth")).alias("artifacts"))
-    return with_outcome(built, "generator")
+        template_artifacts("domain").alias("artifacts"))
+    return with_outcome(built.withColumn("artifacts", patched("artifacts", "truth")), "generator")
 
 
 def verify_and_patch(packets: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def verify_and_patch(packets: DataFrame) -> DataFrame:
     return (found.withColumn("patched_codes", late)
             .withColumn("truth", F.concat(
                 F.filter("truth", lambda c: F.array_contains(F.col("detected"), c)), F.col("patched_codes")))
-            .withColumn("artifacts", patched(F.col("artifacts"), F.col("patched_codes")))
+            .withColumn("artifacts", patched("artifacts", "patched_codes"))
             .select(*packets.columns, "patched_codes"))
 
 
@@ -127,7 +127,7 @@ def mutate(packets: DataFrame, extra: int, seed: str, boost: bool = True) -> Dat
         F.lit("Template patched "), F.element_at(targets, c), F.lit(" for "), c))
     chosen = packets.withColumn("added", sampled(pool, F.lit(extra), F.col("packet_id"), seed))
     return with_outcome(
-        chosen.withColumn("artifacts", patched(F.col("artifacts"), F.col("added")))
+        chosen.withColumn("artifacts", patched("artifacts", "added"))
         .withColumn("truth", F.concat("truth", "added"))
         .withColumn("feature_name", F.concat("feature_name", F.lit(" [Mutated]")))
         .withColumn("mutation_description", F.concat(

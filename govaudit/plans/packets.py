@@ -273,10 +273,10 @@ def _phrase_sql(table: str, key: str, text: str, phrase: str, negators: list[str
             f"CAST({sql.asserted_count(f'lower({text})', phrase, negators)} AS BIGINT) AS n_asserted FROM {table}")
 
 
-def _phrase_search(df: DataFrame, keys: list[str], text: str, phrase: str, negators: list[str]) -> DataFrame:
-    low = df.select(*keys, F.lower(text).alias("low"))
-    return low.select(*keys, occurrences(F.col("low"), phrase).cast("bigint").alias("n_found"),
-                      asserted_occurrences(F.col("low"), phrase, negators).cast("bigint").alias("n_asserted"))
+def _phrase_search(df: DataFrame, keys: list[str], column: str, phrase: str, negators: list[str]) -> DataFrame:
+    return df.select(*keys, F.lower(column).alias("low")).selectExpr(
+        *keys, f"CAST({occurrences('low', phrase)} AS BIGINT) AS n_found",
+        f"CAST({asserted_occurrences('low', phrase, negators)} AS BIGINT) AS n_asserted")
 
 
 @query(_phrase_sql("documents", "doc_id", "text", "therou", DOC_NEGATORS))
@@ -307,8 +307,8 @@ def phrase_in_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_rule_against_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = bridge.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = bridge.table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("bad"))
-    judged = documents.join(labels, "doc_id").select(
-        "bad", (asserted_occurrences(F.lower("text"), "the", DOC_NEGATORS) > 0).alias("hit"))
+    judged = (documents.join(labels, "doc_id").select("bad", F.lower("text").alias("low"))
+              .selectExpr("bad", f"{asserted_occurrences('low', 'the', DOC_NEGATORS)} > 0 AS hit"))
     counts = {"true_positive": F.col("hit") & F.col("bad"), "false_positive": F.col("hit") & ~F.col("bad"),
               "false_negative": ~F.col("hit") & F.col("bad"), "true_negative": ~F.col("hit") & ~F.col("bad")}
     return judged.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in counts.items()])

@@ -138,7 +138,7 @@ _PATCHED = ", ".join(f"{sql.patched_text(a, sql.col_of(a), 'late')} AS {sql.col_
         "fixed": f"SELECT packet_id, chosen, late, first_found, {_PATCHED} FROM late",
         "rescan": sql.scanned("fixed")}))
 def verified_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = bridge.packets(spark, sf_dir).withColumn("truth", bridge.codes_of_mask(F.col("packet_id") * 3))
+    chosen = bridge.packets(spark, sf_dir).withColumn("truth", bridge.codes_of_mask("(packet_id * 3)"))
     return (scan.scan(synth.verify_and_patch(chosen))
             .select("packet_id", *joined("truth", "patched_codes", "detected")))
 

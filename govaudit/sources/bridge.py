@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from govaudit import catalog as cat
 from govaudit.functions.packet_text import planted_artifacts
+from govaudit.functions.sqltext import mapping, text, texts
 from govaudit.sources.packets import outcome_for
 
 SECTOR_OF = {"AUTOMOBILE": "finance", "BUILDING": "healthcare", "FURNITURE": "retail",
@@ -24,14 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(F.expr(texts(values)), (index + 1).cast("int"))
 
 
-def codes_of_mask(mask: Column) -> Column:
-    """Codes whose bit is set, in registry order."""
-    return F.array_compact(F.array(*[
-        F.when(F.shiftright(mask, i).bitwiseAND(1) == 1, F.lit(code))
-        for i, code in enumerate(cat.CODES)]))
+def codes_of_mask(mask: str) -> Column:
+    """Codes whose bit is set in a BIGINT expression, in registry order."""
+    bits = ", ".join(f"CASE WHEN (shiftright({mask}, {i}) & 1) = 1 THEN {text(c)} END" for i, c in enumerate(cat.CODES))
+    return F.expr(f"array_compact(array({bits}))")
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +44,11 @@ def packets_from(customers: DataFrame) -> DataFrame:
     Works on a batch or a stream of customers.
     """
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
-    days = F.when(F.array_contains("truth", "RETENTION-005"), 91 + 10 * nation).otherwise(30 + 2 * nation)
+    days = "CASE WHEN array_contains(truth, 'RETENTION-005') THEN 91 + 10 * c_nationkey ELSE 30 + 2 * c_nationkey END"
     risk, decision = outcome_for(F.col("truth"))
     approve = F.size("truth") == 0
     return (customers
-            .select(key, nation, "c_mktsegment", codes_of_mask(key).alias("truth"))
+            .select(key, nation, "c_mktsegment", codes_of_mask("c_custkey").alias("truth"))
             .withColumn("domain", pick([d[1] for d in cat.DOMAINS], nation % 10))
             .select(
                 key.alias("packet_id"),
@@ -57,7 +57,7 @@ def packets_from(customers: DataFrame) -> DataFrame:
                 "truth",
                 F.when(approve, "low").otherwise(risk).alias("expected_risk"),
                 F.when(approve, "approve").otherwise(decision).alias("expected_decision"),
-                planted_artifacts(F.col("truth"), F.col("domain"), days).alias("artifacts"),
+                planted_artifacts("truth", "domain", days).alias("artifacts"),
                 F.element_at(cat.literal_map(SECTOR_OF), F.col("c_mktsegment")).alias("sector"),
                 "domain"))
 
@@ -67,7 +67,7 @@ def template_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from govaudit.operators.synth import template_with_patches
     return template_with_patches(
         table(spark, sf_dir, "part")
-        .select(F.col("p_partkey").alias("packet_id"), codes_of_mask(F.col("p_partkey")).alias("truth"),
+        .select(F.col("p_partkey").alias("packet_id"), codes_of_mask("p_partkey").alias("truth"),
                 F.lower("p_type").alias("domain")))
 
 
@@ -121,34 +121,34 @@ def actions_from(events: DataFrame) -> DataFrame:
     Works on a batch or a stream of events.
     """
     bucket, episode = _episode()
-    k = F.col("k")
-    tens = F.floor(k / 10).cast("int")
-    severity = F.when(tens % 5 == 4, F.lit("")).otherwise(
-        F.concat(F.lit(', "severity": "'), pick([*cat.SEVERITIES, ""], tens % 5), F.lit('"')))
-
-    def act(kind: str, *rest: Column) -> Column:
-        return F.concat(F.lit('{"action_type": "' + kind + '"'), *rest, F.lit("}"))
-
-    def field(name: str, value: Column) -> Column:
-        return F.concat(F.lit(f', "{name}": "'), value, F.lit('"'))
-
-    own = F.element_at(cat.literal_map({**cat.SEVERITY, "": "low", "GHOST-999": "high"}),
-                       pick(FLAG_CODES, k % 10))
-    flag_severity = F.when(tens % 2 == 0, field("severity", own)).otherwise(severity)
-    inspect = act(cat.INSPECT, field("target", pick(TARGETS, k % 10)))
-    raw = (
-        F.when(F.col("event_type") == "view", inspect)
-        .when(F.col("event_type") == "click",
-              act(cat.FLAG, field("issue_code", pick(FLAG_CODES, k % 10)), flag_severity,
-                  field("note", F.concat(F.lit("seen "), k.cast("string")))))
-        .when((F.col("event_type") == "signup") & (k < 80),
-              act(cat.MITIGATE, field("issue_code", pick(cat.CODES, k % 8))))
-        .when(F.col("event_type") == "signup",
-              act(cat.MITIGATE, field("issue_code", F.lit("")), field("target", pick(cat.CODES, k % 8))))
-        .when(F.col("event_type") == "purchase", act(cat.SET_RISK, severity))
-        .when(k % 10 == 0, F.concat(F.lit('{"action_type": "'), pick(DECIDE, tens % 4), F.lit('"}')))
-        .when(k % 10 == 1, pick(MALFORMED, tens))
-        .otherwise(inspect))
+
+    def choose(values: list[str], index: str) -> str:
+        return f"element_at({texts(values)}, CAST({index} AS INT) + 1)"
+
+    def field(name: str, value: str) -> str:
+        return f"""concat(', "{name}": "', {value}, '"')"""
+
+    def act(kind: str, *rest: str) -> str:
+        return "concat(" + ", ".join([text('{"action_type": "' + kind + '"'), *rest, "'}'"]) + ")"
+
+    tens = "(k DIV 10)"
+    severity = (f"CASE WHEN {tens} % 5 = 4 THEN '' "
+                f"ELSE {field('severity', choose([*cat.SEVERITIES, ''], tens + ' % 5'))} END")
+    code = choose(FLAG_CODES, "k % 10")
+    own = field("severity", f"element_at({mapping({**cat.SEVERITY, '': 'low', 'GHOST-999': 'high'})}, {code})")
+    inspect = act(cat.INSPECT, field("target", choose(TARGETS, "k % 10")))
+    mitigated = choose(cat.CODES, "k % 8")
+    flag = act(cat.FLAG, field("issue_code", code), f"CASE WHEN {tens} % 2 = 0 THEN {own} ELSE {severity} END",
+               field("note", "concat('seen ', k)"))
+    raw = F.expr(f"""CASE
+        WHEN event_type = 'view' THEN {inspect}
+        WHEN event_type = 'click' THEN {flag}
+        WHEN event_type = 'signup' AND k < 80 THEN {act(cat.MITIGATE, field("issue_code", mitigated))}
+        WHEN event_type = 'signup' THEN {act(cat.MITIGATE, field("issue_code", "''"), field("target", mitigated))}
+        WHEN event_type = 'purchase' THEN {act(cat.SET_RISK, severity)}
+        WHEN k % 10 = 0 THEN concat('{{"action_type": "', {choose(DECIDE, tens + ' % 4')}, '"}}')
+        WHEN k % 10 = 1 THEN {choose(MALFORMED, tens)}
+        ELSE {inspect} END""")
     return (events
             .withColumn("k", _props_k())
             .select(episode.alias("episode_id"), F.col("event_id").alias("seq"), "ts",
