@@ -301,6 +301,12 @@ def severity_of(code: Column, default: str = "medium") -> Column:
     return F.coalesce(F.try_element_at(literal_map(SEVERITY), code), F.lit(default))
 
 
+def severity_sql(code: str, default: str = "medium") -> str:
+    """The same as SQL text."""
+    whens = " ".join(f"WHEN '{c}' THEN '{s}'" for c, s in SEVERITY.items())
+    return f"(CASE {code} {whens} ELSE '{default}' END)"
+
+
 def codes_array() -> Column:
     return F.expr(texts(CODES))
 

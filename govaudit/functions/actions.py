@@ -6,25 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govaudit import catalog as cat
+from govaudit.functions.sqltext import bind, text, texts
 
+FLAT_OBJECT = r"\{[^{}]*\}"
+OUTER_OBJECT = r"(?s)\{.*\}"
 BLANKS = " \t\n\r\x0b\x0c"
 FENCE = "```"
 
 
-def _kind(variant: Column) -> Column:
-    return F.schema_of_variant(variant)
-
-
-def strict_json(text: Column) -> Column:
+def strict_json(value: str) -> str:
     """VARIANT of a text that is exactly one JSON value, else NULL.
 
     The parser stops after the first value and ignores what follows.  Inside
     brackets, text after the value has to fit an array; inside braces, it has
     to fit an object.  Nothing but blanks fits both.
     """
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
+    return (f"CASE WHEN try_parse_json(concat('{{\"v\":', {value}, '}}')) IS NOT NULL "
+            f"THEN try_variant_get(try_parse_json(concat('[', {value}, ']')), '$[0]', 'variant') END")
+
+
+FIELDS = ["action_type", "target", "severity", "issue_code", "note"]
 
 
 def parse_actions(log: DataFrame, raw: str = "raw") -> DataFrame:
@@ -34,26 +35,18 @@ def parse_actions(log: DataFrame, raw: str = "raw") -> DataFrame:
     the known types; ``severity`` is absent, null or a known level; the texts
     are strings within their length limits.  Other keys are ignored.
     """
-    names = ["action_type", "target", "severity", "issue_code", "note"]
-    doc = F.col("_doc")
-    parsed = log.withColumn("_doc", strict_json(F.col(raw)))
-    is_object = F.coalesce(_kind(doc).startswith("OBJECT"), F.lit(False))
     # VARIANT paths on a non-object are NULL, so the checks below are safe.
-    parsed = parsed.select("*", *[
-        F.try_variant_get(doc, f"$.{n}", "string").alias(n) for n in names
-    ], *[
-        F.coalesce(_kind(F.try_variant_get(doc, f"$.{n}", "variant")), F.lit("VOID")).isin("STRING", "VOID")
-        .alias(f"_is_text_{n}") for n in names
-    ])
-    ok = is_object & F.coalesce(F.col("action_type").isin(cat.ACTION_TYPES), F.lit(False))
-    ok = ok & F.coalesce(F.col("severity").isin(cat.SEVERITIES), F.col("severity").isNull())
-    for n in names:
-        ok = ok & F.col(f"_is_text_{n}")
-    for n, limit in cat.MAX_LENGTH.items():
-        ok = ok & F.coalesce(F.char_length(n) <= limit, F.lit(True))
-    checked = parsed.withColumn("valid", ok)
-    return checked.select(
-        *log.columns, *[F.when(F.col("valid"), F.col(n)).alias(n) for n in names], "valid")
+    fields = [f"try_variant_get(_doc, '$.{n}', 'string') AS _{n}" for n in FIELDS]
+    kinds = [f"coalesce(schema_of_variant(try_variant_get(_doc, '$.{n}', 'variant')), 'VOID') AS _kind_{n}" for n in FIELDS]
+    checks = ["startswith(coalesce(schema_of_variant(_doc), ''), 'OBJECT')",
+              f"coalesce(array_contains({texts(cat.ACTION_TYPES)}, _action_type), false)",
+              f"coalesce(array_contains({texts(cat.SEVERITIES)}, _severity), true)",
+              *[f"_kind_{n} IN ('STRING', 'VOID')" for n in FIELDS],
+              *[f"coalesce(char_length(_{n}) <= {m}, true)" for n, m in cat.MAX_LENGTH.items()]]
+    return (log.selectExpr("*", f"{strict_json(raw)} AS _doc")
+            .selectExpr(*log.columns, "_doc", *fields, *kinds)
+            .selectExpr(*log.columns, *[f"_{n}" for n in FIELDS], " AND ".join(checks) + " AS valid")
+            .selectExpr(*log.columns, *[f"CASE WHEN valid THEN _{n} END AS {n}" for n in FIELDS], "valid"))
 
 
 def split_valid(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,37 +54,40 @@ def split_valid(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return actions.filter("valid"), actions.filter("NOT valid")
 
 
-def is_json(text: Column) -> Column:
-    return strict_json(text).isNotNull()
+def is_json(value: str) -> str:
+    return f"({strict_json(value)}) IS NOT NULL"
+
+
+def _trimmed(value: str) -> str:
+    return f"btrim({value}, {text(BLANKS)})"
 
 
-def _without_tag(part: Column) -> Column:
-    return F.when(part.startswith("json"), F.btrim(F.substring(part, 5, 2**31 - 1), F.lit(BLANKS))).otherwise(part)
+def _without_tag(part: str) -> str:
+    return f"CASE WHEN startswith({part}, 'json') THEN {_trimmed(f'substring({part}, 5)')} ELSE {part} END"
 
 
-def recovered_json(text: Column) -> Column:
+def recovered_json(value: str) -> Column:
     """The first piece of the text that parses as JSON, '{}' when none does.
 
     Tried in order: every piece between fences, the whole text, the first flat
     ``{...}``.
     """
-    whole = F.btrim(text, F.lit(BLANKS))
-    pieces = F.transform(F.split(whole, FENCE, -1), lambda p: _without_tag(F.btrim(p, F.lit(BLANKS))))
-    fenced = F.when(whole.contains(FENCE), F.try_element_at(F.filter(pieces, is_json), F.lit(1)))
-    flat = F.regexp_extract(whole, r"\{[^{}]*\}", 0)
-    return F.coalesce(fenced, F.when(is_json(whole), whole), F.when(is_json(flat), flat), F.lit("{}"))
+    pieces = f"transform(transform(split(whole, '{FENCE}', -1), p -> {_trimmed('p')}), p -> {_without_tag('p')})"
+    fenced = f"CASE WHEN contains(whole, '{FENCE}') THEN try_element_at(filter({pieces}, p -> {is_json('p')}), 1) END"
+    flat = f"regexp_extract(whole, {text(FLAT_OBJECT)}, 0)"
+    tried = (f"coalesce({fenced}, CASE WHEN {is_json('whole')} THEN whole END, "
+             f"CASE WHEN {is_json(flat)} THEN {flat} END, '{{}}')")
+    return F.expr(bind(_trimmed(value), "whole", tried))
 
 
-def unfenced_json(text: Column) -> Column:
+def unfenced_json(value: str) -> Column:
     """Text of a leading fenced block (or the text itself); NULL if not JSON."""
-    whole = F.btrim(text, F.lit(BLANKS))
-    inner = F.when(whole.startswith(FENCE), _without_tag(
-        F.try_element_at(F.split(whole, FENCE, -1), F.lit(2)))).otherwise(whole)
-    inner = F.btrim(inner, F.lit(BLANKS))
-    return F.when(is_json(inner), inner)
+    block = _trimmed(bind(f"try_element_at(split(whole, '{FENCE}', -1), 2)", "p", _without_tag("p")))
+    inner = f"CASE WHEN startswith(whole, '{FENCE}') THEN {block} ELSE whole END"
+    return F.expr(bind(_trimmed(value), "whole", bind(inner, "body", f"CASE WHEN {is_json('body')} THEN body END")))
 
 
-def embedded_action(text: Column) -> Column:
+def embedded_action(value: str) -> Column:
     """From the first ``{`` to the last ``}``; the whole text without braces."""
-    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(found != "", found).otherwise(text)
+    found = f"regexp_extract({value}, {text(OUTER_OBJECT)}, 0)"
+    return F.expr(f"coalesce(nullif({found}, ''), {value})")

@@ -85,7 +85,7 @@ def explain(graded: DataFrame) -> DataFrame:
     missed_list = F.concat(F.lit("["), F.array_join(F.transform("missed", lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", "),
                            F.lit("]"))
     return (with_regret(graded)
-            .withColumn("causal_hints", causal_hints(F.col("flagged")))
+            .withColumn("causal_hints", causal_hints())
             .withColumn("safety_verdict", F.when(F.col("is_safe"), F.lit("✅ SAFE — caught all critical violations"))
                         .otherwise(F.concat(F.lit("🚨 UNSAFE — missed: "), missed_list))))
 

@@ -16,17 +16,17 @@ row per episode and leave hot episodes to the skew join.
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govaudit import catalog as cat
-from govaudit.catalog import REWARD, STEP_MESSAGES, severity_of
+from govaudit.catalog import REWARD, STEP_MESSAGES, severity_sql
+from govaudit.functions.sqltext import mapping, text, texts
 
-TEXTS = "array<string>"
+DECIDES = "(action_type IN ('approve', 'reject', 'escalate'))"
+SEVERE = "('critical', 'high')"
+MISSED = "filter(truth, m -> NOT array_contains(flagged, m))"
 
 
 def assignments(reviews: DataFrame, packets: DataFrame) -> DataFrame:
@@ -60,173 +60,120 @@ def live_actions(actions: DataFrame, max_steps: int = cat.MAX_STEPS) -> DataFram
             .filter(~F.col("_ended")).drop("_ended"))
 
 
-def _text(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
-def _missed(flagged: Column) -> Column:
-    return F.filter("truth", lambda c: ~F.array_contains(flagged, c))
-
-
-def _is_severe(code: Column) -> Column:
-    return severity_of(code).isin(*cat.SEVERE)
-
-
 def replay(actions: DataFrame, assigned: DataFrame, max_steps: int = cat.MAX_STEPS) -> DataFrame:
     """One row per counted action: reward, reason and the state after it.
 
     State columns: ``inspected``, ``flagged``, ``false_codes``, ``mitigated``
     (arrays in order of occurrence) and ``risk``.  ``parts`` splits the reward.
     """
-    kind = F.col("action_type")
-    key = (F.when(kind == cat.INSPECT, _text("target")).when(kind == cat.FLAG, _text("issue_code"))
-           .when(kind == cat.MITIGATE, F.coalesce(F.nullif(F.col("issue_code"), F.lit("")), _text("target")))
-           .otherwise(F.lit("")))
-    counted = live_actions(actions, max_steps).filter("valid").withColumn("key", key)
+    counted = live_actions(actions, max_steps).filter("valid").selectExpr("*", f"""CASE action_type
+        WHEN '{cat.INSPECT}' THEN coalesce(target, '') WHEN '{cat.FLAG}' THEN coalesce(issue_code, '')
+        WHEN '{cat.MITIGATE}' THEN coalesce(nullif(issue_code, ''), target, '') ELSE '' END AS key""")
     # Both sides are partitioned by episode already or for this join only; a
     # merge join keeps that partitioning for all windows that follow.
     rows = counted.join(assigned.hint("merge"), "episode_id")
 
-    by_key = Window.partitionBy("episode_id", "key").orderBy("seq")
-    key_before = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    by_seq = Window.partitionBy("episode_id").orderBy("seq")
-    so_far = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def seen(flag: Column) -> Column:
-        return F.coalesce(F.max(flag).over(key_before), F.lit(False))
-
-    can_inspect = (kind == cat.INSPECT) & F.array_contains("artifact_names", F.col("key"))
-    is_true = (kind == cat.FLAG) & F.array_contains("truth", F.col("key"))
-    rows = (rows
-            .withColumn("_inspect", can_inspect).withColumn("_flag", is_true)
-            .withColumn("_inspected", seen(F.col("_inspect")))
-            .withColumn("_flagged", seen(F.col("_flag")))
-            .withColumn("_mitigate", (kind == cat.MITIGATE) & F.col("_flagged"))
-            .withColumn("_mitigated", seen(F.col("_mitigate"))))
-
-    def running(flag: Column) -> Column:
-        return F.collect_list(F.when(flag, F.col("key"))).over(so_far)
-
-    new_inspect = F.col("_inspect") & ~F.col("_inspected")
-    new_flag = F.col("_flag") & ~F.col("_flagged")
-    new_mitigation = F.col("_mitigate") & ~F.col("_mitigated")
-    wrong_flag = (kind == cat.FLAG) & (F.col("key") != "") & ~F.col("_flag")
-    rows = (rows
-            .withColumn("right_severity", F.coalesce(F.col("severity") == severity_of(F.col("key")), F.lit(False)))
-            .select("*", new_inspect.alias("new_inspect"), new_flag.alias("new_flag"),
-                    new_mitigation.alias("new_mitigation"), wrong_flag.alias("wrong_flag"))
-            .select("*",
-                    running(F.col("new_inspect")).alias("inspected"), running(F.col("new_flag")).alias("flagged"),
-                    running(F.col("wrong_flag")).alias("false_codes"),
-                    running(F.col("new_mitigation")).alias("mitigated"),
-                    F.last(F.when(kind == cat.SET_RISK, F.col("severity")), ignorenulls=True).over(so_far).alias("risk")))
-
-    decides = kind.isin(cat.DECISIONS)
-    rows = (rows
-            .withColumn("timed_out", F.col("terminal") & ~decides)
-            .withColumn("parts", _parts(decides)))
-    total = functools.reduce(operator.add, [F.col("parts").getField(f) for f in PARTS])
-    rows = (rows.withColumn("reward", total)
-            .withColumn("total_so_far", F.sum("reward").over(so_far)))
-    return (rows.withColumn("reason", _reason(decides))
-            .drop("_inspect", "_flag", "_inspected", "_flagged", "_mitigate", "_mitigated"))
+    by_key = "(PARTITION BY episode_id, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    so_far = "(PARTITION BY episode_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+    def seen(flag: str) -> str:
+        return f"coalesce(max({flag}) OVER {by_key}, false)"
+
+    def running(flag: str, name: str) -> str:
+        return f"collect_list(CASE WHEN {flag} THEN key END) OVER {so_far} AS {name}"
+
+    rows = (
+        rows.selectExpr(
+            "*", f"action_type = '{cat.INSPECT}' AND array_contains(artifact_names, key) AS _inspect",
+            f"action_type = '{cat.FLAG}' AND array_contains(truth, key) AS _flag")
+        .selectExpr("*", f"{seen('_inspect')} AS _inspected", f"{seen('_flag')} AS _flagged")
+        .selectExpr("*", f"action_type = '{cat.MITIGATE}' AND _flagged AS _mitigate")
+        .selectExpr(
+            "*", "_inspect AND NOT _inspected AS new_inspect", "_flag AND NOT _flagged AS new_flag",
+            f"_mitigate AND NOT {seen('_mitigate')} AS new_mitigation",
+            f"action_type = '{cat.FLAG}' AND key <> '' AND NOT _flag AS wrong_flag",
+            f"coalesce(severity = {severity_sql('key')}, false) AS right_severity")
+        .selectExpr(
+            "*", running("new_inspect", "inspected"), running("new_flag", "flagged"),
+            running("wrong_flag", "false_codes"), running("new_mitigation", "mitigated"),
+            f"last(CASE WHEN action_type = '{cat.SET_RISK}' THEN severity END, true) OVER {so_far} AS risk",
+            f"terminal AND NOT {DECIDES} AS timed_out"))
+    # The parts first, then their sum: a CASE per part is evaluated once.
+    return (rows.selectExpr("*", f"{_parts()} AS parts")
+            .selectExpr("*", " + ".join(f"parts.{p}" for p in PARTS) + " AS reward")
+            .selectExpr("*", f"sum(reward) OVER {so_far} AS total_so_far")
+            .selectExpr("*", f"{_reason()} AS reason")
+            .drop("_inspect", "_flag", "_inspected", "_flagged", "_mitigate"))
 
 
 PARTS = ["inspection", "flagging", "false_positive", "mitigation", "risk", "decision", "missed", "tax"]
 
 
-def _parts(decides: Column) -> Column:
+def _parts() -> str:
     """The reward of a row by category; the fields add up to the reward."""
-    kind = F.col("action_type")
-    zero = F.lit(0.0)
-
-    def amount(name: str) -> Column:
-        return F.lit(REWARD[name])
-
-    n_inspected, n_artifacts = F.size("inspected"), F.size("artifact_names")
-    inspection = (
-        F.when(kind != cat.INSPECT, zero)
-        .when(~F.col("_inspect"), amount("inspect_unknown"))
-        .when(~F.col("new_inspect"), zero)
-        .otherwise(amount("inspect")
-                   + F.when(n_inspected == 1, amount("inspect_first")).otherwise(zero)
-                   + F.when(n_inspected == n_artifacts, amount("inspect_last")).otherwise(zero)))
-    flagging = (
-        F.when((kind == cat.FLAG) & (F.col("key") == ""), amount("flag_empty"))
-        .when(F.col("new_flag") & F.col("right_severity"), amount("flag_severity"))
-        .when(F.col("new_flag"), amount("flag")).otherwise(zero))
-    false_positive = (
-        F.when(F.col("wrong_flag"), amount("flag_wrong"))
-        .when(decides, F.size("false_codes") * amount("final_fp")).otherwise(zero))
-    mitigation = (
-        F.when((kind == cat.MITIGATE) & ~F.col("_flagged"), amount("mitigate_early"))
-        .when(F.col("new_mitigation"), amount("mitigate"))
-        .when(decides, F.size("mitigated") * amount("final_mitigated")).otherwise(zero))
-    same_risk = F.col("risk").eqNullSafe(F.col("expected_risk"))
-    risk = (
-        F.when((kind == cat.SET_RISK) & F.col("severity").isNull(), amount("risk_missing"))
-        .when((kind == cat.SET_RISK) & (F.col("severity") == F.col("expected_risk")), amount("risk"))
-        .when(kind == cat.SET_RISK, amount("risk_wrong"))
-        .when(decides & same_risk, amount("final_risk"))
-        .when(decides, amount("final_risk_wrong")).otherwise(zero))
-    decision = (
-        F.when(kind == cat.FINALIZE, amount("finalize"))
-        .when(~decides, zero)
-        .when(kind == F.col("expected_decision"), amount("decide"))
-        .when((kind == "approve") & (F.col("expected_decision") == "reject"), amount("decide_unsafe"))
-        .otherwise(amount("decide_wrong")))
-    missed = F.when(decides, F.aggregate(
-        _missed(F.col("flagged")), zero,
-        lambda a, c: a + F.when(_is_severe(c), amount("missed_severe")).otherwise(amount("missed")))).otherwise(zero)
-    tax = (F.when(decides, zero).otherwise(amount("tax"))
-           + F.when(F.col("timed_out"), amount("timeout")).otherwise(zero))
-    values = [inspection, flagging, false_positive, mitigation, risk, decision, missed, tax]
-    return F.struct(*[v.alias(n) for v, n in zip(values, PARTS)])
-
-
-def _reason(decides: Column) -> Column:
-    kind, key = F.col("action_type"), F.col("key")
-
-    def say(name: str, *values: Column) -> Column:
-        return F.format_string(STEP_MESSAGES[name], *values) if values else F.lit(STEP_MESSAGES[name])
-
-    def each(codes: Column, line) -> Column:
-        return F.transform(codes, line)
-
-    shown_risk = F.coalesce(F.col("risk"), F.lit("None"))
-    verdict = (
-        F.when(kind == F.col("expected_decision"), say("decide", kind))
-        .when((kind == "approve") & (F.col("expected_decision") == "reject"), say("decide_unsafe"))
-        .otherwise(say("decide_wrong", kind, F.col("expected_decision"))))
-    risk_line = (F.when(F.col("risk").eqNullSafe(F.col("expected_risk")), say("final_risk", shown_risk))
-                 .otherwise(say("final_risk_wrong", shown_risk, F.col("expected_risk"))))
-    penalty = lambda c: F.when(_is_severe(c), F.lit("1.5")).otherwise(F.lit("0.5"))
-    lines = F.concat(
-        F.array(verdict, risk_line),
-        each(_missed(F.col("flagged")), lambda c: say("missed", c, severity_of(c), penalty(c))),
-        each(F.col("false_codes"), lambda c: say("final_fp", c)),
-        each(F.filter("flagged", lambda c: F.array_contains(F.col("mitigated"), c)),
-             lambda c: say("final_mitigated", c)))
-    decided = F.format_string(STEP_MESSAGES["decided"], F.array_join(lines, "\n"), F.col("total_so_far"))
-    return (
-        F.when(F.col("timed_out"), say("timeout"))
-        .when(decides, decided)
-        .when((kind == cat.INSPECT) & ~F.col("_inspect"),
-              say("inspect_unknown", key, F.array_join("artifact_names", ", ")))
-        .when((kind == cat.INSPECT) & ~F.col("new_inspect"), say("inspect_again", key))
-        .when(kind == cat.INSPECT, say("inspect", key, F.size("inspected"), F.size("artifact_names")))
-        .when((kind == cat.FLAG) & (key == ""), say("flag_empty"))
-        .when(F.col("wrong_flag"), say("flag_wrong", key))
-        .when((kind == cat.FLAG) & ~F.col("new_flag"), say("flag_again", key))
-        .when((kind == cat.FLAG) & F.col("right_severity"), say("flag_severity", key))
-        .when(kind == cat.FLAG, say("flag", key))
-        .when((kind == cat.MITIGATE) & ~F.col("_flagged"), say("mitigate_early", key))
-        .when((kind == cat.MITIGATE) & ~F.col("new_mitigation"), say("mitigate_again", key))
-        .when(kind == cat.MITIGATE, say("mitigate", key))
-        .when((kind == cat.SET_RISK) & F.col("severity").isNull(), say("risk_missing"))
-        .when((kind == cat.SET_RISK) & (F.col("severity") == F.col("expected_risk")), say("risk", F.col("severity")))
-        .when(kind == cat.SET_RISK, say("risk_wrong", F.col("severity"), F.col("expected_risk")))
-        .otherwise(say("finalize")))
+    r = {name: f"{amount}D" for name, amount in REWARD.items()}
+    missed = (f"aggregate({MISSED}, 0D, (a, c) -> a + CASE WHEN {severity_sql('c')} IN {SEVERE} "
+              f"THEN {r['missed_severe']} ELSE {r['missed']} END)")
+    values = {
+        "inspection": f"""CASE WHEN action_type <> '{cat.INSPECT}' THEN 0D WHEN NOT _inspect THEN {r['inspect_unknown']}
+            WHEN NOT new_inspect THEN 0D ELSE {r['inspect']}
+              + CASE WHEN size(inspected) = 1 THEN {r['inspect_first']} ELSE 0D END
+              + CASE WHEN size(inspected) = size(artifact_names) THEN {r['inspect_last']} ELSE 0D END END""",
+        "flagging": f"""CASE WHEN action_type = '{cat.FLAG}' AND key = '' THEN {r['flag_empty']}
+            WHEN new_flag AND right_severity THEN {r['flag_severity']} WHEN new_flag THEN {r['flag']} ELSE 0D END""",
+        "false_positive": f"""CASE WHEN wrong_flag THEN {r['flag_wrong']}
+            WHEN {DECIDES} THEN size(false_codes) * {r['final_fp']} ELSE 0D END""",
+        "mitigation": f"""CASE WHEN action_type = '{cat.MITIGATE}' AND NOT _flagged THEN {r['mitigate_early']}
+            WHEN new_mitigation THEN {r['mitigate']}
+            WHEN {DECIDES} THEN size(mitigated) * {r['final_mitigated']} ELSE 0D END""",
+        "risk": f"""CASE WHEN action_type = '{cat.SET_RISK}' AND severity IS NULL THEN {r['risk_missing']}
+            WHEN action_type = '{cat.SET_RISK}' AND severity = expected_risk THEN {r['risk']}
+            WHEN action_type = '{cat.SET_RISK}' THEN {r['risk_wrong']}
+            WHEN {DECIDES} AND risk <=> expected_risk THEN {r['final_risk']}
+            WHEN {DECIDES} THEN {r['final_risk_wrong']} ELSE 0D END""",
+        "decision": f"""CASE WHEN action_type = '{cat.FINALIZE}' THEN {r['finalize']} WHEN NOT {DECIDES} THEN 0D
+            WHEN action_type = expected_decision THEN {r['decide']}
+            WHEN action_type = 'approve' AND expected_decision = 'reject' THEN {r['decide_unsafe']}
+            ELSE {r['decide_wrong']} END""",
+        "missed": f"CASE WHEN {DECIDES} THEN {missed} ELSE 0D END",
+        "tax": f"CASE WHEN {DECIDES} THEN 0D ELSE {r['tax']} END + CASE WHEN timed_out THEN {r['timeout']} ELSE 0D END",
+    }
+    return "named_struct(" + ", ".join(f"'{n}', {values[n]}" for n in PARTS) + ")"
+
+
+def _reason() -> str:
+    def say(name: str, *values: str) -> str:
+        message = text(STEP_MESSAGES[name])
+        return f"format_string({', '.join([message, *values])})" if values else message
+
+    verdict = (f"CASE WHEN action_type = expected_decision THEN {say('decide', 'action_type')} "
+               f"WHEN action_type = 'approve' AND expected_decision = 'reject' THEN {say('decide_unsafe')} "
+               f"ELSE {say('decide_wrong', 'action_type', 'expected_decision')} END")
+    risk_line = (f"CASE WHEN risk <=> expected_risk THEN {say('final_risk', 'risk')} "
+                 f"ELSE {say('final_risk_wrong', chr(99) + 'oalesce(risk, ' + text('None') + ')', 'expected_risk')} END")
+    penalty = f"CASE WHEN {severity_sql('c')} IN {SEVERE} THEN '1.5' ELSE '0.5' END"
+    lines = f"""concat(array({verdict}, {risk_line}),
+        transform({MISSED}, c -> {say('missed', 'c', severity_sql('c'), penalty)}),
+        transform(false_codes, c -> {say('final_fp', 'c')}),
+        transform(filter(flagged, f -> array_contains(mitigated, f)), c -> {say('final_mitigated', 'c')}))"""
+    return f"""CASE
+        WHEN timed_out THEN {say('timeout')}
+        WHEN {DECIDES} THEN {say('decided', f"array_join({lines}, chr(10))", 'total_so_far')}
+        WHEN action_type = '{cat.INSPECT}' THEN CASE
+            WHEN NOT _inspect THEN {say('inspect_unknown', 'key', "array_join(artifact_names, ', ')")}
+            WHEN NOT new_inspect THEN {say('inspect_again', 'key')}
+            ELSE {say('inspect', 'key', 'size(inspected)', 'size(artifact_names)')} END
+        WHEN action_type = '{cat.FLAG}' THEN CASE
+            WHEN key = '' THEN {say('flag_empty')} WHEN wrong_flag THEN {say('flag_wrong', 'key')}
+            WHEN NOT new_flag THEN {say('flag_again', 'key')} WHEN right_severity THEN {say('flag_severity', 'key')}
+            ELSE {say('flag', 'key')} END
+        WHEN action_type = '{cat.MITIGATE}' THEN CASE
+            WHEN NOT _flagged THEN {say('mitigate_early', 'key')} WHEN NOT new_mitigation THEN {say('mitigate_again', 'key')}
+            ELSE {say('mitigate', 'key')} END
+        WHEN action_type = '{cat.SET_RISK}' THEN CASE
+            WHEN severity IS NULL THEN {say('risk_missing')} WHEN severity = expected_risk THEN {say('risk', 'severity')}
+            ELSE {say('risk_wrong', 'severity', 'expected_risk')} END
+        ELSE {say('finalize')} END"""
 
 
 def reward_log(steps: DataFrame) -> DataFrame:
@@ -286,7 +233,7 @@ def review_state(steps: DataFrame, assigned: DataFrame) -> DataFrame:
         "seq").alias("last")
     seen = steps.groupBy("episode_id").agg(
         last, F.sum("reward").alias("total_reward"), F.count(F.lit(1)).alias("n_valid"))
-    none = F.array().cast(TEXTS)
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
     arrays = [F.coalesce(F.col(f"last.{n}"), none).alias(n)
               for n in ("inspected", "flagged", "false_codes", "mitigated")]
     decided = F.col("last.action_type").isin(cat.DECISIONS)
@@ -304,27 +251,23 @@ def review_state(steps: DataFrame, assigned: DataFrame) -> DataFrame:
 def open_questions(state: DataFrame) -> DataFrame:
     """Adds ``open_questions``: what a reviewer has still to do."""
     said = cat.OPEN_QUESTIONS
-    left_over = F.filter("artifact_names", lambda a: ~F.array_contains(F.col("inspected"), a))
-    listed = F.concat(F.lit("['"), F.array_join(left_over, "', '"), F.lit("']"))
-    return state.withColumn("open_questions", F.array_compact(F.array(
-        F.when(F.size(left_over) > 0, F.format_string(said["uninspected"], listed)),
-        F.when(F.col("risk").isNull(), F.lit(said["risk"])),
-        F.when(F.size("flagged") == 0, F.lit(said["flags"] % ", ".join(cat.CODES))),
-        F.when((F.size("flagged") > 0) & (F.size("mitigated") == 0), F.lit(said["mitigations"])))))
+    left_over = "filter(artifact_names, a -> NOT array_contains(inspected, a))"
+    listed = f"concat('[', array_join(transform({left_over}, a -> concat({text(chr(39))}, a, {text(chr(39))})), ', '), ']')"
+    return state.selectExpr("*", f"""array_compact(array(
+        CASE WHEN size({left_over}) > 0 THEN format_string({text(said['uninspected'])}, {listed}) END,
+        CASE WHEN risk IS NULL THEN {text(said['risk'])} END,
+        CASE WHEN size(flagged) = 0 THEN {text(said['flags'] % ', '.join(cat.CODES))} END,
+        CASE WHEN size(flagged) > 0 AND size(mitigated) = 0 THEN {text(said['mitigations'])} END)) AS open_questions""")
 
 
-def causal_hints(flagged: Column) -> Column:
+def causal_hints(flagged: str = "flagged") -> Column:
     """One hint per flagged code whose likely effects are not all flagged yet."""
-    effects = F.create_map(*[
-        x for src, dsts in cat.CAUSES.items()
-        for x in (F.lit(src), F.array(*[F.lit(d) for d in dsts]))])
-    names = cat.literal_map({c: f"{c} ({n})" for c, n in cat.RULE_NAME.items()})
-    open_effects = lambda c: F.filter(
-        F.coalesce(F.try_element_at(effects, c), F.array().cast(TEXTS)), lambda e: ~F.array_contains(flagged, e))
-    hints = F.transform(flagged, lambda c: F.when(F.size(open_effects(c)) > 0, F.format_string(
-        STEP_MESSAGES["hint"], c,
-        F.array_join(F.transform(open_effects(c), lambda e: F.element_at(names, e)), ", "))))
-    return F.array_compact(hints)
+    effects = "map(" + ", ".join(f"{text(c)}, {texts(ds)}" for c, ds in cat.CAUSES.items()) + ")"
+    names = mapping({c: f"{c} ({n})" for c, n in cat.RULE_NAME.items()})
+    still_open = f"filter(coalesce(try_element_at({effects}, c), array()), e -> NOT array_contains({flagged}, e))"
+    hint = (f"CASE WHEN size({still_open}) > 0 THEN format_string({text(STEP_MESSAGES['hint'])}, c, "
+            f"array_join(transform({still_open}, e -> element_at({names}, e)), ', ')) END")
+    return F.expr(f"array_compact(transform({flagged}, c -> {hint}))")
 
 
 def reward_breakdown(steps: DataFrame) -> DataFrame:

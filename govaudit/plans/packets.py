@@ -351,7 +351,7 @@ _CLEAN = (f"list_transform(list_transform(string_split(whole, '{FENCE3}'), lambd
       regexp_extract(whole, '\\{{[^{{}}]*\\}}') AS flat
     FROM (SELECT seq, {_TRIM.format('txt')} AS whole FROM noisy))""", "actions_raw", extra={"noisy": _NOISY_SQL}))
 def recovered_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _noisy(spark, sf_dir).select("seq", act.recovered_json(F.col("txt")).alias("json"))
+    return _noisy(spark, sf_dir).select("seq", act.recovered_json("txt").alias("json"))
 
 
 @query(sql.query(f"""
@@ -361,7 +361,7 @@ def recovered_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda p: CASE WHEN starts_with(p, 'json') THEN substr(p, 5) ELSE p END) AS clean
       FROM (SELECT seq, {_TRIM.format('txt')} AS whole FROM noisy)))""", "actions_raw", extra={"noisy": _NOISY_SQL}))
 def unfenced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _noisy(spark, sf_dir).select("seq", act.unfenced_json(F.col("txt")).alias("json"))
+    return _noisy(spark, sf_dir).select("seq", act.unfenced_json("txt").alias("json"))
 
 
 @query(sql.query("""
@@ -369,5 +369,5 @@ def unfenced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT seq, CASE WHEN regexp_extract(txt, '(?s)\\{.*\\}') <> '' THEN regexp_extract(txt, '(?s)\\{.*\\}') ELSE txt END
       AS action FROM noisy)""", "actions_raw", extra={"noisy": _NOISY_SQL}))
 def embedded_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _noisy(spark, sf_dir).select("seq", act.embedded_action(F.col("txt")).alias("action"))
-    return found.withColumn("is_json", act.is_json(F.col("action")))
+    found = _noisy(spark, sf_dir).select("seq", act.embedded_action("txt").alias("action"))
+    return found.withColumn("is_json", F.expr(act.is_json("action")))

@@ -165,7 +165,7 @@ def _hints(flagged: str) -> str:
 @query(sql.query(f"SELECT episode_id, array_to_string(hints, ' | ') AS hints, array_to_string(hints[:2], ' | ') AS shown "
                  f"FROM (SELECT *, {_hints('flagged')} AS hints FROM state)", "state"))
 def causal_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hinted = _state(spark, sf_dir).withColumn("hints", replay.causal_hints(F.col("flagged")))
+    hinted = _state(spark, sf_dir).withColumn("hints", replay.causal_hints())
     return hinted.select("episode_id", F.array_join("hints", " | ").alias("hints"),
                          F.array_join(F.slice("hints", 1, 2), " | ").alias("shown"))
 
