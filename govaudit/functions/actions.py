@@ -14,15 +14,17 @@ BLANKS = " \t\n\r\x0b\x0c"
 FENCE = "```"
 
 
-def strict_json(value: str) -> str:
-    """VARIANT of a text that is exactly one JSON value, else NULL.
+def _alone(value: str) -> str:
+    """Does nothing but blanks follow the first JSON value of the text?
 
-    The parser stops after the first value and ignores what follows.  Inside
-    brackets, text after the value has to fit an array; inside braces, it has
-    to fit an object.  Nothing but blanks fits both.
+    The parser stops after the first value and ignores the rest.  If the first
+    closing brace is also the end of the text, nothing can follow.  Otherwise
+    the text is parsed again within brackets, where more text has to fit an
+    array, and within braces, where it has to fit an object: no text fits both.
     """
-    return (f"CASE WHEN try_parse_json(concat('{{\"v\":', {value}, '}}')) IS NOT NULL "
-            f"THEN try_variant_get(try_parse_json(concat('[', {value}, ']')), '$[0]', 'variant') END")
+    within = f"array(concat('[', {value}, ']'), concat('{{\"v\":', {value}, '}}'))"
+    return (f"CASE WHEN instr({value}, '}}') > 0 AND btrim(substring({value}, instr({value}, '}}') + 1), {text(BLANKS)}) = '' "
+            f"THEN true ELSE coalesce(forall({within}, w -> try_parse_json(w) IS NOT NULL), false) END")
 
 
 FIELDS = ["action_type", "target", "severity", "issue_code", "note"]
@@ -35,18 +37,24 @@ def parse_actions(log: DataFrame, raw: str = "raw") -> DataFrame:
     the known types; ``severity`` is absent, null or a known level; the texts
     are strings within their length limits.  Other keys are ignored.
     """
-    # VARIANT paths on a non-object are NULL, so the checks below are safe.
-    fields = [f"try_variant_get(_doc, '$.{n}', 'string') AS _{n}" for n in FIELDS]
-    kinds = [f"coalesce(schema_of_variant(try_variant_get(_doc, '$.{n}', 'variant')), 'VOID') AS _kind_{n}" for n in FIELDS]
-    checks = ["startswith(coalesce(schema_of_variant(_doc), ''), 'OBJECT')",
-              f"coalesce(array_contains({texts(cat.ACTION_TYPES)}, _action_type), false)",
-              f"coalesce(array_contains({texts(cat.SEVERITIES)}, _severity), true)",
-              *[f"_kind_{n} IN ('STRING', 'VOID')" for n in FIELDS],
-              *[f"coalesce(char_length(_{n}) <= {m}, true)" for n, m in cat.MAX_LENGTH.items()]]
-    return (log.selectExpr("*", f"{strict_json(raw)} AS _doc")
-            .selectExpr(*log.columns, "_doc", *fields, *kinds)
-            .selectExpr(*log.columns, *[f"_{n}" for n in FIELDS], " AND ".join(checks) + " AS valid")
-            .selectExpr(*log.columns, *[f"CASE WHEN valid THEN _{n} END AS {n}" for n in FIELDS], "valid"))
+    # One look at the schema settles the types of a flat object; objects with
+    # nested values are asked field by field.  The rare branches are array functions,
+    # which keeps the generated code of the common one small enough to compile.
+    by_field = bind("try_variant_get(_doc, '$', 'MAP<STRING, VARIANT>')", "m", (
+        f"forall({texts(FIELDS)}, n -> coalesce(schema_of_variant(try_element_at(m, n)), 'VOID') IN ('STRING', 'VOID'))"))
+    wrong_type = "[< ](" + "|".join(FIELDS) + r"): (?!(STRING|VOID)[,>])"
+    texts_only = (f"CASE WHEN NOT startswith(coalesce(_schema, ''), 'OBJECT') THEN false "
+                  f"WHEN instr(substring(_schema, 8), '<') = 0 THEN NOT _schema RLIKE {text(wrong_type)} ELSE {by_field} END")
+    checks = [f"coalesce({texts_only}, false)",
+              f"coalesce(array_contains({texts(cat.ACTION_TYPES)}, _act.action_type), false)",
+              f"coalesce(array_contains({texts(cat.SEVERITIES)}, _act.severity), true)",
+              *[f"coalesce(char_length(_act.{n}) <= {m}, true)" for n, m in cat.MAX_LENGTH.items()],
+              _alone(raw)]
+    struct = ", ".join(f"{n}: STRING" for n in FIELDS)
+    return (log.selectExpr("*", f"try_parse_json({raw}) AS _doc")
+            .selectExpr("*", f"try_variant_get(_doc, '$', 'STRUCT<{struct}>') AS _act", "schema_of_variant(_doc) AS _schema")
+            .selectExpr(*log.columns, "_act", " AND ".join(checks) + " AS valid")
+            .selectExpr(*log.columns, *[f"CASE WHEN valid THEN _act.{n} END AS {n}" for n in FIELDS], "valid"))
 
 
 def split_valid(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +63,7 @@ def split_valid(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def is_json(value: str) -> str:
-    return f"({strict_json(value)}) IS NOT NULL"
+    return f"(try_parse_json({value}) IS NOT NULL AND {_alone(value)})"
 
 
 def _trimmed(value: str) -> str:
