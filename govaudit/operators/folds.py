@@ -47,14 +47,14 @@ def running_offsets(pieces: DataFrame, group: list[str], counts: dict[str, Colum
     Two levels: windows see at most 2**bits pieces of one block, or one row per
     block, never all pieces of a long group at once.
     """
-    counted = pieces.select("*", *[c.alias(n) for n, c in counts.items()],
+    counted = pieces.select("*", *[c.alias(f"_{n}") for n, c in counts.items()],
                             F.shiftright("piece", bits).alias("_block"))
-    blocks = counted.groupBy(*group, "_block").agg(*[F.sum(n).alias(f"_sum_{n}") for n in counts])
+    blocks = counted.groupBy(*group, "_block").agg(*[F.sum(f"_{n}").alias(f"_sum_{n}") for n in counts])
     before_block = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*group, "_block", *[
         F.coalesce(F.sum(f"_sum_{n}").over(before_block), F.lit(0)).alias(f"_base_{n}") for n in counts])
     inside = Window.partitionBy(*group, "_block").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = [(F.col(f"_base_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before") for n in counts]
+    offsets = [(F.col(f"_base_{n}") + F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0))).alias(f"{n}_before") for n in counts]
     return (counted.join(blocks, [*group, "_block"])
             .select(*pieces.columns, *offsets))
 
@@ -109,14 +109,16 @@ class MonotoneFold:
     def summaries(self, pieces: DataFrame, group: list[str]) -> DataFrame:
         """(group..., piece, n, items | base + cuts) per piece."""
         long = F.col("n") >= self.SHORT
+        # ``_all``: an output alias named like an input column would be taken
+        # for it inside the lambdas.
         ends = pieces.select(
-            *group, "piece", "n", "items",
+            *group, "piece", "n", F.col("items").alias("_all"),
             F.when(long, self._forward(F.col("items"), self.low)).alias("base"),
             F.when(long, self._forward(F.col("items"), self.high)).alias("_top"))
         cuts = F.when(long, self._staircase(
-            F.col("base"), F.col("_top"), lambda b: self._backward(F.col("items"), b)))
+            F.col("base"), F.col("_top"), lambda b: self._backward(F.col("_all"), b)))
         return ends.select(*group, "piece", F.col("n").cast("bigint").alias("n"),
-                           F.when(~long, F.col("items")).alias("items"), "base", cuts.alias("cuts"))
+                           F.when(~long, F.col("_all")).alias("items"), "base", cuts.alias("cuts"))
 
     def combined(self, summaries: DataFrame, group: list[str], bits: int = PIECE_BITS) -> DataFrame:
         """One summary per 2**bits neighbouring summaries of a group."""

@@ -46,7 +46,9 @@ def persona_pool(persona_scores: DataFrame, reviews: DataFrame) -> DataFrame:
     weights = {focus: weight for _, focus, weight in cat.PERSONAS}
     aggregates = []
     for focus in weights:
-        own = F.when(F.col("persona") == focus, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
+        # greatest and least skip NULLs, so a missing score is kept out of them.
+        given = (F.col("persona") == focus) & F.col("score").isNotNull()
+        own = F.when(given, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
         aggregates.append(F.coalesce(F.max(own), F.lit(0.5)).alias(focus))
     pooled = persona_scores.groupBy("episode_id").agg(*aggregates)
     total = sum((F.col(n) * F.lit(w) for n, w in weights.items()), F.lit(0.0))

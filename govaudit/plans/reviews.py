@@ -290,7 +290,7 @@ def persona_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FOCUSES = [f for _, f, _ in cat.PERSONAS]
 _POOL = "SELECT episode_id, " + ", ".join(
-    f"coalesce(max(CASE WHEN persona = {q(f)} THEN greatest(0.0, least(1.0, score)) END), 0.5) AS {f}" for f in _FOCUSES) + f"""
+    f"coalesce(max(CASE WHEN persona = {q(f)} AND score IS NOT NULL THEN greatest(0.0, least(1.0, score)) END), 0.5) AS {f}" for f in _FOCUSES) + f"""
   FROM (SELECT doc_id // 3 AS episode_id, ({sql.qlist(_FOCUSES)})[(doc_id % 3) + 1] AS persona,
       CASE WHEN doc_id % 7 = 0 THEN NULL ELSE quality * 0.5::DOUBLE + (n_chars % 100) / 100.0::DOUBLE - toxic * 0.25::DOUBLE END AS score
     FROM documents JOIN labels USING (doc_id)) GROUP BY 1"""
