@@ -29,17 +29,17 @@ def write_packets(packets: DataFrame, path: str, by: str = "sector", fmt: str =
 def load_by_id(requests: DataFrame, packets: DataFrame, fallback_id: int) -> DataFrame:
     """Packet for every requested id; ids that do not exist get ``fallback_id``.
 
-    The fallback is one row, so broadcasting it is bounded.
+    The fallback row is looked up once (a scalar subquery), so any number of
+    unknown ids costs no join on one hot key.
     """
     columns = [c for c in packets.columns if c != "packet_id"]
     known = packets.select("packet_id", F.struct(*columns).alias("packet"))
-    default = (packets.filter(F.col("packet_id") == fallback_id).limit(1)
-               .select(F.col("packet_id").alias("fallback_id"), F.struct(*columns).alias("fallback")))
-    found = requests.join(known, "packet_id", "left").crossJoin(F.broadcast(default))
+    fallback = (packets.filter(F.col("packet_id") == fallback_id).limit(1)
+                .select(F.struct(*columns).alias("fallback")).scalar())
     hit = F.col("packet").isNotNull()
-    return (found
-            .withColumn("loaded_id", F.when(hit, F.col("packet_id")).otherwise(F.col("fallback_id")))
-            .withColumn("packet", F.coalesce("packet", "fallback"))
+    return (requests.join(known, "packet_id", "left")
+            .withColumn("loaded_id", F.when(hit, F.col("packet_id")).otherwise(F.lit(fallback_id)))
+            .withColumn("packet", F.coalesce(F.col("packet"), fallback))
             .select(*requests.columns, "loaded_id", *[f"packet.{c}" for c in columns]))
 
 

@@ -50,7 +50,7 @@ def test_no_python_in_batch_plans(spark, sf_dir):
     for name, query in driver.queries().items():
         if not name.startswith("streamed_"):
             text = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-            assert not re.search(r"Python|Pandas|CartesianProduct", text), name
+            assert not re.search(r"Python|Pandas|CartesianProduct|BroadcastNestedLoop", text), name
 
 
 def test_sources_use_no_local_checkpoint():
