@@ -11,6 +11,7 @@ from govaudit.operators import grade, judge, plan, replay, scan
 from govaudit.plans import sql
 from govaudit.plans.registry import query
 from govaudit.plans.sql import listed, q
+from govaudit.session import cut_lineage
 from govaudit.sources import bridge
 
 
@@ -198,7 +199,7 @@ _TRANSCRIPT = f"""
 @query(sql.query(_TRANSCRIPT, "state", "lengths", "packets", "steps"))
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions, assigned = _inputs(spark, sf_dir)
-    steps = replay.replay(actions, assigned)
+    steps = cut_lineage(replay.replay(actions, assigned))  # used four times below
     records = replay.transcripts(steps, replay.review_state(steps, assigned), bridge.packets(spark, sf_dir),
                                  replay.episode_lengths(actions, steps))
     line = lambda s: F.concat_ws(
