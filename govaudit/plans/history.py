@@ -14,6 +14,9 @@ from govaudit.plans.sql import band, q
 from govaudit.sources import bridge
 from govaudit.sources.bridge import MISS_ORDER, ROUND_ORDER
 
+# Means of at most 20 scores have up to 11 decimals that end; rounding there
+# never meets a tie, which the two engines would round differently.
+
 # --- ratings -----------------------------------------------------------------
 
 _R = cat.RATING
@@ -59,14 +62,14 @@ _SHOWN_BEFORE = f"elo_after - {_gain('rating', 'CASE WHEN overall >= 0.75 THEN 1
 
 @query(sql.query(f"""
   SELECT agent, round_id, round({_SHOWN_BEFORE}, 4) AS elo_before, round(elo_after, 4) AS elo_after,
-    round(overall, 4) AS score, {_task('rating')} AS task_id, overall >= 0.75 AS won FROM history WHERE age <= 50""",
+    round(overall, 8) AS score, {_task('rating')} AS task_id, overall >= 0.75 AS won FROM history WHERE age <= 50""",
     extra={"rounds": ROUNDS, "history": _HISTORY}))
 def rating_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = _pieces(spark, sf_dir)
     history = rating.rating_history(pieces, rating.piece_ratings(pieces))
     kept = rating.latest(history, ROUND_ORDER)
     return kept.select("agent", "round_id", F.round("elo_before", 4).alias("elo_before"),
-                       F.round("elo_after", 4).alias("elo_after"), F.round("overall", 4).alias("score"), "task_id", "won")
+                       F.round("elo_after", 4).alias("elo_after"), F.round("overall", 8).alias("score"), "task_id", "won")
 
 
 # --- rounds ------------------------------------------------------------------
@@ -98,30 +101,30 @@ def kept_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(count(*) FILTER (WHERE won) / greatest(1, count(*)), 6) AS reviewer_win_rate,
     round(count(*) FILTER (WHERE NOT won) / greatest(1, count(*)), 6) AS maker_win_rate,
     CASE WHEN count(*) FILTER (WHERE won AND age <= 5) >= 3 THEN {q(cat.TREND_UP)} ELSE {q(cat.TREND_DOWN)} END AS trend,
-    round(avg(overall) FILTER (WHERE age <= 10), 6) AS avg_score
+    round(avg(overall) FILTER (WHERE age <= 10), 11) AS avg_score
   FROM (SELECT *, overall >= 0.75 AS won FROM history) GROUP BY 1""", extra={"rounds": ROUNDS, "history": _HISTORY}))
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = board.leaderboard(bridge.rounds(spark, sf_dir), ROUND_ORDER)
     return table.select("agent", "total_rounds", "reviewer_wins", "maker_wins",
-                        *rounded("reviewer_win_rate", "maker_win_rate"), "trend", *rounded("avg_score"))
+                        *rounded("reviewer_win_rate", "maker_win_rate"), "trend", F.round("avg_score", 11).alias("avg_score"))
 
 
 @query(sql.query("""
-  SELECT agent, round(recent_avg, 6) AS recent_avg, n_recent, CAST(task_id AS BIGINT) AS task_id,
+  SELECT agent, round(recent_avg, 11) AS recent_avg, n_recent, CAST(task_id AS BIGINT) AS task_id,
     CAST(CASE WHEN n_recent >= 5 AND recent_avg > 0.72 AND task_id < 3 THEN task_id + 1 ELSE task_id END AS BIGINT) AS next_task
   FROM (SELECT agent, avg(overall) AS recent_avg, CAST(count(*) AS BIGINT) AS n_recent, agent % 3 + 1 AS task_id
         FROM history WHERE age <= 5 GROUP BY agent)""", extra={"rounds": ROUNDS, "history": _HISTORY}))
 def mastery_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = bridge.rounds(spark, sf_dir).withColumn("task_id", F.col("agent") % 3 + 1)
     return memory.mastery_gate(scores, ROUND_ORDER).select(
-        "agent", *rounded("recent_avg"), "n_recent", "task_id", "next_task")
+        "agent", F.round("recent_avg", 11).alias("recent_avg"), "n_recent", "task_id", "next_task")
 
 
-@query(sql.query("SELECT agent, CAST(count(*) AS BIGINT) AS total_episodes, round(avg(overall) FILTER (WHERE age <= 20), 6) "
+@query(sql.query("SELECT agent, CAST(count(*) AS BIGINT) AS total_episodes, round(avg(overall) FILTER (WHERE age <= 20), 11) "
                  "AS avg_grader_score FROM history GROUP BY 1", extra={"rounds": ROUNDS, "history": _HISTORY}))
 def rolling_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = memory.rolling_score(bridge.rounds(spark, sf_dir), ROUND_ORDER, score="overall")
-    return scores.select("agent", "total_episodes", *rounded("avg_grader_score"))
+    return scores.select("agent", "total_episodes", F.round("avg_grader_score", 11).alias("avg_grader_score"))
 
 
 # --- miss rates --------------------------------------------------------------
