@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,3 +49,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for state and stream outputs."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="govaudit-py-"), "govaudit")
+        context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package)))
+        _shipped.add(context.applicationId)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from govaudit import catalog as cat
+from govaudit.session import ship_package
 
 OUTPUT = "episode_id STRING, seq BIGINT, status STRING, step BIGINT, reward DOUBLE, total_reward DOUBLE"
 STATE = ("step BIGINT, done BOOLEAN, total DOUBLE, risk STRING, inspected ARRAY<STRING>, "
@@ -131,5 +132,6 @@ def score_stream(actions: DataFrame, max_steps: int = cat.MAX_STEPS, late: str =
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + silence_ms)
         yield pd.DataFrame(out, columns=columns)
 
+    ship_package(actions.sparkSession)
     return (actions.withWatermark("ts", late).groupBy("episode_id")
             .applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout))
