@@ -120,7 +120,7 @@ def test_registry_takes_more_rules(spark):
     assert [r.detected for r in scan.scan(rows, registry).orderBy("packet_id").collect()] == [["X-1"], []]
 
 
-# Four packets of our own with the features of the known reference cases:
+# Four packets of our own with the features of four known cases:
 # the last hides three declared codes and shows one that is not declared.
 GOLDEN = [
     (["PII-001"], {"logging_policy.yaml": "capture: full\nraw_prompt_capture: enabled\npii_filter: disabled",
