@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from govaudit.llm import packing, token_files
+from govaudit.llm import packing, syncmers, token_files
 from govaudit.llm.common import table
 from govaudit.session import new_path
 
@@ -25,8 +26,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=1)
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return syncmers.fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.expr(syncmers.fingerprint("sketch")).alias("fingerprint"),
+        F.expr(syncmers.fingerprint("edited_sketch")).alias("edited_fingerprint"),
+        F.expr(syncmers.likeness("sketch", "edited_sketch")).alias("near_edited"),
+        F.expr(syncmers.likeness("sketch", "next_sketch")).alias("near_next"))
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op6_packing": op6_packing,
+    "op7_syncmers": op7_syncmers,
 }
 SQL: dict[str, str] = {}
