@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from govaudit.llm.common import slices, spread, text_bytes
 from govaudit.llm.subwords import subword_table
 from govaudit.llm.token_files import crc32_of
+from govaudit.session import ship_package
 
 WINDOW = 2048
 TIERS = (128, 256, 512, 1024, 2048)
@@ -142,4 +143,5 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], step: int):
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step: int = STEP) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text); see the module's text."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_pack(tokenizer, end_id, tiers, step), PIECES)

@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govaudit.llm import packing, syncmers, token_files
+from govaudit.llm import near_dedup, packing, syncmers, token_files
 from govaudit.llm.common import table
 from govaudit.session import new_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     path = new_path(spark, "token-files")
@@ -38,8 +43,34 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hyperminhash": op1_hyperminhash,
     "op2_token_files": op2_token_files,
     "op6_packing": op6_packing,
     "op7_syncmers": op7_syncmers,
 }
-SQL: dict[str, str] = {}
+
+_OP1 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words),
+classes AS (SELECT min(doc_id) AS rep, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+rows AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM classes),
+pairs AS (
+  SELECT a.rep AS u, b.rep AS v FROM rows a JOIN rows b ON a.x = b.x AND a.rep > b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges AS (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs),
+reach AS (SELECT rep AS node, rep AS seen FROM classes UNION SELECT r.node, e.v FROM reach r JOIN edges e ON r.seen = e.u),
+labels AS (SELECT node, min(seen) AS label FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.label, s.doc_id) AS component_id,
+       s.doc_id = coalesce(l.label, s.doc_id) AS kept
+FROM sets s LEFT JOIN classes c ON list_sort(s.s) = c.s LEFT JOIN labels l ON c.rep = l.node
+"""
+
+SQL: dict[str, str] = {
+    "op1_hyperminhash": _OP1,
+}

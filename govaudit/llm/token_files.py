@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from govaudit.llm.common import slices, spread, text_bytes
 from govaudit.llm.subwords import subword_table
+from govaudit.session import ship_package
 
 #: Tokens after which a block is closed.
 BLOCK = 1 << 20
@@ -115,6 +116,7 @@ READ = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("start", pa.in
 
 def write_token_files(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0) -> None:
     """Encodes every text of ``docs`` (doc_id, text) and writes token files to ``to``."""
+    ship_package(docs.sparkSession)
     ordered = (docs.select(F.col("doc_id").cast("long"), F.col("text"))
                .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
     ordered.mapInArrow(_blocks(tokenizer, end_id), BLOCKS).write.parquet(to)
@@ -140,6 +142,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(spark, path: str) -> DataFrame:
     """One row per document: doc_id, start (tokens of all documents before it), n_tokens,
     ids (little-endian unsigned 32-bit integers)."""
+    ship_package(spark)
     blocks = spark.read.schema(BLOCKS).parquet(path)
     # one row per part, however many documents: its tokens, then those of all parts before it
     parts = (blocks.select("shard", "start", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
