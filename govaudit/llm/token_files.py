@@ -149,7 +149,8 @@ def read_token_files(spark, path: str) -> DataFrame:
              .groupBy("shard").agg(F.max(F.col("start") + F.col("n")).alias("n")))
     before = parts.select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     documents = blocks.mapInArrow(_documents, DOCUMENTS)
-    return documents.join(before, "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids")
+    # a row per part of the writing job: bounded by its number of partitions
+    return documents.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 
 def ids_crc32(ids: F.Column) -> F.Column:
