@@ -8,13 +8,19 @@ stretches one after the other; the tokenizers library encodes each stretch.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 from govaudit.llm.common import SPACE, prefix_sums, slices, stretch_hashes, spread
 
+#: White space, then letters below U+0250, then one mark: these are tokens of their own before merging.
+_PLAIN = re.compile("(\n?)( ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])+)([.,;:!?|]?)")
+
 #: Stretches that a worker remembers before it starts anew (about 30 bytes each).
 REMEMBERED = 2_000_000
+#: Words between marks that it remembers as well.
+REMEMBERED_WORDS = 200_000
 _tables: dict[str, SubwordTable] = {}
 
 
@@ -46,6 +52,14 @@ def stretch_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level tokenizer names each byte: printable Latin-1 characters
+    name themselves, the others follow from U+0100."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class SubwordTable:
     """The ids of every stretch seen so far, by hash."""
 
@@ -56,6 +70,12 @@ class SubwordTable:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # a byte-level tokenizer without normaliser: its model can be given words as they are
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        plain = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and not self.tokenizer.pre_tokenizer.add_prefix_space
+        self.letters = byte_letters() if plain else None
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
@@ -64,10 +84,27 @@ class SubwordTable:
         self.count = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
+        self.words: dict[str, list[int]] = {}
+
+    def ids_of(self, stretch: str) -> list[int]:
+        """The ids of a stretch; letters and marks of plain ones go to the tokenizer's model one by one."""
+        plain = self.letters is not None and _PLAIN.fullmatch(stretch)
+        if not plain:
+            return self.tokenizer.encode(stretch, add_special_tokens=False).ids
+        ids: list[int] = []
+        for word in plain.groups():
+            if word:
+                if word not in self.words:
+                    if len(self.words) >= REMEMBERED_WORDS:
+                        self.words.clear()
+                    known = word.encode().decode("latin-1").translate(self.letters)
+                    self.words[word] = [x.id for x in self.model.tokenize(known)]
+                ids += self.words[word]
+        return ids
 
     def learn(self, hashes: np.ndarray, stretches: list[str]) -> None:
         """Adds stretches that aren't in the table; hashes ascend."""
-        encoded = [x.ids for x in self.tokenizer.encode_batch(stretches, add_special_tokens=False)]
+        encoded = [self.ids_of(x) for x in stretches]
         counts = np.array([len(x) for x in encoded], dtype=np.int64)
         new = np.concatenate([np.array(x, dtype=np.uint32) for x in encoded])
         while self.used + len(new) > len(self.flat):
