@@ -5,8 +5,9 @@ return). Of its k-mers of ``K`` = 5 words those are anchors whose smallest
 inner ``S``-mer (2 words, by hash) stands at the first or the last place: a
 closed syncmer. Whether a k-mer is an anchor depends on its own words alone, so
 equal passages have equal anchors wherever they stand, at the same distances
-(``anchors`` gives the places). A text with fewer words has one anchor, the
-hash of all its words; so has a null or empty text, with no words.
+(``anchors`` gives the places). A text with fewer words, or none of whose
+k-mers is closed, has one anchor, the hash of all its words; so has a null or
+empty text, with no words.
 
 A fingerprint is the ``SKETCH`` smallest distinct anchor hashes (32 bits each,
 8 hex digits). The likeness of two fingerprints is the share of their joint
@@ -46,18 +47,25 @@ _CLOSED = "least(x, m[i + 3]) <= least(m[i + 1], m[i + 2])"
 _HASH = "shiftrightunsigned(xxhash64(x, m[i + 2], m[i + 3]), 32)"
 
 
+def _anchors(entry: str, whole: str) -> str:
+    """SQL: ``entry`` of each closed k-mer (x is the pair at word i), or ``whole`` alone where there is none."""
+    closed = f"filter(transform(slice(m, 1, size(h) - {K - 1}), (x, i) -> CASE WHEN {_CLOSED} THEN {entry} END), y -> y IS NOT NULL)"
+    found = _let(closed, "f", f"CASE WHEN size(f) > 0 THEN f ELSE array({whole}) END")
+    return f"CASE WHEN size(h) < {K} THEN array({whole}) ELSE {found} END"
+
+
+_WHOLE = "shiftrightunsigned(xxhash64(h), 32)"
+
+
 def anchor_hashes(text: str) -> str:
     """SQL: the hashes of all anchors of a text, in order."""
-    return _with_mers(text, f"""CASE WHEN size(h) < {K} THEN array(shiftrightunsigned(xxhash64(h), 32)) ELSE
-        filter(transform(slice(m, 1, size(h) - {K - 1}), (x, i) -> CASE WHEN {_CLOSED} THEN {_HASH} END), y -> y IS NOT NULL) END""")
+    return _with_mers(text, _anchors(_HASH, _WHOLE))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
     """One row per anchor of ``docs`` (doc_id, text): doc_id, word (its first word's place from 0), hash."""
-    places = _with_mers("text", f"""CASE WHEN size(h) < {K} THEN array(named_struct('word', 0, 'hash', shiftrightunsigned(xxhash64(h), 32))) ELSE
-        filter(transform(slice(m, 1, size(h) - {K - 1}), (x, i) -> CASE WHEN {_CLOSED} THEN named_struct('word', i, 'hash', {_HASH}) END),
-               y -> y IS NOT NULL) END""")
-    return docs.select("doc_id", F.expr(f"inline({places})"))
+    places = _anchors(f"named_struct('word', i, 'hash', {_HASH})", f"named_struct('word', 0, 'hash', {_WHOLE})")
+    return docs.select("doc_id", F.expr(f"inline({_with_mers('text', places)})"))
 
 
 def sketch(text: str) -> str:
