@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govaudit.llm import near_dedup, packing, syncmers, token_files
+from govaudit.llm import near_dedup, packing, repeats, syncmers, token_files
 from govaudit.llm.common import table
 from govaudit.session import new_path
 
@@ -42,11 +42,18 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(syncmers.likeness("sketch", "next_sketch")).alias("near_next"))
 
 
+def op9_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated passages."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_token_files": op2_token_files,
     "op6_packing": op6_packing,
     "op7_syncmers": op7_syncmers,
+    "op9_prefix_free_parsing": op9_prefix_free_parsing,
 }
 
 _OP1 = r"""
