@@ -10,14 +10,14 @@ number of leading zeros and the ``MANTISSA`` bits that follow, 16 bits in all.
    agree in a band share a bin. Empty registers take part, all-empty bands
    don't. A pair of likeness 0.75 shares none of the 64 bins with a chance of
    (1 - 0.75^5)^64 = 3e-8, and less where it is more alike.
-3. First each bin's documents are compared with its smallest; what is confirmed
-   gives a first set of components. Bins that lie within one component are
+3. First documents are compared with the smallest of a bin if they meet it in
+   ``OFTEN`` bins; what is confirmed gives a first set of components. Bins that lie within one component are
    done: no pair of theirs can change anything.
 4. In the other bins each pair from different components is compared, if the
    bin has at most ``CROWD`` documents. Documents that meet only in crowded bins
    meet in two or more (one of likeness 0.75 in fewer than two with a chance of
-   6e-7); for those in at least two such bins an exact prefix filter finds the
-   pairs: with a document's shingles in ascending order of frequency, the first
+   6e-7); for those in at least two such bins, and for small sets in one, an
+   exact prefix filter finds the pairs: with a document's shingles in ascending order of frequency, the first
    one that a pair shares stands so early in both that what follows suffices for
    the threshold. Common passages come last in that order, and so do words that
    a group of copies has in common, so neither brings its documents together.
@@ -54,6 +54,10 @@ BANDS, BAND, MANTISSA = 64, 5, 10
 REGISTERS = BANDS * BAND
 #: Documents in a bin up to which its pairs are formed; beyond, the prefix filter finds them.
 CROWD = 16
+#: Bins that a document shares with their smallest one for the first comparison (fewer for small sets).
+OFTEN = 4
+#: Shingles under which one crowded bin suffices for the prefix filter.
+FEW = 32
 
 _RANDOM = np.random.default_rng(75)
 _PLACE = _RANDOM.integers(1, 2**63, max(SHINGLE, BAND), dtype=np.uint64) * U64(2) + U64(1)
@@ -252,8 +256,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = stored(bins.join(counts, "bin"), "bins")
     sizes = sketches.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("m")).dropDuplicates(["v"])
 
-    stars = (shared.where("rep > centre").select(F.col("rep").alias("u"), "n", F.col("centre").alias("v")).distinct()
-             .join(sizes, "v").where(_fits("n", "m")).select("u", "v"))
+    # those that meet their centre often; step 4 compares what is left out here
+    stars = (shared.where("rep > centre").groupBy(F.col("rep").alias("u"), "n", F.col("centre").alias("v")).agg(F.count("*").alias("bins"))
+             .where(f"bins >= greatest(1, least({OFTEN}, n div 2))").join(sizes, "v").where(_fits("n", "m")).select("u", "v"))
     links = stored(_confirmed(stored(_likely(stars, reps), "pairs"), texts), "links")
     first = stored(components(links), "labels")
 
@@ -263,9 +268,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = stored(labelled.join(open_bins, "bin"), "open-bins")
     small = left.where(f"size <= {CROWD}")
     other = small.select("bin", F.col("rep").alias("v"), F.col("label").alias("its"), F.col("n").alias("m"))
-    pairs = (small.join(other, "bin").where(f"rep > v AND label <> its AND v <> centre AND {_fits('n', 'm')}")
+    pairs = (small.join(other, "bin").where(f"rep > v AND label <> its AND {_fits('n', 'm')}")
              .select(F.col("rep").alias("u"), "v"))
-    crowd = left.where(f"size > {CROWD}").groupBy("rep", "label").agg(F.count("*").alias("bins")).where("bins > 1").select("rep", "label")
+    crowd = (left.where(f"size > {CROWD}").groupBy("rep", "label", "n").agg(F.count("*").alias("bins"))
+             .where(f"bins > 1 OR n < {FEW}").select("rep", "label"))
     pairs = stored(pairs.union(prefix_pairs(crowd, texts)).distinct(), "pairs")
     more = stored(_confirmed(stored(_likely(pairs, reps), "pairs"), texts), "links")
     labels = stored(components(links.union(more)), "labels")
