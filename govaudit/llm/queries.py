@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govaudit.llm import near_dedup, packing, repeats, syncmers, token_files
+from govaudit.llm import near_dedup, packing, repeats, severity, syncmers, token_files
 from govaudit.llm.common import table
 from govaudit.session import new_path
 
@@ -48,12 +48,19 @@ def op9_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected toxicity of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return severity.score(docs, severity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_token_files": op2_token_files,
     "op6_packing": op6_packing,
     "op7_syncmers": op7_syncmers,
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
+    "op10_severity": op10_severity,
 }
 
 _OP1 = r"""
