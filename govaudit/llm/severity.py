@@ -35,7 +35,7 @@ from govaudit.session import ship_package
 
 #: The bound of the labelled sample that the classifier is fitted on.
 SAMPLE = 20_000
-FEATURES, LEAST, RATIO = 4096, 3, 12.0
+FEATURES, LEAST, RATIO = 4096, 3, 20.0
 CUTS = (0.01, 0.025)
 GRADES = 4
 
