@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govaudit.llm import near_dedup, packing, repeats, severity, syncmers, token_files
+from govaudit.llm import host_paths, near_dedup, packing, repeats, severity, syncmers, token_files
 from govaudit.llm.common import table
 from govaudit.session import new_path
 
@@ -31,6 +31,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=1)
 
 
+def op4_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return (host_paths.extract_pages(table(spark, sf_dir, "pages"))
+            .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))
+
+
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return syncmers.fingerprints(table(spark, sf_dir, "documents")).select(
@@ -57,6 +63,7 @@ def op10_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_token_files": op2_token_files,
+    "op4_host_paths": op4_host_paths,
     "op6_packing": op6_packing,
     "op7_syncmers": op7_syncmers,
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
