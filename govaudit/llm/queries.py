@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govaudit.llm import host_paths, near_dedup, packing, repeats, severity, syncmers, token_files
+from govaudit.llm import hamming, host_paths, near_dedup, packing, repeats, severity, syncmers, token_files
 from govaudit.llm.common import table
 from govaudit.session import new_path
 
@@ -37,6 +37,12 @@ def op4_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))
 
 
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest codes of every embedding whose id is divisible by 20, among all."""
+    codes = hamming.binary_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hamming.nearest(codes, codes.where("id % 20 = 0"), 10)
+
+
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return syncmers.fingerprints(table(spark, sf_dir, "documents")).select(
@@ -64,6 +70,7 @@ QUERIES = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_token_files": op2_token_files,
     "op4_host_paths": op4_host_paths,
+    "op5_multi_index_hashing": op5_multi_index_hashing,
     "op6_packing": op6_packing,
     "op7_syncmers": op7_syncmers,
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
@@ -92,6 +99,17 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.label, s.doc
 FROM sets s LEFT JOIN classes c ON list_sort(s.s) = c.s LEFT JOIN labels l ON c.rep = l.node
 """
 
+_OP5 = """
+WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x > 0 AS INTEGER)) AS bits FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS id,
+         CAST(list_sum(list_transform(range(1, 65), lambda i: abs(q.bits[i] - c.bits[i]))) AS BIGINT) AS distance
+  FROM codes q, codes c WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM pairs)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
 SQL: dict[str, str] = {
+    "op5_multi_index_hashing": _OP5,
     "op1_hyperminhash": _OP1,
 }
