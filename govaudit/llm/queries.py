@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govaudit.llm import hamming, host_paths, near_dedup, packing, repeats, severity, syncmers, token_files
+from govaudit.llm import hamming, host_paths, near_dedup, packing, repeats, severity, syncmers, token_files, word_table
 from govaudit.llm.common import table
 from govaudit.session import new_path
 
@@ -31,6 +31,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=1)
 
 
+def op3_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded by their distinct words."""
+    return word_table.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return (host_paths.extract_pages(table(spark, sf_dir, "pages"))
@@ -69,6 +75,7 @@ def op10_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_token_files": op2_token_files,
+    "op3_word_table": op3_word_table,
     "op4_host_paths": op4_host_paths,
     "op5_multi_index_hashing": op5_multi_index_hashing,
     "op6_packing": op6_packing,
