@@ -12,7 +12,7 @@ order is that of their chunks, which is fixed once the first table is written.)
   strings have equal triggers at equal distances: phrases that hold a common
   string have the same gram.
 * **Which grams repeat.** Chunks of documents send the hashes of their grams to
-  hash buckets and get back a bit for each. Phrases of a gram that occurs once
+  hash buckets (48 bits each) and get back a bit for each. Phrases of a gram that occurs once
   in the corpus repeat nothing and stay where they are.
 * **Dictionary.** The other phrases, each distinct one once per chunk, meet by
   gram. Of each distinct phrase the earliest occurrence stays; in all later ones
@@ -23,7 +23,7 @@ order is that of their chunks, which is fixed once the first table is written.)
   equal strings the first is the original, the others repeat it.
 * The repeated ranges go back to their chunks.
 
-A task holds a bucket's hashes (8 bytes for each distinct gram of a chunk) or
+A task holds a bucket's hashes (6 bytes for each distinct gram of a chunk) or
 the distinct phrases of one gram (at most 168 bytes each), however often they
 occur. Null and empty texts, and those under 100 bytes, lose nothing.
 """
@@ -38,6 +38,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from govaudit.llm.common import U64, mixed, powers, prefix_sums, slices, spread, stored, text_bytes
 from govaudit.session import ship_package
@@ -49,19 +50,19 @@ SORTED = 1 << 14
 REACH = LENGTH - GRAM  # grams to the right of a string's first one
 WIDTH = REACH + LENGTH  # bytes of the longest phrase
 
-CHUNKS = "chunk long, doc_ids array<long>, lengths array<long>, text binary"
-CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("text", pa.binary())])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, count, squeeze = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=1)
+    task, count, squeeze = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=6)
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         names = batch.column(0).to_pylist()
         for a, b in slices(offsets, CHUNK):
             text = squeeze.compress(data[offsets[a]: offsets[b]].tobytes())
-            yield pa.RecordBatch.from_pydict({"chunk": [task + count], "doc_ids": [names[a:b]],
-                                              "lengths": [np.diff(offsets[a: b + 1]).tolist()], "text": [text]}, CHUNK_SCHEMA)
+            rows = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(2).slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([task + count]), pa.array([names[a:b]], pa.list_(pa.int64())),
+                                              pa.array([np.diff(offsets[a: b + 1]).tolist()], pa.list_(pa.int64())), pa.array([text], pa.binary()), rows],
+                                             names=["chunk", "doc_ids", "lengths", "text", "carried"])
             count += 1
 
 
@@ -99,22 +100,32 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], counts, of[first], grams[of[first]]
 
 
+def _six(hashes: np.ndarray) -> bytes:
+    """The upper six bytes of each."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _of_six(raw: bytes) -> np.ndarray:
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return np.concatenate([np.zeros((len(rows), 2), np.uint8), rows], axis=1).view("<u8").ravel()
+
+
 def _grams(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                hashes = np.unique(parse(*_text(row))[3])
+                hashes = np.unique(parse(*_text(row))[3] >> U64(16) << U64(16))  # 48 bits; a chance agreement is only looked at in vain
                 bounds = np.searchsorted((hashes >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1))
                 yield pa.RecordBatch.from_pydict(
                     {"chunk": [row["chunk"]] * buckets, "bucket": list(range(buckets)),
-                     "hashes": [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]},
+                     "hashes": [_six(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]},
                     pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary())]))
 
     return send
 
 
 def _answer(group: pa.Table) -> pa.Table:
-    sent = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
+    sent = [_of_six(x) for x in group["hashes"].to_pylist()]
     distinct, which, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
     again = (counts > 1)[which]
     ends = np.cumsum([len(x) for x in sent])
@@ -123,23 +134,23 @@ def _answer(group: pa.Table) -> pa.Table:
                      "size": pa.array([len(x) for x in sent], pa.int64())})
 
 
-PHRASES = pa.schema([("route", pa.int64()), ("gram", pa.int64()), ("phrase", pa.binary()), ("trigger", pa.int64()), ("doc_id", pa.int64()),
-                     ("chunk", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+#: Rows without a phrase are ranges known to repeat, n strings long; their gram only spreads them.
+PHRASES = pa.schema([("gram", pa.int64()), ("phrase", pa.binary()), ("doc_id", pa.int64()), ("chunk", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             data, offsets = _text(row)
-            start, n, trigger, gram = parse(data, offsets)
-            hashes, which, times = np.unique(gram, return_inverse=True, return_counts=True)
+            start, n, _, gram = parse(data, offsets)
+            hashes, which, times = np.unique(gram >> U64(16), return_inverse=True, return_counts=True)
             answers = sorted(row["answers"], key=lambda x: x["bucket"])
             bits = [np.unpackbits(np.frombuffer(x["again"], np.uint8), count=x["size"]) for x in answers]
             again = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
             kept = np.flatnonzero((again | (times > 1))[which])
             if not len(kept):
                 continue
-            start, n, trigger, gram = start[kept], n[kept], trigger[kept], gram[kept]
+            start, n, gram = start[kept], n[kept], gram[kept]
             raw = data.tobytes()
             names = np.array([-1 << 63 if x is None else x for x in row["doc_ids"]], dtype=np.int64)
             document = np.searchsorted(offsets, start, "right") - 1
@@ -152,8 +163,8 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chunk = row["chunk"]
             for part in (sent[i: i + 20_000] for i in range(0, len(sent), 20_000)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[part].view(np.int64)), pa.array(gram[part].view(np.int64)), pa.array([phrases[k] for k in part.tolist()], pa.binary()),
-                     pa.array(trigger[part] - start[part]), pa.array(ids[part]), pa.array(np.full(len(part), chunk)), pa.array(start[part]), pa.array(n[part])],
+                    [pa.array(gram[part].view(np.int64)), pa.array([phrases[k] for k in part.tolist()], pa.binary()), pa.array(ids[part]),
+                     pa.array(np.full(len(part), chunk)), pa.array(start[part]), pa.array(n[part])],
                     schema=PHRASES)
             if len(repeated):  # known already; as few ranges as possible
                 a, b = start[repeated], start[repeated] + n[repeated]
@@ -161,11 +172,11 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = a[first], b[np.append(first[1:] - 1, len(b) - 1)]
                 size, nothing = len(a), pa.nulls(len(a), pa.int64())
                 route = mixed(a.astype(np.uint64) ^ U64(chunk & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(route), nothing, pa.nulls(size, pa.binary()), nothing, nothing, pa.array(np.full(size, chunk)),
+                yield pa.RecordBatch.from_arrays([pa.array(route), pa.nulls(size, pa.binary()), nothing, pa.array(np.full(size, chunk)),
                                                   pa.array(a), pa.array(b - a)], schema=PHRASES)
 
 
-def sort_suffixes(phrases: list[bytes], triggers: np.ndarray, groups: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sort_suffixes(phrases: list[bytes], groups: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the dictionary's suffixes of 100 bytes and more, those that an earlier phrase of the same
     group holds: the phrase, and the suffix's place in it. ``order`` is the phrases' corpus order."""
     sizes = np.array([len(p) for p in phrases], dtype=np.int64)
@@ -199,7 +210,7 @@ def _by_chunk(chunk: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordB
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by gram, phrase and corpus order; phrases of different grams may be sorted together."""
-    book: dict[str, list] = {k: [] for k in ("phrase", "trigger", "group", "doc_id", "chunk", "start")}
+    book: dict[str, list] = {k: [] for k in ("phrase", "group", "doc_id", "chunk", "start")}
     last: tuple = (None, None)
     pending = 0
 
@@ -209,20 +220,20 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, chunk, start = (np.array(book[k], dtype=np.int64) for k in ("group", "chunk", "start"))
         order = np.empty(len(group), np.int64)
         order[np.lexsort((start, chunk, np.array(book["doc_id"], dtype=np.int64)))] = np.arange(len(group))
-        k, place = sort_suffixes(book["phrase"], np.array(book["trigger"]), group, order)
+        k, place = sort_suffixes(book["phrase"], group, order)
         for x in book.values():
             x.clear()
         return _by_chunk(chunk[k], start[k] + place, np.ones(len(k), np.int64))
 
     held: list[tuple] = []  # the distinct phrases of the gram at hand
     for batch in batches:
-        known = np.asarray(batch.column(2).is_null())
+        known = np.asarray(batch.column(1).is_null())
         if known.any():
             rows = batch.filter(pa.array(known))
-            yield _by_chunk(rows.column(5).to_numpy(), rows.column(6).to_numpy(), rows.column(7).to_numpy())
+            yield _by_chunk(rows.column(3).to_numpy(), rows.column(4).to_numpy(), rows.column(5).to_numpy())
             batch = batch.filter(pa.array(~known))
         later = []
-        for gram, phrase, trigger, doc_id, chunk, start, n in zip(*(batch.column(k).to_pylist() for k in range(1, 8))):
+        for gram, phrase, doc_id, chunk, start, n in zip(*(batch.column(k).to_pylist() for k in range(6))):
             if (gram, phrase) == last:
                 later.append((chunk, start, n))
                 continue
@@ -236,7 +247,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.clear()
                 pending += 1
             last = (gram, phrase)
-            held.append((phrase, trigger, pending, doc_id, chunk, start))
+            held.append((phrase, pending, doc_id, chunk, start))
         if later:
             yield _by_chunk(*(np.array(x, dtype=np.int64) for x in zip(*later)))
     if len(held) > 1:
@@ -250,11 +261,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(as_text: bool):
     kind = pa.string() if as_text else pa.binary()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", kind)])
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carried"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            carried = batch.column(5)
+            for at, row in enumerate(batch.select(range(5)).to_pylist()):
                 data, offsets = _text(row)
                 ranges = np.frombuffer(b"".join(row["ranges"] or []), "<u4").reshape(-1, 2).astype(np.int64)
                 edges = np.zeros(len(data) + 1, dtype=np.int64)
@@ -272,25 +284,32 @@ def _cut(as_text: bool):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(row["doc_ids"][a:b], pa.int64()), pa.array(sizes[a:b]), pa.array(np.diff(removed[offsets[a: b + 1]])),
                          pa.array(np.diff(spans[offsets[a: b + 1]])),
-                         pa.array([x.decode("utf-8", "ignore") for x in kept[a:b]] if as_text else kept[a:b], kind)], schema=schema)
+                         pa.array([x.decode("utf-8", "ignore") for x in kept[a:b]] if as_text else kept[a:b], kind), carried[at].values.slice(a, b - a)],
+                        names=names)
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes; as_text:
-    as text, without what is left of characters cut in two) for each row of ``docs`` (doc_id, text).
-    Starts a job."""
+    as text, without what is left of characters cut in two) for each row of ``docs`` (doc_id, text), and
+    carried, a struct of the columns ``carry``. Starts a job."""
     spark = docs.sparkSession
     ship_package(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks, CHUNKS), "chunks")
-    sent = chunks.mapInArrow(_grams(buckets), "chunk long, bucket long, hashes binary")
+    read = docs.select(F.col("doc_id").cast("long"), "text", F.struct(*(F.col(f"`{c}`") for c in carry), F.lit(0).alias("_")).alias("carried"))
+    kind = read.schema["carried"].dataType
+    shape = (StructType().add("chunk", "long").add("doc_ids", ArrayType(LongType())).add("lengths", ArrayType(LongType()))
+             .add("text", "binary").add("carried", ArrayType(kind)))
+    chunks = stored(read.mapInArrow(_chunks, shape), "chunks")
+    texts = chunks.select("chunk", "doc_ids", "lengths", "text")
+    sent = texts.mapInArrow(_grams(buckets), "chunk long, bucket long, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, again binary, size long")
     per_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "again", "size")).alias("answers"))
-    phrases = chunks.join(per_chunk, "chunk").select("chunk", "doc_ids", "lengths", "text", "answers").mapInArrow(
-        _phrases, "route long, gram long, phrase binary, trigger long, doc_id long, chunk long, start long, n long")
-    ranges = (phrases.repartition("route").sortWithinPartitions("gram", "phrase", "doc_id", "chunk", "start")
+    phrases = texts.join(per_chunk, "chunk").select("chunk", "doc_ids", "lengths", "text", "answers").mapInArrow(
+        _phrases, "gram long, phrase binary, doc_id long, chunk long, start long, n long")
+    ranges = (phrases.repartition("gram").sortWithinPartitions("gram", "phrase", "doc_id", "chunk", "start")
               .mapInArrow(_repeated, "chunk long, ranges binary").groupBy("chunk").agg(F.collect_list("ranges").alias("ranges")))
-    return chunks.join(ranges, "chunk", "left").select("chunk", "doc_ids", "lengths", "text", "ranges").mapInArrow(
-        _cut(as_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    kept = StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add(
+        "kept", "string" if as_text else "binary").add("carried", kind)
+    return chunks.join(ranges, "chunk", "left").select("chunk", "doc_ids", "lengths", "text", "ranges", "carried").mapInArrow(_cut(as_text), kept)
