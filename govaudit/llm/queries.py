@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govaudit.llm import hamming, host_paths, near_dedup, packing, repeats, severity, syncmers, token_files, word_table
+from govaudit.llm import attention_lm, hamming, host_paths, near_dedup, packing, repeats, severity, syncmers, token_files, word_table
 from govaudit.llm.common import table
 from govaudit.session import new_path
 
@@ -60,6 +60,11 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(syncmers.likeness("sketch", "next_sketch")).alias("near_next"))
 
 
+def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return attention_lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op9_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without their repeated passages."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
@@ -80,6 +85,7 @@ QUERIES = {
     "op5_multi_index_hashing": op5_multi_index_hashing,
     "op6_packing": op6_packing,
     "op7_syncmers": op7_syncmers,
+    "op8_attention_lm": op8_attention_lm,
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_severity": op10_severity,
 }
