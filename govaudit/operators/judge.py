@@ -39,8 +39,8 @@ def persona_pool(persona_scores: DataFrame, reviews: DataFrame) -> DataFrame:
     """Weighted panel score per episode.
 
     ``persona_scores``: episode_id, persona (focus), score.  A missing score
-    counts 0.5, others are clamped to [0, 1].  ``reviews``: episode_id,
-    decision, expected_decision.  The three personas are summed in one map-side
+    counts 0.5, others are clamped to [0, 1]; so does a review without any.
+    ``reviews``: episode_id, decision, expected_decision.  The three personas are summed in one map-side
     combined aggregation.
     """
     weights = {focus: weight for _, focus, weight in cat.PERSONAS}
@@ -52,7 +52,7 @@ def persona_pool(persona_scores: DataFrame, reviews: DataFrame) -> DataFrame:
         aggregates.append(F.coalesce(F.max(own), F.lit(0.5)).alias(focus))
     pooled = persona_scores.groupBy("episode_id").agg(*aggregates)
     total = sum((F.col(n) * F.lit(w) for n, w in weights.items()), F.lit(0.0))
-    return (reviews.join(pooled, "episode_id")
+    return (reviews.join(pooled, "episode_id", "left").fillna(0.5, list(weights))
             .withColumn("pooled", F.when(is_unsafe_approval(), F.least(total, F.lit(0.2))).otherwise(total))
             .withColumn("pooled", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("pooled"))))
             .withColumn("judge_grade", judge_grade(F.round("pooled", 4))))

@@ -72,7 +72,7 @@ def violations(packets: DataFrame, registry: dict[str, Rule] = REGISTRY) -> Data
 def all_checks(packets: DataFrame, registry: dict[str, Rule] = REGISTRY) -> DataFrame:
     """One row per packet and rule, passed or not."""
     return (rule_results(packets, registry)
-            .select(*packets.columns, F.inline("results")))
+            .select(*packets.columns, F.inline_outer("results")))  # never empty; without "outer" Spark filters on its size first
 
 
 def first_failure(packets: DataFrame, registry: dict[str, Rule] = REGISTRY) -> DataFrame:
