@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from govaudit import catalog as cat
 from govaudit.operators.folds import PIECE_BITS, ordered_pieces, running_offsets
 from govaudit.operators.rating import won
+from govaudit.session import cut_lineage
 
 
 def round_outcomes(rounds: DataFrame, order: list[str], bits: int = PIECE_BITS) -> DataFrame:
     """Every round with its number, winner and the running win counts.
 
-    Counts run inside pieces of bounded length on top of per-piece offsets, so
+    Starts a job. Counts run inside pieces of bounded length on top of per-piece offsets, so
     a session of any length is spread over many tasks.
     """
     item = F.struct(*[F.col(c) for c in order], won(F.col("overall")).alias("won"))
-    pieces = ordered_pieces(rounds, ["agent"], order, item, bits)
+    # numbered once: two evaluations of the pieces need not agree
+    pieces = cut_lineage(ordered_pieces(rounds, ["agent"], order, item, bits))
     wins = F.size(F.filter("items", lambda x: x.getField("won"))).cast("bigint")
     placed = running_offsets(pieces, ["agent"], {"rounds": F.col("n").cast("bigint"), "wins": wins}, bits)
     rows = (placed.repartition("agent", "piece")

@@ -83,10 +83,13 @@ def _settle(blocks: DataFrame) -> DataFrame:
     # ``start`` of the blocks comes in as the agent's rating before all of them.
     current = folded(blocks.withColumn("first", F.col("start")))
     while True:
-        handed = current.withColumn("handed", F.coalesce(F.lag("end").over(chain), F.col("first")))
-        if handed.filter(F.col("handed") != F.col("start")).isEmpty():
+        # only numbers go through the window by agent, never the blocks' rounds
+        handed = (current.select("agent", "block", "first", "end")
+                  .select("agent", "block", F.coalesce(F.lag("end").over(chain), F.col("first")).alias("handed")))
+        joined = current.join(handed, ["agent", "block"])
+        if joined.filter(F.col("handed") != F.col("start")).isEmpty():
             return current
-        current = folded(handed.withColumn("start", F.col("handed")).drop("handed", "end"))
+        current = folded(joined.withColumn("start", F.col("handed")).drop("handed", "end"))
 
 
 def round_pieces(rounds: DataFrame, order: list[str], bits: int = PIECE_BITS) -> DataFrame:
