@@ -265,7 +265,7 @@ def baseline_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- phrase search over free text --------------------------------------------
 
-DOC_PHRASE, DOC_NEGATORS = " the ", ["of", "to", "that", "no", "la", "el", "un"]
+DOC_NEGATORS = ["of", "to", "that", "no", "la", "el", "un"]
 
 
 def _phrase_sql(table: str, key: str, text: str, phrase: str, negators: list[str]) -> str:
@@ -326,7 +326,6 @@ _NOISY_SQL = f"""
 
 def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewer answers with their JSON wrapped in six kinds of chatter."""
-    k = F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int") % 6
     raw = F.col("raw")
     text = (F.when(F.col("k") == 0, F.concat(F.lit(f"Sure, here it is:\n{FENCE3}json\n"), raw, F.lit(f"\n{FENCE3}\ndone")))
             .when(F.col("k") == 1, F.concat(F.lit("  "), raw, F.lit("\n")))
@@ -334,9 +333,7 @@ def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("k") == 3, F.concat(F.lit(FENCE3), raw, F.lit(FENCE3)))
             .when(F.col("k") == 4, F.concat(F.lit(f"a {FENCE3} b {FENCE3} "), raw))
             .otherwise(F.concat(F.lit("first "), raw, F.lit(" then "), raw)))
-    kinds = bridge.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), k.alias("k"))
-    log = bridge.raw_actions(spark, sf_dir).select("seq", "raw")
-    return log.join(kinds, "seq").select("seq", text.alias("txt"))
+    return bridge.raw_actions(spark, sf_dir).select("seq", "raw", (F.col("k") % 6).alias("k")).select("seq", text.alias("txt"))
 
 
 _TRIM = "trim({0}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"

@@ -79,14 +79,14 @@ def _log(steps: DataFrame) -> DataFrame:
 @query(sql.query(_LOG.format("steps"), "steps"))
 def reward_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions, assigned = _inputs(spark, sf_dir)
-    steps = replay.replay(actions, assigned)
+    steps = cut_lineage(replay.replay(actions, assigned))  # used twice
     return _log(replay.with_exact_steps(steps, replay.episode_lengths(actions, steps)))
 
 
 @query(sql.query(_LOG.format("short"), "actions", "assigned", extra={"short": sql.replayed(12)}))
 def reward_log_with_short_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions, assigned = _inputs(spark, sf_dir)
-    steps = replay.replay(actions, assigned, max_steps=12)
+    steps = cut_lineage(replay.replay(actions, assigned, max_steps=12))
     return _log(replay.with_exact_steps(steps, replay.episode_lengths(actions, steps)))
 
 
@@ -99,7 +99,7 @@ def reward_log_with_short_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     "actions", "steps"))
 def every_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions, assigned = _inputs(spark, sf_dir)
-    fates = replay.every_action(actions, replay.replay(actions, assigned))
+    fates = replay.every_action(actions, cut_lineage(replay.replay(actions, assigned)))
     return fates.select("episode_id", "seq", "status", *rounded("reward"))
 
 
@@ -304,7 +304,8 @@ _PANEL = ("SELECT doc_id // 3 AS episode_id, CASE WHEN min(doc_id) % 2 = 0 THEN
   SELECT episode_id, decision, {', '.join(f'round({f}, 6) AS {f}' for f in _FOCUSES)}, round(pooled, 6) AS pooled,
     {sql.band('round(pooled, 4)', cat.JUDGE_BANDS, cat.JUDGE_FAIL)} AS judge_grade
   FROM (SELECT *, greatest(0.0, least(1.0, CASE WHEN {UNSAFE} THEN least({_TOTAL}, 0.2) ELSE {_TOTAL} END)) AS pooled
-        FROM panel JOIN pool USING (episode_id))""", extra={"pool": _POOL, "panel": _PANEL}))
+        FROM (SELECT episode_id, decision, expected_decision, {', '.join(f'coalesce(max(s.{f}), 0.5) AS {f}' for f in _FOCUSES)}
+              FROM panel LEFT JOIN pool s USING (episode_id) GROUP BY 1, 2, 3))""", extra={"pool": _POOL, "panel": _PANEL}))
 def persona_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = bridge.table(spark, sf_dir, "documents")
     reviews = (documents.groupBy(F.floor(F.col("doc_id") / 3).alias("episode_id")).agg(F.min("doc_id").alias("first"))

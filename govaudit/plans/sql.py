@@ -407,7 +407,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "actions": (["actions_raw"], _actions()),
     "reviews": ([], f"""
       SELECT DISTINCT user_id || '-' || {EPISODE_BUCKET} AS episode_id, user_id AS agent,
-        {EPISODE_BUCKET} AS bucket, (user_id * 3 + {EPISODE_BUCKET}) % {bridge.EPISODE_PACKETS} AS packet_id
+        {EPISODE_BUCKET} AS bucket, (user_id * {bridge.AGENT_STRIDE} + {EPISODE_BUCKET} * {bridge.BUCKET_STRIDE}) % (SELECT count(*) FROM customer) AS packet_id
       FROM events"""),
     "assigned": (["reviews", "packets"], f"""
       SELECT episode_id, agent, bucket, packet_id, truth, expected_risk, expected_decision,

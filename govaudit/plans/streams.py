@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govaudit import catalog as cat
 from govaudit.functions.actions import parse_actions
-from govaudit.operators import scan
+from govaudit.operators import replay, scan
 from govaudit.plans import sql
 from govaudit.plans.history import ROUNDS, WEAKNESS, _HISTORY
 from govaudit.plans.registry import query
@@ -40,10 +39,8 @@ def streamed_packet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
   LEFT JOIN (SELECT episode_id, seq AS end_seq FROM steps WHERE terminal) e ON e.episode_id = a.episode_id""",
     "actions", "steps"))
 def streamed_review_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = bridge.packets(spark, sf_dir).select(
-        "packet_id", "truth", "expected_risk", "expected_decision",
-        F.array(*[F.lit(a) for a in cat.ARTIFACTS]).alias("artifact_names"))
-    scored = run_available(scorer.score_stream(_actions(spark, sf_dir).join(facts, "packet_id")), "scores")
+    assigned = replay.assignments(bridge.reviews(spark, sf_dir), bridge.packets(spark, sf_dir))
+    scored = scorer.score_stream(_actions(spark, sf_dir), assigned)
     return (scored.filter("status <> 'silent'")
             .select("episode_id", "seq", "status", F.round("reward", 6).alias("reward")))
 

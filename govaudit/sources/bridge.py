@@ -16,7 +16,6 @@ from govaudit.sources.packets import outcome_for
 
 SECTOR_OF = {"AUTOMOBILE": "finance", "BUILDING": "healthcare", "FURNITURE": "retail",
              "HOUSEHOLD": "tech", "MACHINERY": "tech"}
-EPISODE_PACKETS = 150  # review episodes are spread over packets 0..149
 BUCKET_DAYS = 10
 
 
@@ -80,18 +79,25 @@ def _episode() -> tuple[Column, Column]:
     return bucket, F.concat_ws("-", F.col("user_id").cast("string"), bucket.cast("string"))
 
 
-def packet_of(agent: Column, bucket: Column) -> Column:
-    return (agent * 3 + bucket) % EPISODE_PACKETS
+AGENT_STRIDE, BUCKET_STRIDE = 7919, 3571  # primes that spread episodes over all packets
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which packet each review episode is about, and who reviews it."""
+    """Which packet each review episode is about, and who reviews it.
+
+    Packets are numbered from 0 on, so their count (a scalar subquery) is the modulus.
+    """
+    return reviews_of(table(spark, sf_dir, "events"), table(spark, sf_dir, "customer"))
+
+
+def reviews_of(events: DataFrame, packets: DataFrame) -> DataFrame:
     bucket, episode = _episode()
-    return (table(spark, sf_dir, "events")
+    count = packets.agg(F.nullif(F.count(F.lit(1)), F.lit(0))).scalar()
+    return (events
             .select(episode.alias("episode_id"), F.col("user_id").alias("agent"), bucket.alias("bucket"))
             .distinct()
             .select("episode_id", "agent", "bucket",
-                    packet_of(F.col("agent"), F.col("bucket")).alias("packet_id")))
+                    ((F.col("agent") * AGENT_STRIDE + F.col("bucket") * BUCKET_STRIDE) % count).alias("packet_id")))
 
 
 MALFORMED = [
@@ -116,11 +122,11 @@ def raw_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions_from(events: DataFrame) -> DataFrame:
-    """Review log with one raw JSON action per event: episode_id, seq, ts, agent, raw.
+    """Review log with one raw JSON action per event: episode_id, seq, ts, agent, k (the event's number), raw.
 
     Works on a batch or a stream of events.
     """
-    bucket, episode = _episode()
+    _, episode = _episode()
 
     def choose(values: list[str], index: str) -> str:
         return f"element_at({texts(values)}, CAST({index} AS INT) + 1)"
@@ -152,8 +158,7 @@ def actions_from(events: DataFrame) -> DataFrame:
     return (events
             .withColumn("k", _props_k())
             .select(episode.alias("episode_id"), F.col("event_id").alias("seq"), "ts",
-                    F.col("user_id").alias("agent"), packet_of(F.col("user_id"), bucket).alias("packet_id"),
-                    raw.alias("raw")))
+                    F.col("user_id").alias("agent"), "k", raw.alias("raw")))
 
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
