@@ -1,58 +1,98 @@
 """Ratings and miss rates kept up to date batch by batch.
 
-Each micro-batch folds only its own rows, starting from the state the batch
-before it wrote, and writes the next version of the state table.  A repeated
-batch overwrites its own version, so the result is the same after a failure.
-Batches have to arrive in the agents' order.
+A named path holds what a run needs to go on from the last one: ``progress``
+(which files have been seen), ``history`` (the rows of each batch) and
+``version=N`` (the state after batch N; the last two are kept). A repeated batch
+overwrites its own history and version.
+
+Rows may come in any order. The state remembers each group's last order key.
+Groups whose new rows all come later are folded on from their state; groups with
+earlier rows are folded again from their whole history.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govaudit.operators import rating, weakness
-from govaudit.session import new_path
-from govaudit.sources.state import load_or_empty
-from govaudit.streaming.files import run_batches
+from govaudit.session import cut_lineage, new_path
+from govaudit.streaming.files import children, committed, remove, run_batches
 
-RATING_SCHEMA = "agent BIGINT, rating DOUBLE, n_rounds BIGINT"
-WEAKNESS_SCHEMA = "agent BIGINT, code STRING, total BIGINT, missed BIGINT, rate BIGINT"
+Fold = Callable[[DataFrame | None, DataFrame], DataFrame]
 
 
-def next_ratings(earlier: DataFrame, rounds: DataFrame, order: list[str]) -> DataFrame:
-    """State after a batch of rounds: agent, rating, n_rounds."""
-    ratings = rating.piece_ratings(rating.round_pieces(rounds, order), earlier)
-    seen = rating.rating_state(ratings)
-    return (earlier.alias("old").join(seen.alias("new"), "agent", "full")
-            .select("agent", F.coalesce("new.rating", "old.rating").alias("rating"),
-                    (F.coalesce("new.n_rounds", F.lit(0)) + F.coalesce("old.n_rounds", F.lit(0))).alias("n_rounds")))
+def next_ratings(earlier: DataFrame | None, rounds: DataFrame, order: list[str]) -> DataFrame:
+    """State of the agents with rounds after them: agent, rating, n_rounds."""
+    seen = rating.rating_state(rating.piece_ratings(rating.round_pieces(rounds, order), earlier)).select("agent", "rating", "n_rounds")
+    if earlier is None:
+        return seen
+    before = earlier.select("agent", F.col("n_rounds").alias("before"))
+    return seen.join(before, "agent", "left").select("agent", "rating", (F.col("n_rounds") + F.coalesce("before", F.lit(0))).alias("n_rounds"))
 
 
-def next_weakness(earlier: DataFrame, outcomes: DataFrame, order: list[str]) -> DataFrame:
-    return weakness.observed_state(outcomes, order, earlier)
+def next_weakness(earlier: DataFrame | None, outcomes: DataFrame, order: list[str]) -> DataFrame:
+    key = ["agent", "code"]
+    seen = weakness.observed_state(outcomes, order, earlier).select(*key, "total", "missed", "rate")
+    return seen if earlier is None else seen.join(outcomes.select(*key).distinct(), key, "left_semi")
 
 
-def _keep_state(stream: DataFrame, name: str, schema: str, advance: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def _newest(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    versions = [int(x.removeprefix("version=")) for x in children(spark, path) if x.startswith("version=")]
+    ready = [v for v in versions if (below is None or v < below) and committed(spark, f"{path}/version={v}")]
+    return max(ready, default=None)
+
+
+def _advance(earlier: DataFrame | None, batch: DataFrame, history: Callable[[], DataFrame], key: list[str], order: list[str], fold: Fold) -> DataFrame:
+    """The state after a batch. ``history``: all rows so far, the batch's included."""
+    last = F.max(F.struct(*order)).alias("last")
+    ends = batch.groupBy(*key).agg(F.min(F.struct(*order)).alias("first"), last)
+    if earlier is None:
+        return fold(None, batch).join(ends.select(*key, "last"), key)
+    known = ends.select(*key, "first").join(earlier.select(*key, "last"), key, "left")
+    behind = cut_lineage(known.where("last IS NOT NULL AND first <= last").select(*key))  # one row per group
+    ahead = batch.join(behind, key, "left_anti")
+    folded = fold(earlier.drop("last"), ahead).join(ahead.groupBy(*key).agg(last), key)
+    again = history().join(behind, key, "left_semi")
+    refolded = fold(None, again).join(again.groupBy(*key).agg(last), key)
+    changed = folded.unionByName(refolded)
+    return earlier.join(ends.select(*key), key, "left_anti").unionByName(changed)
+
+
+def _keep_state(stream: DataFrame, path: str, key: list[str], order: list[str], fold: Fold) -> DataFrame:
     spark = stream.sparkSession
-    root = new_path(spark, name + "-state")
-    last = {"version": -1}
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        earlier = load_or_empty(batch.sparkSession, f"{root}/version={batch_id - 1}", schema)
-        advance(earlier, batch).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
-        last["version"] = batch_id
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/history/batch={batch_id}")
+        rows = session.read.schema(batch.schema).parquet(f"{path}/history/batch={batch_id}")
+        before = _newest(session, path, batch_id)
+        earlier = None if before is None else session.read.parquet(f"{path}/version={before}")
+
+        def history() -> DataFrame:
+            return session.read.parquet(f"{path}/history").where(F.col("batch") <= batch_id).drop("batch")
+
+        _advance(earlier, rows, history, key, order, fold).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        for name in children(session, path):
+            if name.startswith("version=") and int(name.removeprefix("version=")) < (batch_id if before is None else before):
+                remove(session, f"{path}/{name}")
 
-    run_batches(stream, name, each)
-    return load_or_empty(spark, f"{root}/version={last['version']}", schema)
+    run_batches(stream, path, each)
+    newest = _newest(spark, path)
+    if newest is None:  # no batch yet: the empty fold gives the columns
+        nothing = spark.createDataFrame([], stream.schema)
+        return fold(None, nothing)
+    return spark.read.parquet(f"{path}/version={newest}").drop("last")
 
 
-def streamed_ratings(rounds: DataFrame, order: list[str]) -> DataFrame:
-    """Runs over the available rounds; returns the last state."""
-    return _keep_state(rounds, "ratings", RATING_SCHEMA, lambda old, new: next_ratings(old, new, order))
+def streamed_ratings(rounds: DataFrame, order: list[str], path: str | None = None) -> DataFrame:
+    """Runs over the rounds that no earlier run with this path has seen; returns the state."""
+    return _keep_state(rounds, path or new_path(rounds.sparkSession, "ratings"), ["agent"], order,
+                       lambda old, new: next_ratings(old, new, order))
 
 
-def streamed_weakness(outcomes: DataFrame, order: list[str]) -> DataFrame:
-    return _keep_state(outcomes, "weakness", WEAKNESS_SCHEMA, lambda old, new: next_weakness(old, new, order))
+def streamed_weakness(outcomes: DataFrame, order: list[str], path: str | None = None) -> DataFrame:
+    return _keep_state(outcomes, path or new_path(outcomes.sparkSession, "weakness"), ["agent", "code"], order,
+                       lambda old, new: next_weakness(old, new, order))

@@ -1,137 +1,83 @@
 """Scoring reviews while they happen.
 
-State per episode: what was inspected, flagged, mitigated, the risk, and the
-step count.  Rows of a micro-batch are taken in ``seq`` order; rows after the
-end of a review get reward 0.  A review that falls silent for longer than the
-timeout is closed with a ``silent`` row and its state dropped.
+Each micro-batch replays the open reviews that it touches, with the same
+expressions as the batch replay, and writes the fate of all their rows so far.
+Rows that come late or out of order so change what was said before: a review's
+newest scores count. Below the named path: ``progress``, ``open`` (the rows of open
+reviews, a version per batch, the last two kept), ``closed`` and ``scores``.
+
+A review that falls silent for longer than the timeout, measured against the
+newest row seen, is closed with a ``silent`` row unless it had ended; rows of a
+closed review get reward 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
 from govaudit import catalog as cat
-from govaudit.session import ship_package
-
-OUTPUT = "episode_id STRING, seq BIGINT, status STRING, step BIGINT, reward DOUBLE, total_reward DOUBLE"
-STATE = ("step BIGINT, done BOOLEAN, total DOUBLE, risk STRING, inspected ARRAY<STRING>, "
-         "flagged ARRAY<STRING>, mitigated ARRAY<STRING>, n_false BIGINT")
-_FRESH = (0, False, 0.0, None, [], [], [], 0)
-R = cat.REWARD
-
-
-class _Review:
-    """One episode's running state."""
-
-    def __init__(self, state: tuple) -> None:
-        self.step, self.done, self.total, self.risk, inspected, flagged, mitigated, self.n_false = state
-        self.inspected, self.flagged, self.mitigated = list(inspected), list(flagged), list(mitigated)
-
-    def as_tuple(self) -> tuple:
-        return (self.step, self.done, self.total, self.risk, self.inspected, self.flagged, self.mitigated, self.n_false)
+from govaudit.operators import replay
+from govaudit.session import cut_lineage, new_path
+from govaudit.streaming.files import children, committed, exists, remove, run_batches
 
-    def earn(self, row, max_steps: int) -> tuple[str, float]:
-        if self.done:
-            return "post_terminal_action", 0.0
-        self.step += 1
-        if not row.valid:
-            return "invalid", R["invalid"]
-        if row.action_type in cat.DECISIONS:
-            self.done = True
-            reward = self._decide(row)
-        else:
-            earn = {cat.INSPECT: self._inspect, cat.FLAG: self._flag, cat.MITIGATE: self._mitigate,
-                    cat.SET_RISK: self._set_risk}.get(row.action_type, lambda _: R["finalize"])
-            reward = earn(row) + R["tax"]
-            if self.step >= max_steps:
-                self.done = True
-                reward += R["timeout"]
-        self.total += reward
-        return "scored", reward
+ROWS = ["episode_id", "seq", "ts", "valid", "action_type", "target", "severity", "issue_code", "note"]
+SCORES = "episode_id STRING, seq BIGINT, status STRING, reward DOUBLE, batch BIGINT"
+CLOSED = "episode_id STRING, batch BIGINT"
 
-    def _inspect(self, row) -> float:
-        if row.target not in row.artifact_names:
-            return R["inspect_unknown"]
-        if row.target in self.inspected:
-            return 0.0
-        self.inspected.append(row.target)
-        n = len(self.inspected)
-        return (R["inspect"] + (R["inspect_first"] if n == 1 else 0.0)
-                + (R["inspect_last"] if n == len(row.artifact_names) else 0.0))
 
-    def _flag(self, row) -> float:
-        code = row.issue_code
-        if not code:
-            return R["flag_empty"]
-        if code in self.flagged:
-            return 0.0
-        if code not in row.truth:
-            self.n_false += 1
-            return R["flag_wrong"]
-        self.flagged.append(code)
-        return R["flag_severity"] if row.severity == cat.SEVERITY.get(code, "medium") else R["flag"]
-
-    def _mitigate(self, row) -> float:
-        code = row.issue_code or row.target
-        if code not in self.flagged:
-            return R["mitigate_early"]
-        if code in self.mitigated:
-            return 0.0
-        self.mitigated.append(code)
-        return R["mitigate"]
-
-    def _set_risk(self, row) -> float:
-        if row.severity is None:
-            return R["risk_missing"]
-        self.risk = row.severity
-        return R["risk"] if self.risk == row.expected_risk else R["risk_wrong"]
-
-    def _decide(self, row) -> float:
-        if row.action_type == row.expected_decision:
-            reward = R["decide"]
-        elif row.action_type == "approve" and row.expected_decision == "reject":
-            reward = R["decide_unsafe"]
-        else:
-            reward = R["decide_wrong"]
-        reward += R["final_risk"] if self.risk == row.expected_risk else R["final_risk_wrong"]
-        for code in row.truth:
-            if code not in self.flagged:
-                reward += R["missed_severe"] if cat.SEVERITY.get(code) in cat.SEVERE else R["missed"]
-        return reward + self.n_false * R["final_fp"] + len(self.mitigated) * R["final_mitigated"]
-
-
-def score_stream(actions: DataFrame, max_steps: int = cat.MAX_STEPS, late: str = "1 hour",
+def score_stream(actions: DataFrame, assigned: DataFrame, path: str | None = None, max_steps: int = cat.MAX_STEPS,
                  silence_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
-    """One output row per action, in the order of its episode.
+    """episode_id, seq, status, reward of every row, after the data that is there.
 
-    ``actions``: parsed actions with ``ts`` and the packet facts (truth,
-    expected_risk, expected_decision, artifact_names) joined on.
+    ``actions``: a stream of parsed actions with ``ts``. ``assigned``: one row per
+    episode with the packet's facts. A second run with the same path goes on.
     """
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["episode_id", "seq", "status", "step", "reward", "total_reward"]
-        if state.hasTimedOut:
-            review = _Review(state.get)
-            state.remove()
-            if not review.done:
-                yield pd.DataFrame([(key[0], -1, "silent", review.step, 0.0, review.total)], columns=columns)
-            return
-        review = _Review(state.get if state.exists else _FRESH)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        rows = rows.astype({"severity": object, "target": object, "issue_code": object})
-        rows = rows.where(rows.notna(), None)
-        out = []
-        for row in rows.itertuples(index=False):
-            status, reward = review.earn(row, max_steps)
-            out.append((key[0], row.seq, status, review.step, reward, review.total))
-        state.update(review.as_tuple())
-        newest = int(pd.Timestamp(rows["ts"].max()).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + silence_ms)
-        yield pd.DataFrame(out, columns=columns)
-
-    ship_package(actions.sparkSession)
-    return (actions.withWatermark("ts", late).groupBy("episode_id")
-            .applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    spark = actions.sparkSession
+    path = path or new_path(spark, "scores")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        rows = cut_lineage(batch.select(*ROWS))
+        versions = [int(x.removeprefix("version=")) for x in children(session, f"{path}/open")]
+        before = max((v for v in versions if v < batch_id and committed(session, f"{path}/open/version={v}")), default=None)
+        held = rows.limit(0) if before is None else session.read.schema(rows.schema).parquet(f"{path}/open/version={before}")
+        closed = session.createDataFrame([], CLOSED)
+        if exists(session, f"{path}/closed"):
+            closed = session.read.schema(CLOSED).parquet(f"{path}/closed").where(F.col("batch") < batch_id)
+        closed = closed.select("episode_id").distinct()
+
+        fresh = rows.join(closed, "episode_id", "left_anti")
+        opened = cut_lineage(held.unionByName(fresh))
+        touched = fresh.select("episode_id").distinct()
+        mine = opened.join(touched, "episode_id", "left_semi")
+        steps = cut_lineage(replay.replay(mine, assigned.join(touched, "episode_id", "left_semi"), max_steps))
+        fates = replay.every_action(mine, steps)
+        gone = rows.join(closed, "episode_id", "left_semi").select(
+            "episode_id", "seq", F.lit("post_terminal_action").alias("status"), F.lit(0.0).alias("reward"))
+
+        # one number: the newest row seen
+        newest = opened.agg(F.max("ts").alias("ts")).scalar()
+        last = opened.groupBy("episode_id").agg(F.max("ts").alias("ts"))
+        silent = cut_lineage(last.where(F.unix_millis("ts") + silence_ms < F.unix_millis(newest)).select("episode_id"))
+        # a review that had ended earlier than this batch says so in its open rows as well
+        quiet = opened.join(silent, "episode_id", "left_semi")
+        ended = replay.episode_ends(replay.replay(quiet, assigned.join(silent, "episode_id", "left_semi"), max_steps)).select("episode_id")
+        closing = silent.join(ended, "episode_id", "left_anti").select(
+            "episode_id", F.lit(-1).cast("long").alias("seq"), F.lit("silent").alias("status"), F.lit(0.0).alias("reward"))
+
+        scored = fates.unionByName(gone).unionByName(closing)
+        scored.write.mode("overwrite").parquet(f"{path}/scores/batch={batch_id}")
+        silent.write.mode("overwrite").parquet(f"{path}/closed/batch={batch_id}")
+        opened.join(silent, "episode_id", "left_anti").write.mode("overwrite").parquet(f"{path}/open/version={batch_id}")
+        for v in versions:
+            if before is not None and v < before:
+                remove(session, f"{path}/open/version={v}")
+
+    run_batches(actions, path, each)
+    if not exists(spark, f"{path}/scores"):
+        return spark.createDataFrame([], SCORES).drop("batch")
+    scores = spark.read.schema(SCORES).parquet(f"{path}/scores")
+    # the newest word on each row; map-side combined
+    return (scores.groupBy("episode_id", "seq").agg(F.max_by(F.struct("status", "reward"), "batch").alias("s"))
+            .select("episode_id", "seq", "s.status", "s.reward"))
