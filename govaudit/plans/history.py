@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from govaudit import catalog as cat
 from govaudit.operators import judge, leaderboard as board, memory, rating, weakness
 from govaudit.plans import sql
-from govaudit.plans.registry import query
+from govaudit.plans.registry import SQL, query
 from govaudit.plans.reviews import VERDICT, graded_reviews, joined, rounded
 from govaudit.plans.sql import band, q
-from govaudit.sources import bridge
+from govaudit.operators import grade, scan
+from govaudit.session import new_path
+from govaudit.sources import bridge, state
 from govaudit.sources.bridge import MISS_ORDER, ROUND_ORDER
 
 # Means of at most 20 scores have up to 11 decimals that end; rounding there
@@ -234,3 +236,46 @@ def decision_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.query("SELECT agent, left(feedback, 200) AS feedback FROM memory WHERE age = 1", "grades", extra=MEMORY))
 def latest_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.latest_feedback(episode_memories(spark, sf_dir), ["bucket"])
+
+
+# --- state tables, written and read back -------------------------------------
+
+@query(SQL["rating_history"])
+def saved_rating_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept ratings from the table that a run leaves for the next one."""
+    found = rating_history(spark, sf_dir)
+    path = new_path(spark, "rating-history")
+    state.save_history(found, path, ["round_id"], cat.HISTORY_KEPT)
+    return state.load_or_empty(spark, path, found.schema.simpleString()[7:-1].replace(":", " "))
+
+
+@query(SQL["episode_memory"])
+def saved_episode_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews remembered in two runs, read back as one table."""
+    found = episode_memory(spark, sf_dir)
+    path = new_path(spark, "memory")
+    first = F.pmod(F.xxhash64("episode_id"), F.lit(2)) == 0
+    for part in (found.filter(first), found.filter(~first)):
+        state.append_memory(part, path)
+    return spark.read.parquet(path).select(found.columns)
+
+
+@query(sql.query("SELECT packet_id, sector, unnest(detected) AS code FROM scan", "scan"))
+def saved_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit results written as JSON lines by sector, read back."""
+    path = new_path(spark, "audits")
+    state.save_audits(scan.violations(bridge.packets(spark, sf_dir)).select("packet_id", "sector", "code"), path)
+    return spark.read.schema("packet_id BIGINT, code STRING, sector STRING").json(path)
+
+
+_GIVEN = ("o_orderkey AS round_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice / 400000.0 END AS safety, "
+          "o_totalprice / 600000.0 AS compliance, o_totalprice / 250000.0 - 0.1 AS completeness, "
+          "o_totalprice / 700000.0 AS precision, o_totalprice / 800000.0 AS mitigation_quality, o_totalprice / 900000.0 AS overall")
+
+
+@query(f"""SELECT round_id, round(safety, 9) AS safety, round(completeness, 9) AS completeness FROM (SELECT {_GIVEN} FROM orders)
+  WHERE safety IS NULL OR safety > 1 OR completeness > 1 OR completeness < 0""")
+def rejected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that are missing or out of range."""
+    given = bridge.table(spark, sf_dir, "orders").selectExpr(*_GIVEN.split(", "))
+    return given.filter(~grade.in_range()).select("round_id", F.round("safety", 9).alias("safety"), F.round("completeness", 9).alias("completeness"))

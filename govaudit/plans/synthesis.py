@@ -145,24 +145,45 @@ def verified_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FREE = f"list_filter({sql.CODES}, lambda c: NOT list_contains(truth, c))"
 _SEVERE = f"list_filter({_FREE}, lambda c: list_contains({qlist([c for c, s in cat.SEVERITY.items() if s in cat.SEVERE])}, c))"
-_MUTANTS = {
-    "mutants": f"""
-      SELECT * EXCLUDE (m0, m1, m2, m3, m4, m5, m6, m7, detected, truth), truth AS old_truth, list_concat(truth, added) AS truth
-      FROM (SELECT *, {_drawn(f'(CASE WHEN len({_SEVERE}) > 0 THEN {_SEVERE} ELSE {_FREE} END)', '2')} AS added FROM scan)""",
-    "mutated": "SELECT packet_id, feature_name, old_truth, added, truth, " + ", ".join(
-        f"{sql.patched_text(a, sql.col_of(a), 'added')} AS {sql.col_of(a)}" for a in cat.ARTIFACTS) + " FROM mutants",
-    "mscan": sql.scanned("mutated")}
+def _mutants(extra: int, boost: bool) -> dict[str, str]:
+    pool = f"(CASE WHEN len({_SEVERE}) > 0 THEN {_SEVERE} ELSE {_FREE} END)" if boost else _FREE
+    return {
+        "mutants": f"""
+          SELECT * EXCLUDE (m0, m1, m2, m3, m4, m5, m6, m7, detected, truth), truth AS old_truth, list_concat(truth, added) AS truth
+          FROM (SELECT *, {_drawn(pool, str(extra))} AS added FROM scan)""",
+        "mutated": "SELECT packet_id, feature_name, old_truth, added, truth, " + ", ".join(
+            f"{sql.patched_text(a, sql.col_of(a), 'added')} AS {sql.col_of(a)}" for a in cat.ARTIFACTS) + " FROM mutants",
+        "mscan": sql.scanned("mutated")}
+
+
 _WHERE = sql.case_map("c", cat.ARTIFACT_OF, "NULL")
 
 
-@query(sql.query(f"""
+_MUTATED = f"""
   SELECT packet_id, feature_name || ' [Mutated]' AS feature_name, {listed('truth')} AS truth, {listed('detected')} AS detected,
     {sql.risk_of('truth', 3)} AS expected_risk, {sql.decision_of('truth')} AS expected_decision,
     'Base: ' || packet_id || '. Added: [' || array_to_string(added, ', ') || ']. Notes: ' ||
       array_to_string(list_transform(added, lambda c: 'Template patched ' || {_WHERE} || ' for ' || c), '; ') AS mutation_description
-  FROM mscan""", "scan", extra=_MUTANTS))
-def mutated_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mutants = synth.mutate(bridge.packets(spark, sf_dir), extra=2, seed=SEED)
+  FROM mscan"""
+
+
+def _mutated(spark: SparkSession, sf_dir: str, extra: int, boost: bool) -> DataFrame:
+    mutants = synth.mutate(bridge.packets(spark, sf_dir), extra=extra, seed=SEED, boost=boost)
     return scan.scan(mutants).select(
         "packet_id", "feature_name", *joined("truth", "detected"), "expected_risk", "expected_decision",
         "mutation_description")
+
+
+@query(sql.query(_MUTATED, "scan", extra=_mutants(2, True)))
+def mutated_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mutated(spark, sf_dir, 2, True)
+
+
+@query(sql.query(_MUTATED, "scan", extra=_mutants(1, False)))
+def lightly_mutated_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mutated(spark, sf_dir, 1, False)
+
+
+@query(sql.query(_MUTATED, "scan", extra=_mutants(3, True)))
+def heavily_mutated_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mutated(spark, sf_dir, 3, True)
