@@ -42,7 +42,7 @@ def sector_worklist(violations: DataFrame, sectors: DataFrame) -> DataFrame:
     urgency = (F.when(F.array_contains("critical_codes", code), 1)
                .when(F.array_contains("high_codes", code), 2).otherwise(3))
     own = cat.severity_of(code)
-    return (violations.join(F.broadcast(sectors), "sector")
+    return (violations.join(sectors, "sector")
             .withColumn("urgency", urgency)
             .withColumn("sector_severity", F.when(F.col("urgency") == 1, "critical")
                         .when(F.col("urgency") == 2, "high").otherwise(own)))
@@ -50,5 +50,5 @@ def sector_worklist(violations: DataFrame, sectors: DataFrame) -> DataFrame:
 
 def open_for_code(violations: DataFrame, rules: DataFrame, guide: DataFrame) -> DataFrame:
     """Which artifact to open for a violation, and what to look for there."""
-    return (violations.join(F.broadcast(rules.select("code", "name", "severity", "artifact", "look_for")), "code", "left")
-            .join(F.broadcast(guide.select("artifact", "holds")), "artifact", "left"))
+    return (violations.join(rules.select("code", "name", "severity", "artifact", "look_for"), "code", "left")
+            .join(guide.select("artifact", "holds"), "artifact", "left"))

@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from govaudit import catalog as cat
 from govaudit.operators.folds import PIECE_BITS, ordered_pieces, running_offsets
-from govaudit.operators.rating import won
+from govaudit.operators.rating import latest_pieces, won
 from govaudit.session import cut_lineage
 
 
-def round_outcomes(rounds: DataFrame, order: list[str], bits: int = PIECE_BITS) -> DataFrame:
+def round_outcomes(rounds: DataFrame, order: list[str], bits: int = PIECE_BITS, keep: int | None = None) -> DataFrame:
     """Every round with its number, winner and the running win counts.
 
     Starts a job. Counts run inside pieces of bounded length on top of per-piece offsets, so
-    a session of any length is spread over many tasks.
+    a session of any length is spread over many tasks. ``keep``: only pieces that
+    hold an agent's last ``keep`` rounds are taken apart.
     """
     item = F.struct(*[F.col(c) for c in order], won(F.col("overall")).alias("won"))
     # numbered once: two evaluations of the pieces need not agree
     pieces = cut_lineage(ordered_pieces(rounds, ["agent"], order, item, bits))
     wins = F.size(F.filter("items", lambda x: x.getField("won"))).cast("bigint")
     placed = running_offsets(pieces, ["agent"], {"rounds": F.col("n").cast("bigint"), "wins": wins}, bits)
+    placed = placed if keep is None else latest_pieces(placed, keep)
     rows = (placed.repartition("agent", "piece")
             .select("agent", "piece", "rounds_before", "wins_before", F.posexplode("items").alias("pos", "item")))
     inside = Window.partitionBy("agent", "piece").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

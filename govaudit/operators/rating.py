@@ -149,6 +149,18 @@ def rating_history(pieces: DataFrame, ratings: DataFrame) -> DataFrame:
             .withColumn("task_id", task_for(F.col("rating"))))
 
 
+def latest_pieces(pieces: DataFrame, keep: int) -> DataFrame:
+    """Of each agent's pieces (agent, piece, n, ...) the newest that hold its last ``keep`` rows.
+
+    A piece has a row at least, so ``keep`` pieces per agent suffice; Spark applies
+    that limit before the shuffle as well.
+    """
+    newest = Window.partitionBy("agent").orderBy(F.desc("piece"))
+    newer = F.coalesce(F.sum("n").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (pieces.withColumn("_age", F.row_number().over(newest)).filter(F.col("_age") <= keep)
+            .withColumn("_newer", newer).filter(F.col("_newer") < keep).drop("_age", "_newer"))
+
+
 def latest(history: DataFrame, order: list[str], keep: int = cat.HISTORY_KEPT, by: str = "agent") -> DataFrame:
     """The last ``keep`` rows per agent.  Limited before the shuffle as well, so
     a hot agent sends at most ``keep`` rows per task."""

@@ -68,7 +68,7 @@ _SHOWN_BEFORE = f"elo_after - {_gain('rating', 'CASE WHEN overall >= 0.75 THEN 1
     extra={"rounds": ROUNDS, "history": _HISTORY}))
 def rating_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = _pieces(spark, sf_dir)
-    history = rating.rating_history(pieces, rating.piece_ratings(pieces))
+    history = rating.rating_history(rating.latest_pieces(pieces, cat.HISTORY_KEPT), rating.piece_ratings(pieces))
     kept = rating.latest(history, ROUND_ORDER)
     return kept.select("agent", "round_id", F.round("elo_before", 4).alias("elo_before"),
                        F.round("elo_after", 4).alias("elo_after"), F.round("overall", 8).alias("score"), "task_id", "won")
@@ -93,7 +93,7 @@ def round_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.query(f"SELECT agent, round_id, round, reviewer_wins FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY "
                  f"round DESC) AS age FROM ({_OUTCOMES})) WHERE age <= 20", extra={"rounds": ROUNDS}))
 def kept_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rounds = board.round_outcomes(bridge.rounds(spark, sf_dir), ROUND_ORDER)
+    rounds = board.round_outcomes(bridge.rounds(spark, sf_dir), ROUND_ORDER, keep=cat.ROUNDS_KEPT)
     return rating.latest(rounds, ["round"], cat.ROUNDS_KEPT).select("agent", "round_id", "round", "reviewer_wins")
 
 
