@@ -37,6 +37,18 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """``df`` written below the shared folder in hash buckets of a column, and read back: a join or a grouping
+    by that column with as many partitions reads it where it is. The files stay, the catalog entry doesn't."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    entry = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(entry)
+    back = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return back
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and n + 1 offsets; a null is an empty text."""
     kind = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()

@@ -2,11 +2,12 @@
 goes back to the places where it stands.
 
 ``word_chunks`` splits texts into words (stretches without space or bytes 9 to
-13) and writes one row per chunk of about 4 MB of text: the documents, for each
+13) and writes one row per chunk of about 16 MB of text: the documents, for each
 word of their texts its number in the chunk's list of distinct words, and that
 list, dealt to hash buckets. ``answered`` sends the lists to their buckets, lets
 a function work on all lists of a bucket, and brings its answers back to the
-chunks. Texts are not moved, lists and answers are compressed. A task holds the
+chunks. The chunks are written in hash buckets, so answers come to them and they
+stay where they are; lists and answers are compressed. A task holds the
 lists of one bucket, so the number of buckets bounds its memory; a frequent word
 is there once per chunk.
 
@@ -27,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govaudit.llm.common import LOWER, SPACE, U64, prefix_sums, slices, stored, stretch_hashes, text_bytes
+from govaudit.llm.common import LOWER, SPACE, U64, prefix_sums, slices, stored_in_buckets, stretch_hashes, text_bytes
 from govaudit.session import ship_package
 
-CHUNK = 1 << 22
+CHUNK, HASHED = 1 << 24, 1 << 21  # bytes of text in a chunk, and those hashed at a time
 CHUNKS = ("chunk long, doc_ids array<long>, n_words array<long>, places binary, lists array<binary>, counts array<binary>, sizes array<long>")
 CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("places", pa.binary()),
                           ("lists", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64()))])
@@ -56,6 +57,15 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def _hashes(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words' hashes, worked out for a few texts at a time."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for a, b in slices(offsets, HASHED):
+        low, high = np.searchsorted(starts, (offsets[a], offsets[b]))
+        out[low:high] = stretch_hashes(prefix_sums(data[offsets[a]: offsets[b]]), starts[low:high] - offsets[a], ends[low:high] - offsets[a])
+    return out
+
+
 def _chunks(buckets: int, lower: bool, counted: Callable | None):
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId() << 32, 0
@@ -67,7 +77,7 @@ def _chunks(buckets: int, lower: bool, counted: Callable | None):
                 if lower:
                     part = LOWER[part]
                 starts, ends = word_bounds(part, bounds)
-                hashes, seen_at, which = np.unique(stretch_hashes(prefix_sums(part), starts, ends), return_index=True, return_inverse=True)
+                hashes, seen_at, which = np.unique(_hashes(part, bounds, starts, ends), return_index=True, return_inverse=True)
                 raw = part.tobytes()
                 words = [raw[x:y] for x, y in zip(starts[seen_at].tolist(), ends[seen_at].tolist())]
                 bucket = ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
@@ -97,7 +107,8 @@ def word_chunks(docs: DataFrame, lower: bool = False, counted: Callable | None =
     spark = docs.sparkSession
     ship_package(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks(buckets, lower, counted), CHUNKS), "word-chunks")
+    chunks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks(buckets, lower, counted), CHUNKS)
+    return stored_in_buckets(chunks, "word-chunks", "chunk", buckets)
 
 
 def answered(chunks: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
