@@ -66,13 +66,13 @@ def _hashes(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.
     return out
 
 
-def _chunks(buckets: int, lower: bool, counted: Callable | None):
+def _chunks(buckets: int, lower: bool, counted: Callable | None, size: int):
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             names = batch.column(0).to_pylist()
-            for a, b in slices(offsets, CHUNK):
+            for a, b in slices(offsets, size):
                 part, bounds = data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]
                 if lower:
                     part = LOWER[part]
@@ -101,13 +101,13 @@ def _chunks(buckets: int, lower: bool, counted: Callable | None):
     return chunks
 
 
-def word_chunks(docs: DataFrame, lower: bool = False, counted: Callable | None = None) -> DataFrame:
+def word_chunks(docs: DataFrame, lower: bool = False, counted: Callable | None = None, size: int = CHUNK) -> DataFrame:
     """The chunk table of ``docs`` (doc_id, text), written. lower: A-Z become lower case. counted: whether the words
-    of a doc_id are counted; then each list comes with its words' counts."""
+    of a doc_id are counted; then each list comes with its words' counts. size: bytes of text in a chunk."""
     spark = docs.sparkSession
     ship_package(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks(buckets, lower, counted), CHUNKS)
+    chunks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks(buckets, lower, counted, size), CHUNKS)
     return stored_in_buckets(chunks, "word-chunks", "chunk", buckets)
 
 
