@@ -2,7 +2,7 @@
 goes back to the places where it stands.
 
 ``word_chunks`` splits texts into words (stretches without space or bytes 9 to
-13) and writes one row per chunk of about 16 MB of text: the documents, for each
+13) and writes one row per chunk of about 8 MB of text: the documents, for each
 word of their texts its number in the chunk's list of distinct words, and that
 list, dealt to hash buckets. ``answered`` sends the lists to their buckets, lets
 a function work on all lists of a bucket, and brings its answers back to the
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from govaudit.llm.common import LOWER, SPACE, U64, prefix_sums, slices, stored_in_buckets, stretch_hashes, text_bytes
 from govaudit.session import ship_package
 
-CHUNK, HASHED = 1 << 24, 1 << 21  # bytes of text in a chunk, and those hashed at a time
+CHUNK, HASHED = 1 << 23, 1 << 21  # bytes of text in a chunk, and those hashed at a time
 CHUNKS = ("chunk long, doc_ids array<long>, n_words array<long>, places binary, lists array<binary>, counts array<binary>, sizes array<long>")
 CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("places", pa.binary()),
                           ("lists", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64()))])
