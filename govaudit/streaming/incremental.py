@@ -21,22 +21,23 @@ from govaudit.operators import rating, weakness
 from govaudit.session import cut_lineage, new_path
 from govaudit.streaming.files import children, committed, remove, run_batches
 
-Fold = Callable[[DataFrame | None, DataFrame], DataFrame]
+Fold = Callable[[DataFrame, DataFrame], DataFrame]
 
+RATING_SCHEMA = "agent BIGINT, rating DOUBLE, n_rounds BIGINT"
+WEAKNESS_SCHEMA = "agent BIGINT, code STRING, total BIGINT, missed BIGINT, rate BIGINT"
 
-def next_ratings(earlier: DataFrame | None, rounds: DataFrame, order: list[str]) -> DataFrame:
-    """State of the agents with rounds after them: agent, rating, n_rounds."""
-    seen = rating.rating_state(rating.piece_ratings(rating.round_pieces(rounds, order), earlier)).select("agent", "rating", "n_rounds")
-    if earlier is None:
-        return seen
-    before = earlier.select("agent", F.col("n_rounds").alias("before"))
-    return seen.join(before, "agent", "left").select("agent", "rating", (F.col("n_rounds") + F.coalesce("before", F.lit(0))).alias("n_rounds"))
+
+def next_ratings(earlier: DataFrame, rounds: DataFrame, order: list[str]) -> DataFrame:
+    """State after a batch of rounds that follow the earlier ones: agent, rating, n_rounds."""
+    ratings = rating.piece_ratings(rating.round_pieces(rounds, order), earlier)
+    seen = rating.rating_state(ratings)
+    return (earlier.alias("old").join(seen.alias("new"), "agent", "full")
+            .select("agent", F.coalesce("new.rating", "old.rating").alias("rating"),
+                    (F.coalesce("new.n_rounds", F.lit(0)) + F.coalesce("old.n_rounds", F.lit(0))).alias("n_rounds")))
 
 
-def next_weakness(earlier: DataFrame | None, outcomes: DataFrame, order: list[str]) -> DataFrame:
-    key = ["agent", "code"]
-    seen = weakness.observed_state(outcomes, order, earlier).select(*key, "total", "missed", "rate")
-    return seen if earlier is None else seen.join(outcomes.select(*key).distinct(), key, "left_semi")
+def next_weakness(earlier: DataFrame, outcomes: DataFrame, order: list[str]) -> DataFrame:
+    return weakness.observed_state(outcomes, order, earlier)
 
 
 def _newest(spark: SparkSession, path: str, below: int | None = None) -> int | None:
@@ -45,23 +46,25 @@ def _newest(spark: SparkSession, path: str, below: int | None = None) -> int | N
     return max(ready, default=None)
 
 
-def _advance(earlier: DataFrame | None, batch: DataFrame, history: Callable[[], DataFrame], key: list[str], order: list[str], fold: Fold) -> DataFrame:
-    """The state after a batch. ``history``: all rows so far, the batch's included."""
+def _advance(earlier: DataFrame | None, nothing: DataFrame, batch: DataFrame, history: Callable[[], DataFrame], key: list[str], order: list[str],
+             fold: Fold) -> DataFrame:
+    """The state after a batch. ``nothing``: an empty state; ``history``: all rows so far, the batch's included."""
     last = F.max(F.struct(*order)).alias("last")
     ends = batch.groupBy(*key).agg(F.min(F.struct(*order)).alias("first"), last)
     if earlier is None:
-        return fold(None, batch).join(ends.select(*key, "last"), key)
+        return fold(nothing, batch).join(ends.select(*key, "last"), key)
     known = ends.select(*key, "first").join(earlier.select(*key, "last"), key, "left")
     behind = cut_lineage(known.where("last IS NOT NULL AND first <= last").select(*key))  # one row per group
     ahead = batch.join(behind, key, "left_anti")
-    folded = fold(earlier.drop("last"), ahead).join(ahead.groupBy(*key).agg(last), key)
+    before = earlier.drop("last").join(ahead.select(*key).distinct(), key, "left_semi")
+    folded = fold(before, ahead).join(ahead.groupBy(*key).agg(last), key)
     again = history().join(behind, key, "left_semi")
-    refolded = fold(None, again).join(again.groupBy(*key).agg(last), key)
+    refolded = fold(nothing, again).join(again.groupBy(*key).agg(last), key)
     changed = folded.unionByName(refolded)
     return earlier.join(ends.select(*key), key, "left_anti").unionByName(changed)
 
 
-def _keep_state(stream: DataFrame, path: str, key: list[str], order: list[str], fold: Fold) -> DataFrame:
+def _keep_state(stream: DataFrame, path: str, schema: str, key: list[str], order: list[str], fold: Fold) -> DataFrame:
     spark = stream.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -74,25 +77,25 @@ def _keep_state(stream: DataFrame, path: str, key: list[str], order: list[str],
         def history() -> DataFrame:
             return session.read.parquet(f"{path}/history").where(F.col("batch") <= batch_id).drop("batch")
 
-        _advance(earlier, rows, history, key, order, fold).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        nothing = session.createDataFrame([], schema)
+        _advance(earlier, nothing, rows, history, key, order, fold).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
         for name in children(session, path):
             if name.startswith("version=") and int(name.removeprefix("version=")) < (batch_id if before is None else before):
                 remove(session, f"{path}/{name}")
 
     run_batches(stream, path, each)
     newest = _newest(spark, path)
-    if newest is None:  # no batch yet: the empty fold gives the columns
-        nothing = spark.createDataFrame([], stream.schema)
-        return fold(None, nothing)
+    if newest is None:
+        return spark.createDataFrame([], schema)
     return spark.read.parquet(f"{path}/version={newest}").drop("last")
 
 
 def streamed_ratings(rounds: DataFrame, order: list[str], path: str | None = None) -> DataFrame:
     """Runs over the rounds that no earlier run with this path has seen; returns the state."""
-    return _keep_state(rounds, path or new_path(rounds.sparkSession, "ratings"), ["agent"], order,
+    return _keep_state(rounds, path or new_path(rounds.sparkSession, "ratings"), RATING_SCHEMA, ["agent"], order,
                        lambda old, new: next_ratings(old, new, order))
 
 
 def streamed_weakness(outcomes: DataFrame, order: list[str], path: str | None = None) -> DataFrame:
-    return _keep_state(outcomes, path or new_path(outcomes.sparkSession, "weakness"), ["agent", "code"], order,
+    return _keep_state(outcomes, path or new_path(outcomes.sparkSession, "weakness"), WEAKNESS_SCHEMA, ["agent", "code"], order,
                        lambda old, new: next_weakness(old, new, order))
