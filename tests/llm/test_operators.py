@@ -227,6 +227,32 @@ def test_windows_score_each_place_once():
         assert scored == list(range(n))
 
 
+def test_every_training_document_is_learned_from(spark, monkeypatch):
+    """Ids of one rare text have their context's class, and training sees all windows, however the rows are dealt."""
+    say = lambda k: " ".join(f"w{k * 7 % 40} of the x{j}" for j in range(30 + k))
+    rows = [(k, say(k)) for k in range(60)] + [(k, "quux zyzzyva of the obelisk") for k in range(60, 64)]
+    docs, seen, models = spark.createDataFrame(rows, "doc_id long, text string"), [], []
+    fit, trained = attention_lm.fit, attention_lm._trained
+
+    def counted(model, rate):
+        run = trained(model, rate)
+        seen.append(learned[-1].mapInArrow(run, "part long, n double, w array<float>").where("part = 0").selectExpr("sum(n)").first()[0])
+        return run
+
+    stored, learned = attention_lm.stored, []
+    monkeypatch.setattr(attention_lm, "stored", lambda df, name: learned.append(stored(df, name)) or learned[-1])
+    monkeypatch.setattr(attention_lm, "_trained", counted)
+    monkeypatch.setattr(attention_lm, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    for n in (1, 4):
+        attention_lm.score_documents(docs.repartition(n, "doc_id"), BYTE_BPE).count()
+    encode = attention_lm.SubwordTable(BYTE_BPE).ids_of
+    sizes = np.array([1 + sum(len(encode(" " + w)) for w in t.split()) for k, t in rows if attention_lm.trained_on(k)])
+    assert seen and set(seen) == {len(attention_lm.windows(sizes)[0])}
+    assert (models[0].class_of == models[1].class_of).all()
+    known = {i for k, t in rows if attention_lm.trained_on(k) for w in t.split() for i in encode(" " + w)}
+    assert all(models[0].class_of[i] < attention_lm.CLASSES - 1 for i in known)
+
+
 def test_held_out_texts_gain(spark):
     rows = attention_lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), BYTE_BPE).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
