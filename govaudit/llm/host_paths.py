@@ -7,12 +7,15 @@
    characters (of equals the innermost).
 2. Each page votes with the path of its best container: tags and classes from
    the root, digits and case levelled. Votes are added up per host in Spark.
-3. Each page is read again with its host's paths, most votes first: the first
-   one that leads to elements with at least ``ENOUGH`` of the page's best score
-   wins. A page on which none does keeps its own best container.
+3. Each page is read again with its host's paths, most votes first. A path may
+   win if its elements leave out no text of the page's best container (but
+   boilerplate) and have at least ``ENOUGH`` of its score; a later one takes the
+   place of an earlier one if it scores higher and holds no less weight. A page
+   on which none may win keeps its own best container.
 
 A host offers its ``PATHS`` paths with most votes; pages of rarer shapes keep
-their own container, so that bound changes no page's completeness.
+their own container. Whatever wins holds all text of the page's own best
+container, so neither that bound nor ``ENOUGH`` can take from it.
 
 Boilerplate, left out of the text too: scripts, styles, forms, menus, headers
 without heading, footers, sidebars, notices, adverts, comments and the like, by
@@ -175,16 +178,29 @@ class Page:
 
     def scores(self) -> dict[int, float]:
         """The score of every container of a block with weight."""
-        weight, size = {}, {}
+        self.weight, self.size, self.clean = {}, {}, {}  # clean: characters but boilerplate
         for at, text, links in self.blocks:
-            good = 0 if self.dropped[at] else max(0, len(text) - 2 * links)
+            clean = 0 if self.dropped[at] else len(text)
+            good = max(0, clean - 2 * links)
             while at >= 0:
-                weight[at] = weight.get(at, 0) + good
-                size[at] = size.get(at, 0) + len(text)
+                self.weight[at] = self.weight.get(at, 0) + good
+                self.size[at] = self.size.get(at, 0) + len(text)
+                self.clean[at] = self.clean.get(at, 0) + clean
                 at = self.parent[at]
-        total = weight.get(0, 0)
-        # the harmonic mean of weight / total and weight / size
-        return {k: 2 * w / (total + size[k]) for k, w in weight.items() if w and not self.dropped[k]}
+        return {k: self.score([k]) for k, w in self.weight.items() if w and not self.dropped[k]}
+
+    def score(self, elements: list[int]) -> float:
+        """Of elements that don't hold each other: the harmonic mean of weight / total and weight / size."""
+        return 2 * sum(self.weight[k] for k in elements) / (self.weight[0] + sum(self.size[k] for k in elements))
+
+    def covers(self, elements: list[int], whole: int) -> bool:
+        """Whether elements of one path hold all text of another one but boilerplate."""
+        def under(k: int, top: int) -> bool:
+            while k > top:  # what holds an element has a smaller number
+                k = self.parent[k]
+            return k == top
+
+        return any(under(whole, k) for k in elements) or sum(self.clean[k] for k in elements if under(k, whole)) == self.clean[whole]
 
     def best(self, scores: dict[int, float]) -> tuple[int, float]:
         if not scores:
@@ -216,9 +232,16 @@ def extract(source: str, paths: list[str]) -> tuple[str, str]:
     found: dict[str, list[int]] = {}
     for k in scores:
         found.setdefault(page.path(k), []).append(k)
+    chosen, at_least, most = None, 0, ENOUGH * score
     for path in paths:
-        if sum(scores[k] for k in found.get(path, ())) >= ENOUGH * score:
-            return page.text(set(found[path])), path
+        elements = found.get(path)
+        if not elements or not page.covers(elements, own):
+            continue
+        weight, mark = sum(page.weight[k] for k in elements), page.score(elements)
+        if weight >= at_least and (mark > most or chosen is None and mark == most):
+            chosen, at_least, most = path, weight, mark
+    if chosen is not None:
+        return page.text(set(found[chosen])), chosen
     return page.text({own}), page.path(own)
 
 

@@ -332,6 +332,24 @@ def test_hosts_agree_on_a_path(spark):
     assert {r.path for r in host_paths.extract_pages(pages).collect()} == {"body>div.story"}
 
 
+def test_article_over_sibling_sections(spark):
+    """A long page isn't cut to the part that its host's short pages vote for."""
+    lead = "<section class=lead><p>" + "first " * 30 + "</p><p>" + "second " * 30 + "</p></section>"
+    links = "<section class=lists>" + "<p><a href=x>" + "link " * 40 + "</a></p>" * 2 + "</section>"
+    short, long = f"<main>{lead}{links}</main>", "<main>" + lead + "".join(f"<section class=part><p>more {k} " + "words " * 40 + "</p></section>" for k in range(3)) + "</main>"
+    also = "<div class=box>" + lead.replace("lead", "text") + links + "</div>"  # a wider path holds no more of the article
+    rows = [(k, "http://h/", f"<body>{short}</body>") for k in range(9)] + [(9, "http://h/", f"<body>{long}</body>")]
+    rows += [(20 + k, "http://i/", f"<body>{also}</body>") for k in range(3)]
+    got = {r.page_id: (r.path, r.text) for r in host_paths.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0][0] == "body>main>section.lead" and "link" not in got[0][1]
+    assert all(f"more {k} words" in got[9][1] for k in range(3)) and "first first" in got[9][1]
+    assert got[20][0] == "body>div.box>section.text"
+    page = f"<body>{also}</body>"
+    assert host_paths.extract(page, ["body>div.box", "body>div.box>section.text"]) == host_paths.extract(page, ["body>div.box>section.text", "body>div.box"])
+    split = "<body><main>" + "".join(f"<section class=part><p>{w * 30}</p><p>{w * 20}</p></section>" for w in ("one ", "two ", "three ")) + "</main></body>"
+    assert host_paths.extract(split, ["body>main>section.part"])[0] == host_paths.extract(split, [])[0]
+
+
 def test_nearest_codes(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.choice([-1.0, 1.0], 64).tolist()) for i in range(300)]
