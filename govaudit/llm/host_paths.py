@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from govaudit.session import ship_package
 
@@ -275,9 +276,10 @@ def host_paths(pages: DataFrame) -> DataFrame:
     ship_package(pages.sparkSession)
     votes = (pages.select(F.expr(host_of("url")).alias("host"), "html").mapInArrow(_votes, "host string, path string, votes long")
              .groupBy("host", "path").agg(F.sum("votes").alias("votes")))
-    # per host the first few of its distinct paths; the sort key is -votes, so ties go by path
-    ranked = votes.groupBy("host").agg(F.expr(f"slice(sort_array(collect_list(struct(-votes AS lost, path))), 1, {PATHS})").alias("paths"))
-    return ranked.select("host", F.expr("transform(paths, x -> x.path)").alias("paths"))
+    # per host the first few of its distinct paths, ties by path; Spark limits them before the shuffle too
+    ranked = votes.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(f"rank <= {PATHS}")
+    paths = ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("paths"))
+    return paths.select("host", F.expr("transform(paths, x -> x.path)").alias("paths"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -332,6 +332,14 @@ def test_hosts_agree_on_a_path(spark):
     assert {r.path for r in host_paths.extract_pages(pages).collect()} == {"body>div.story"}
 
 
+def test_host_of_many_paths(spark):
+    """The paths of a host are limited before they meet, to those with most votes, ties by path."""
+    rows = [(k, "http://h/", f"<body><div class={'abcdefghijklmnopqrst'[k % 20]}x><p>one text</p><p>two texts</p></div></body>") for k in range(43)]
+    found = host_paths.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    assert found.first().paths == [f"body>div.{c}x" for c in "abcdefgh"] and found.count() == 1
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_article_over_sibling_sections(spark):
     """A long page isn't cut to the part that its host's short pages vote for."""
     lead = "<section class=lead><p>" + "first " * 30 + "</p><p>" + "second " * 30 + "</p></section>"
