@@ -12,8 +12,10 @@ order is that of their chunks, which is fixed once the first table is written.)
   strings have equal triggers at equal distances: phrases that hold a common
   string have the same gram.
 * **Which grams repeat.** Chunks of documents send the hashes of their grams to
-  hash buckets (48 bits each) and get back a bit for each. Phrases of a gram that occurs once
-  in the corpus repeat nothing and stay where they are.
+  hash buckets (48 bits each), with the number of distinct phrases of each, and get
+  back whether it occurs again and whether it is crowded: whether the numbers of all
+  chunks come to more than ``CROWDED``. Phrases of a gram that occurs once in the
+  corpus repeat nothing and stay where they are.
 * **Dictionary.** The other phrases, each distinct one once per chunk, meet by
   gram. Of each distinct phrase the earliest occurrence stays; in all later ones
   every string is repeated. The distinct phrases are the dictionary.
@@ -21,11 +23,16 @@ order is that of their chunks, which is fixed once the first table is written.)
   dictionary are sorted by their first 100 bytes and then by their phrase's
   place in the parse (its earliest occurrence): corpus order. In each run of
   equal strings the first is the original, the others repeat it.
+* **Crowded grams** (at the edges of a passage that many documents share each
+  phrase reaches into a document's own text, so there may be as many as documents)
+  aren't sent by gram. Their phrases are cut into their strings of 100 bytes, each
+  distinct one is sent once per chunk and by its own hash, and of equal ones
+  (compared by bytes) the earliest is the original.
 * The repeated ranges go back to their chunks.
 
 A task holds a bucket's hashes (6 bytes for each distinct gram of a chunk) or
-the distinct phrases of one gram (at most 168 bytes each), however often they
-occur. Null and empty texts, and those under 100 bytes, lose nothing.
+at most ``CROWDED`` distinct phrases of one gram (168 bytes each) beside ``SORTED``
+others, however many there are. Null and empty texts, and those under 100 bytes, lose nothing.
 """
 
 from __future__ import annotations
@@ -40,13 +47,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from govaudit.llm.common import U64, mixed, powers, prefix_sums, slices, spread, stored, text_bytes
+from govaudit.llm.common import U64, mixed, powers, prefix_sums, slices, spread, stored, stretch_hashes, text_bytes
 from govaudit.session import ship_package
 
 LENGTH, GRAM = 100, 32
 CHUNK = 1 << 22
 #: Dictionary phrases that are sorted at a time.
 SORTED = 1 << 14
+#: Phrases of one gram, counted by chunk, beyond which they are compared string by string.
+CROWDED = 1 << 13
 REACH = LENGTH - GRAM  # grams to the right of a string's first one
 WIDTH = REACH + LENGTH  # bytes of the longest phrase
 
@@ -114,30 +123,59 @@ def _grams(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                hashes = np.unique(parse(*_text(row))[3] >> U64(16) << U64(16))  # 48 bits; a chance agreement is only looked at in vain
+                data, offsets = _text(row)
+                start, n, _, gram = parse(data, offsets)
+                # 48 bits; a chance agreement is only looked at in vain
+                hashes, which, times = np.unique(gram >> U64(16) << U64(16), return_inverse=True, return_counts=True)
+                several = np.flatnonzero((times > 1)[which])
+                raw = data.tobytes()
+                phrases = {(k, raw[a:b]) for k, a, b in zip(which[several].tolist(), start[several].tolist(), (start + n + LENGTH - 1)[several].tolist())}
+                number = np.bincount(np.array([k for k, _ in phrases], dtype=np.int64), minlength=len(hashes))
                 bounds = np.searchsorted((hashes >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1))
+                more = [np.flatnonzero(number[a:b] > 1) for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_pydict(
                     {"chunk": [row["chunk"]] * buckets, "bucket": list(range(buckets)),
-                     "hashes": [_six(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]},
-                    pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary())]))
+                     "hashes": [_six(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])],
+                     "more": [np.stack([k, number[a + k]], 1).astype("<u4").tobytes() for a, k in zip(bounds[:-1], more)]},
+                    pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("more", pa.binary())]))
 
     return send
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    sent = [_of_six(x) for x in group["hashes"].to_pylist()]
-    distinct, which, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-    again = (counts > 1)[which]
-    ends = np.cumsum([len(x) for x in sent])
-    return pa.table({"chunk": group["chunk"], "bucket": group["bucket"],
-                     "again": pa.array([np.packbits(again[e - len(x): e]).tobytes() for e, x in zip(ends, sent)], pa.binary()),
-                     "size": pa.array([len(x) for x in sent], pa.int64())})
+def _answer(crowded: int):
+    def answer(group: pa.Table) -> pa.Table:
+        sent = [_of_six(x) for x in group["hashes"].to_pylist()]
+        distinct, which, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+        again = (counts > 1)[which]
+        ends = np.cumsum([len(x) for x in sent])
+        phrases = counts.copy()
+        for e, x, raw in zip(ends, sent, group["more"].to_pylist()):  # a chunk's hashes are distinct
+            at, n = np.frombuffer(raw, "<u4").reshape(-1, 2).astype(np.int64).T
+            phrases[which[e - len(x) + at]] += n - 1
+        crowds = (phrases > crowded)[which]
+        return pa.table({"chunk": group["chunk"], "bucket": group["bucket"],
+                         "again": pa.array([np.packbits(again[e - len(x): e]).tobytes() for e, x in zip(ends, sent)], pa.binary()),
+                         "crowds": pa.array([np.flatnonzero(crowds[e - len(x): e]).astype("<u4").tobytes() for e, x in zip(ends, sent)], pa.binary()),
+                         "size": pa.array([len(x) for x in sent], pa.int64())})
+
+    return answer
 
 
 #: Rows without a phrase are ranges known to repeat, n strings long; their gram only spreads them.
 PHRASES = pa.schema([("gram", pa.int64()), ("phrase", pa.binary()), ("doc_id", pa.int64()), ("chunk", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 
 
+def _strings(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the strings that start at ``at`` (in corpus order) their hashes, and which equal an earlier one."""
+    hashes = stretch_hashes(prefix_sums(data), at, at + LENGTH)
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    first, again = first[which], np.zeros(len(at), dtype=bool)
+    later, strings = np.flatnonzero(first != np.arange(len(at))), np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    for k in (later[i: i + (1 << 16)] for i in range(0, len(later), 1 << 16)):
+        again[k] = (strings[at[k]] == strings[at[first[k]]]).all(1)
+    return hashes, again
+
+
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -147,10 +185,14 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             answers = sorted(row["answers"], key=lambda x: x["bucket"])
             bits = [np.unpackbits(np.frombuffer(x["again"], np.uint8), count=x["size"]) for x in answers]
             again = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+            crowded, before = np.zeros(len(hashes), dtype=bool), 0
+            for x in answers:
+                crowded[before + np.frombuffer(x["crowds"], "<u4").astype(np.int64)] = True
+                before += x["size"]
             kept = np.flatnonzero((again | (times > 1))[which])
             if not len(kept):
                 continue
-            start, n, gram = start[kept], n[kept], gram[kept]
+            start, n, gram, crowded = start[kept], n[kept], gram[kept], crowded[which[kept]]
             raw = data.tobytes()
             names = np.array([-1 << 63 if x is None else x for x in row["doc_ids"]], dtype=np.int64)
             document = np.searchsorted(offsets, start, "right") - 1
@@ -161,13 +203,25 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(phrases[k])
             sent, repeated = np.array(sent, dtype=np.int64), np.sort(np.array(repeated, dtype=np.int64))
             chunk = row["chunk"]
+            sent, cut = sent[~crowded[sent]], sent[crowded[sent]]
+            at, owner = spread(n[cut], start[cut]), np.repeat(ids[cut], n[cut])
+            route, twice = _strings(data, at) if len(cut) else (np.zeros(0, np.uint64), np.zeros(0, bool))
+            once = np.flatnonzero(~twice)
+            for part in (once[i: i + 20_000] for i in range(0, len(once), 20_000)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(route[part].view(np.int64)), pa.array([raw[k: k + LENGTH] for k in at[part].tolist()], pa.binary()), pa.array(owner[part]),
+                     pa.array(np.full(len(part), chunk)), pa.array(at[part]), pa.array(np.ones(len(part), np.int64))],
+                    schema=PHRASES)
             for part in (sent[i: i + 20_000] for i in range(0, len(sent), 20_000)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(gram[part].view(np.int64)), pa.array([phrases[k] for k in part.tolist()], pa.binary()), pa.array(ids[part]),
                      pa.array(np.full(len(part), chunk)), pa.array(start[part]), pa.array(n[part])],
                     schema=PHRASES)
-            if len(repeated):  # known already; as few ranges as possible
-                a, b = start[repeated], start[repeated] + n[repeated]
+            if len(repeated) or twice.any():  # known already; as few ranges as possible
+                a = np.append(start[repeated], at[twice])
+                b = a + np.append(n[repeated], np.ones(int(twice.sum()), np.int64))
+                order = np.argsort(a)
+                a, b = a[order], b[order]
                 first = np.flatnonzero(np.append(True, a[1:] != b[:-1]))
                 a, b = a[first], b[np.append(first[1:] - 1, len(b) - 1)]
                 size, nothing = len(a), pa.nulls(len(a), pa.int64())
@@ -303,9 +357,9 @@ def remove_repeats(docs: DataFrame, as_text: bool = False, carry: tuple[str, ...
              .add("text", "binary").add("carried", ArrayType(kind)))
     chunks = stored(read.mapInArrow(_chunks, shape), "chunks")
     texts = chunks.select("chunk", "doc_ids", "lengths", "text")
-    sent = texts.mapInArrow(_grams(buckets), "chunk long, bucket long, hashes binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, again binary, size long")
-    per_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "again", "size")).alias("answers"))
+    sent = texts.mapInArrow(_grams(buckets), "chunk long, bucket long, hashes binary, more binary")
+    answers = sent.groupBy("bucket").applyInArrow(_answer(CROWDED), "chunk long, bucket long, again binary, crowds binary, size long")
+    per_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "again", "crowds", "size")).alias("answers"))
     phrases = texts.join(per_chunk, "chunk").select("chunk", "doc_ids", "lengths", "text", "answers").mapInArrow(
         _phrases, "gram long, phrase binary, doc_id long, chunk long, start long, n long")
     ranges = (phrases.repartition("gram").sortWithinPartitions("gram", "phrase", "doc_id", "chunk", "start")

@@ -287,6 +287,39 @@ def test_repeats_in_random_texts(spark):
     assert got == want and any(x[1] for x in want.values())
 
 
+def test_repeats_of_crowded_grams(spark, monkeypatch):
+    """Phrases of one gram that differ in each document don't meet in one group, and what is removed is the same."""
+    rng = random.Random(11)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, rows = say(400), []
+    for i in range(300):
+        rows.append((i, say(rng.randint(0, 60)) + shared + say(rng.randint(0, 60))))
+    want = brute.without_repeats(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id")
+    groups, repeated = [], repeats._repeated
+
+    def largest(batches):
+        met = {}
+        for batch in batches:
+            for gram, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if phrase is not None:
+                    met.setdefault(gram, set()).add(phrase)
+        yield repeats.pa.RecordBatch.from_pydict({"chunk": [max(map(len, met.values()), default=0)], "ranges": [b""]}, repeats.RANGES)
+
+    for crowded in (8, repeats.CROWDED):
+        monkeypatch.setattr(repeats, "CROWDED", crowded)
+        rows = repeats.remove_repeats(frame).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows} == want
+        monkeypatch.setattr(repeats, "_repeated", largest)
+        met, join = [], type(frame).join
+        monkeypatch.setattr(type(frame), "join", lambda self, other, *a, **b: (met.append(other), join(self, other, *a, **b))[1])
+        repeats.remove_repeats(frame)
+        groups.append(met[-1].agg(F.max("chunk")).first()[0])
+        monkeypatch.setattr(type(frame), "join", join)
+        monkeypatch.setattr(repeats, "_repeated", repeated)
+    assert groups[0] <= 8 < 100 < groups[1]
+
+
 def test_severity(spark, docs, nothing):
     sf = "/root/testdata/sf0.1"
     documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
