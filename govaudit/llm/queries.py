@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govaudit.llm import attention_lm, hamming, host_paths, near_dedup, packing, repeats, severity, syncmers, token_files, word_table
-from govaudit.llm.common import table
+from govaudit.llm import (attention_lm, hamming, host_paths, line_runs, near_dedup, packing, repeats, severity, spelling, syncmers, token_alignment,
+                          token_files, word_table)
+from govaudit.llm.common import stored, table
 from govaudit.session import new_path
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,23 @@ def op10_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity.score(docs, severity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_frequency_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(stored(spelling.corpus_words(table(spark, sf_dir, "documents")), "words"))
+
+
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten or more of them hold."""
+    return line_runs.without_common_lines(table(spark, sf_dir, "documents"), least=10).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of two tokenizers aligned, over all documents."""
+    rows = token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_token_files": op2_token_files,
@@ -88,6 +106,9 @@ QUERIES = {
     "op8_attention_lm": op8_attention_lm,
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_severity": op10_severity,
+    "op11_frequency_trie": op11_frequency_trie,
+    "op12_line_runs": op12_line_runs,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _OP1 = r"""
@@ -122,7 +143,60 @@ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY di
 SELECT * FROM ranked WHERE rank <= 10
 """
 
+_OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS steps),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+lowered AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(concat(doc_id, ':', run), ''),
+      lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) - 64 AS BIGINT)] END))),
+    lambda a, x: xor(a >> 8, steps[1 + (xor(a, x) & 255)])), 4294967295) AS h
+  FROM lowered, crc),
+edited AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words),
+cuts AS (SELECT word, k, substring(word, 1, k - 1) || substring(word, k + 1) AS short FROM places),
+near AS (
+  SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.short = b.short AND a.k = b.k AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON c.short = w.word
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON c.short = w.word),
+ranked AS (
+  SELECT near.word, other, w.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+         row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS rank
+  FROM near JOIN words w ON near.other = w.word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+         CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r ON w.word = r.word),
+walk AS (
+  SELECT word, word AS root, form AS following FROM formed
+  UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN formed f ON walk.following = f.word)
+SELECT f.word, f.form, walk.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM formed f JOIN walk ON f.word = walk.word AND walk.following IS NULL
+"""
+
+_OP12 = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+keyed AS (
+  SELECT doc_id, l, list_transform(l, lambda x: translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS k
+  FROM split),
+flat AS (SELECT doc_id, unnest(l) AS line, unnest(k) AS key, generate_subscripts(l, 1) AS place FROM keyed),
+common AS (SELECT key FROM flat WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM flat f LEFT JOIN common c ON f.key = c.key GROUP BY doc_id
+"""
+
 SQL: dict[str, str] = {
+    "op11_frequency_trie": _OP11,
+    "op12_line_runs": _OP12,
     "op5_multi_index_hashing": _OP5,
     "op1_hyperminhash": _OP1,
 }

@@ -418,7 +418,7 @@ def test_queries_equal_sql(spark, sf_dir, name):
     df = queries.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     want = connection.execute(f"SELECT {', '.join(columns)} FROM ({queries.SQL[name]})").fetchall()
-    assert sorted(map(tuple, df.select(columns).collect())) == sorted(want)
+    assert sorted(map(tuple, df.select(columns).collect()), key=str) == sorted(want, key=str)
 
 
 def test_queries_on_whole_tables(spark, sf_dir):
