@@ -41,7 +41,7 @@ from govaudit.llm.common import slices, spread, stored, text_bytes
 from govaudit.llm.subwords import byte_letters, stretch_starts
 from govaudit.session import ship_package
 
-CHUNK, REMEMBERED = 1 << 20, 300_000  # bytes of text aligned at a time; stretches that a worker remembers
+CHUNK, REMEMBERED, LEARNED = 1 << 20, 300_000, 4096  # bytes of text aligned at a time; stretches that a worker remembers, and aligns at a time
 LINK = np.dtype([("a", "<u4"), ("b", "<u4")])
 
 
@@ -92,7 +92,7 @@ class Aligner:
     def learn(self, stretches: list[bytes]) -> None:
         """Aligns new stretches, all at once. Each begins with a space."""
         texts = [x.decode("utf-8", "replace") for x in stretches]
-        a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         b = self.b.encode([x[1:] for x in texts], num_threads=1)
         b = [q if len(x) > 1 else [self.b.piece_to_id("▁")] for x, q in zip(texts, b)]  # a space at a text's end
         whole = [x == b"".join([self.a_bytes[i] for i in p]) == b"".join([self.b_bytes[i] for i in q]) for x, p, q in zip(stretches, a, b)]
@@ -156,8 +156,8 @@ class Aligner:
         if len(self.facts) > REMEMBERED:
             self.clear()
         new = [x for x in distinct if x not in self.known]
-        if new:
-            self.learn(new)
+        for k in range(0, len(new), LEARNED):
+            self.learn(new[k: k + LEARNED])
         facts = [self.facts[self.known[x]] for x in distinct]
         which = coded.indices.to_numpy()
         first = np.searchsorted(starts, bounds)
