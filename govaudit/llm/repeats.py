@@ -51,7 +51,7 @@ from govaudit.llm.common import U64, mixed, powers, prefix_sums, slices, spread,
 from govaudit.session import ship_package
 
 LENGTH, GRAM = 100, 32
-CHUNK = 1 << 22
+CHUNK, PARSED = 1 << 22, 1 << 19  # bytes of text in a chunk, and those parsed at a time
 #: Dictionary phrases that are sorted at a time.
 SORTED = 1 << 14
 #: Phrases of one gram, counted by chunk, beyond which they are compared string by string.
@@ -82,7 +82,13 @@ def _text(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Phrases in order: the first string's start, the number of strings, the trigger's place, the
-    hash of its gram. ``offsets`` bound the documents."""
+    hash of its gram. ``offsets`` bound the documents; no phrase crosses one, so a few are parsed at a time."""
+    found = [_parse(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a], offsets[a]) for a, b in slices(offsets, PARSED)]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else _parse(data, offsets, 0)
+
+
+def _parse(data: np.ndarray, offsets: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases of a few documents that stand ``before`` bytes into their chunk."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, none.astype(np.uint64)
@@ -106,7 +112,7 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     # a new phrase where the trigger changes; another document's trigger is another place
     first = np.flatnonzero(np.append(True, (of[1:] != of[:-1])))
     counts = np.diff(np.append(first, len(starts)))
-    return starts[first], counts, of[first], grams[of[first]]
+    return starts[first] + before, counts, of[first] + before, grams[of[first]]
 
 
 def _six(hashes: np.ndarray) -> bytes:
@@ -323,21 +329,22 @@ def _cut(as_text: bool):
             for at, row in enumerate(batch.select(range(5)).to_pylist()):
                 data, offsets = _text(row)
                 ranges = np.frombuffer(b"".join(row["ranges"] or []), "<u4").reshape(-1, 2).astype(np.int64)
-                edges = np.zeros(len(data) + 1, dtype=np.int64)
+                edges = np.zeros(len(data) + 1, dtype=np.int32)
                 np.add.at(edges, ranges[:, 0], 1)
                 np.add.at(edges, ranges[:, 0] + ranges[:, 1] + LENGTH - 1, -1)
-                gone = np.cumsum(edges[:-1]) > 0
+                gone = np.cumsum(edges[:-1], dtype=np.int32) > 0
+                del edges
                 opens = gone.copy()
                 opens[1:] &= ~gone[:-1]
                 inner = offsets[:-1][offsets[:-1] < offsets[1:]]
                 opens[inner] = gone[inner]  # spans don't cross documents
-                removed, spans = (np.append(0, np.cumsum(x)) for x in (gone, opens))
+                removed, spans = (np.append(0, np.cumsum(x))[offsets] for x in (gone, opens))
                 kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
                 sizes = np.diff(offsets)
                 for a, b in slices(offsets, 1 << 20):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(row["doc_ids"][a:b], pa.int64()), pa.array(sizes[a:b]), pa.array(np.diff(removed[offsets[a: b + 1]])),
-                         pa.array(np.diff(spans[offsets[a: b + 1]])),
+                        [pa.array(row["doc_ids"][a:b], pa.int64()), pa.array(sizes[a:b]), pa.array(np.diff(removed[a: b + 1])),
+                         pa.array(np.diff(spans[a: b + 1])),
                          pa.array([x.decode("utf-8", "ignore") for x in kept[a:b]] if as_text else kept[a:b], kind), carried[at].values.slice(a, b - a)],
                         names=names)
 
