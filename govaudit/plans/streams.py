@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from govaudit import catalog as cat
 from govaudit.functions.actions import parse_actions
 from govaudit.operators import replay, scan
 from govaudit.plans import sql
@@ -79,3 +80,32 @@ def streamed_action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_reviewer_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = run_available(activity.reviewer_sessions(_actions(spark, sf_dir)), "sessions")
     return sessions.select("agent", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n_actions")
+
+
+DECISION_OF = {"A": cat.DECISIONS[0], "R": cat.DECISIONS[1], "N": cat.DECISIONS[2]}
+
+
+def decided_violations(orders: DataFrame, lineitem: DataFrame, packets: DataFrame) -> DataFrame:
+    """Violations of submitted packets per 30 days of decision time. An order submits its customer's
+    packet, a line decides about its order; ``packets`` is a table."""
+    submissions = orders.select(F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("packet_id"),
+                                F.col("o_orderdate").cast("timestamp").alias("submitted_at"))
+    decisions = lineitem.select(F.col("l_orderkey").alias("submission_id"), F.element_at(cat.literal_map(DECISION_OF), F.col("l_returnflag")).alias("decision"),
+                                F.col("l_shipdate").cast("timestamp").alias("decided_at"))
+    decided = activity.decided_submissions(submissions, decisions, "submission_id")
+    found = decided.join(scan.scan(packets).select("packet_id", "detected"), "packet_id")
+    return activity.violation_counts(found, "decided_at", "30 days", "decision")
+
+
+@query(sql.query(f"""
+  SELECT strftime(start, '%Y-%m-%d') AS window_start, code, decision, CAST(count(*) AS BIGINT) AS n_violations FROM (
+    SELECT unnest(s.detected) AS code, {sql.case_map('l_returnflag', DECISION_OF, 'NULL')} AS decision,
+      TIMESTAMP '1970-01-01' + to_days(CAST(30 * (date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) // 30) AS INTEGER)) AS start
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 90 DAY
+    JOIN scan s ON s.packet_id = o_custkey)
+  WHERE start + INTERVAL 30 DAY <= (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL 1 HOUR - INTERVAL 90 DAY)
+  GROUP BY ALL""", "scan"))
+def streamed_violations_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = run_available(decided_violations(_stream(spark, sf_dir, "orders"), _stream(spark, sf_dir, "lineitem"), bridge.packets(spark, sf_dir)),
+                           "violation-windows")
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "code", "decision", "n_violations")
