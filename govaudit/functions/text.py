@@ -36,6 +36,11 @@ def _asserted_at(pieces: str, index: str, phrase: str, negators: list[str]) -> s
     reach = LOOK_BACK_CHARS // len(phrase) + 2
     before = (f"right(array_join(slice({pieces}, greatest(1, {index} - {reach - 1}), least({index}, {reach})), "
               f"{text(phrase)}), {LOOK_BACK_CHARS})")
+    return free_of_negators(before, negators)
+
+
+def free_of_negators(before: str, negators: list[str] = NEGATORS) -> str:
+    """Is there no negator among the last words of what stands before?"""
     words = f"filter(split({before}, {text(WHITESPACE)}), w -> w <> '')"
     bare = (f"transform(slice(ws, greatest(1, size(ws) - {LOOK_BACK_WORDS - 1}), {LOOK_BACK_WORDS}), "
             f"w -> btrim(w, {text(PUNCTUATION)}))")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from govaudit import catalog as cat
 from govaudit.functions import actions as act
 from govaudit.functions.text import asserted_occurrences, occurrences
-from govaudit.operators import audit, grade, scan
+from govaudit.operators import audit, grade, phrase_index, scan
 from govaudit.operators.rules import phrase_rule, with_rule
 from govaudit.plans import sql
 from govaudit.plans.registry import query
@@ -297,6 +297,31 @@ def phrase_in_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _phrase_search(turns, ["conv_id", "turn", "role"], "text", "the", DOC_NEGATORS)
 
 
+# Ten rules per document: one to three of its own words, from ten places; of 12 to 60 characters.
+_RULES_OF_TEXTS = """
+  SELECT rule_id, phrase FROM (
+    SELECT doc_id * 10 + j AS rule_id, array_to_string(w[(doc_id * 13 + j * 17) % len(w) + 1 : (doc_id * 13 + j * 17) % len(w) + 1 + j % 3], ' ') AS phrase
+    FROM (SELECT doc_id, string_split(lower(text), ' ') AS w, unnest(range(10)) AS j FROM documents))
+  WHERE length(phrase) BETWEEN 12 AND 60 AND len(list_filter(range(1, length(phrase)), lambda i: starts_with(phrase, substr(phrase, i + 1)))) = 0"""
+
+
+def _rules_of(documents: DataFrame) -> DataFrame:
+    words = documents.select("doc_id", F.split(F.lower("text"), " ", -1).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
+    return words.select((F.col("doc_id") * 10 + F.col("j")).alias("rule_id"), F.expr(
+        "array_join(slice(w, CAST((doc_id * 13 + j * 17) % size(w) + 1 AS INT), 1 + j % 3), ' ')").alias("phrase")).where("length(phrase) BETWEEN 12 AND 60")
+
+
+@query(sql.query(f"""
+  SELECT rule_id, CAST(count(*) AS BIGINT) AS n_texts, CAST(sum(n_found) AS BIGINT) AS n_found, CAST(sum(n_asserted) AS BIGINT) AS n_asserted FROM (
+    SELECT rule_id, len(string_split(low, phrase)) - 1 AS n_found, {sql.asserted_count_of('low', 'phrase', DOC_NEGATORS)} AS n_asserted
+    FROM rules JOIN low ON contains(low, phrase))
+  GROUP BY rule_id""", extra={"rules": _RULES_OF_TEXTS, "low": "SELECT doc_id, lower(text) AS low FROM documents"}))
+def phrase_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = bridge.table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = phrase_index.phrase_hits(documents, _rules_of(documents), ["doc_id"], negators=DOC_NEGATORS)
+    return hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n_found").alias("n_found"), F.sum("n_asserted").alias("n_asserted"))
+
+
 @query(f"""
   SELECT CAST(count(*) FILTER (WHERE hit AND bad) AS BIGINT) AS true_positive,
     CAST(count(*) FILTER (WHERE hit AND NOT bad) AS BIGINT) AS false_positive,

@@ -96,10 +96,19 @@ def decision_of(truth: str) -> str:
 
 def asserted_count(text: str, phrase: str, negators: list[str] = cat.NEGATORS) -> str:
     """Occurrences without a negator among the six words (50 characters) before."""
-    words = ("list_filter(regexp_split_to_array(right(array_to_string(list_slice("
-             f"string_split({text}, {q(phrase)}), 1, i), {q(phrase)}), 50), '\\s+'), lambda w: w <> '')")
-    bare = (f"list_transform({words}[-6:], lambda w: trim(w, {q('.,;:' + chr(34) + chr(39) + '()')}))")
-    return (f"len(list_filter(range(1, len(string_split({text}, {q(phrase)}))), "
+    return _asserted(text, q(phrase), f"array_to_string(list_slice(string_split({text}, {q(phrase)}), 1, i), {q(phrase)})", negators)
+
+
+def asserted_count_of(text: str, phrase: str, negators: list[str]) -> str:
+    """The same for a phrase that is an expression."""
+    pieces = f"list_slice(string_split({text}, {phrase}), 1, i)"
+    return _asserted(text, phrase, f"array_to_string(list_transform({pieces}[:-2], lambda p: p || {phrase}), '') || {pieces}[-1]", negators)
+
+
+def _asserted(text: str, phrase: str, before: str, negators: list[str]) -> str:
+    words = f"list_filter(regexp_split_to_array(right({before}, 50), '\\s+'), lambda w: w <> '')"
+    bare = f"list_transform({words}[-6:], lambda w: trim(w, {q('.,;:' + chr(34) + chr(39) + '()')}))"
+    return (f"len(list_filter(range(1, len(string_split({text}, {phrase}))), "
             f"lambda i: NOT list_has_any({bare}, {qlist(negators)})))")
 
 
