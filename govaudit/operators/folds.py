@@ -138,6 +138,10 @@ class MonotoneFold:
         items = F.when(~long, F.flatten(F.transform("_parts", lambda p: p.getField("items"))))
         return ends.select(*group, F.col("block").alias("piece"), "n", items.alias("items"), "base", cuts.alias("cuts"))
 
+    def applied(self, summary: Column) -> Column:
+        """The state after what ``summary`` (a struct of items, base and cuts) stands for, from ``start``."""
+        return self._through(summary, self._whole(self.start))
+
     def final_states(self, pieces: DataFrame, group: list[str], starts: DataFrame | None = None,
                      bits: int = PIECE_BITS) -> DataFrame:
         """(group..., state) after the ordered history of each group.

@@ -10,9 +10,9 @@ from govaudit.functions.actions import parse_actions
 from govaudit.operators import replay, scan
 from govaudit.plans import sql
 from govaudit.plans.history import ROUNDS, WEAKNESS, _HISTORY
-from govaudit.plans.registry import query
+from govaudit.plans.registry import SQL, query
 from govaudit.sources import bridge
-from govaudit.streaming import activity, incremental, scorer
+from govaudit.streaming import activity, incremental, scorer, summary_tree
 from govaudit.streaming.files import run_available, stream_table
 
 
@@ -61,6 +61,14 @@ def streamed_weakness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.streamed_weakness(outcomes, bridge.MISS_ORDER)
 
 
+@query(SQL["streamed_weakness"])
+def streamed_weakness_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state from a stored tree of summaries, a leaf for every 360 days."""
+    outcomes = bridge.miss_outcomes_from(_stream(spark, sf_dir, "lineitem"))
+    rows = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in outcomes.schema)
+    return summary_tree.streamed_weakness(outcomes, rows, bridge.MISS_ORDER, F.expr("unix_date(CAST(seen_at AS DATE)) DIV 360"))
+
+
 @query(sql.query("""
   SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(action_type, 'invalid') AS action_type, CAST(count(*) AS BIGINT) AS n_actions
   FROM (SELECT *, date_trunc('day', ts) AS day, max(ts) OVER () - INTERVAL 1 HOUR AS mark FROM actions)
