@@ -5,7 +5,8 @@ A-Z. From labelled documents:
 
 1. Words are counted per label, a document counting once. A word is indicative
    if it is in at least ``LEAST`` documents and its log-likelihood ratio is at
-   least ``RATIO``; at most ``FEATURES`` words, by ratio, become features.
+   least twice the logarithm of the number of labelled documents (so a language
+   with few of them is learned from few); at most ``FEATURES`` words, by ratio, become features.
 2. A document labelled clean has grade 0; a toxic one grade 1 to 3 by the share
    of its words that indicate toxicity (``CUTS``).
 3. P(grade <= k) = sigmoid(threshold_k - w.x), with the same w for every
@@ -35,7 +36,7 @@ from govaudit.session import ship_package
 
 #: The bound of the labelled sample that the classifier is fitted on.
 SAMPLE = 20_000
-FEATURES, LEAST, RATIO = 4096, 3, 20.0
+FEATURES, LEAST = 4096, 3
 CUTS = (0.01, 0.025)
 GRADES = 4
 
@@ -166,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     p, a, b = bad / (bad + good), "a", "(n - a)"
     ratio = (f"2 * ({part(a, f'n * {p}')} + {part(b, f'n * {1 - p}')} + {part(f'({bad} - a)', f'({bad + good} - n) * {p}')}"
              f" + {part(f'({good} - n + a)', f'({bad + good} - n) * {1 - p}')})")
-    rows = (counted.where(f"n < {bad + good}").withColumn("ratio", F.expr(ratio)).where(f"ratio >= {RATIO}")
+    rows = (counted.where(f"n < {bad + good}").withColumn("ratio", F.expr(ratio)).where(f"ratio >= {2 * np.log(bad + good)}")
             .orderBy(F.desc("ratio"), "word").limit(FEATURES).selectExpr("word", f"a > n * {p} AS positive").collect())
     rows.sort(key=lambda r: r.word & 0xFFFFFFFFFFFFFFFF)
     model = Model(np.array([r.word for r in rows], dtype=np.int64).view(np.uint64), np.array([float(r.positive) for r in rows]), np.zeros(0), np.zeros(0))

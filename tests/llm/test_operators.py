@@ -337,6 +337,16 @@ def test_severity(spark, docs, nothing):
     severity.fit(documents, odd)
 
 
+def test_severity_of_small_languages(spark):
+    """A few hundred labels, a handful of them toxic in German or Spanish."""
+    sf = "/root/testdata/sf0.01"
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = severity.score(documents, severity.fit(documents, labels)).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id").join(
+        documents.select("doc_id", "lang"), "doc_id").collect()
+    caught = {x: [r.toxic for r in rows if r.lang == x and r.label == 1] for x in ("en", "de", "es")}
+    assert all(sum(x) >= 0.75 * len(x) for x in caught.values()) and not any(r.toxic and not r.label for r in rows)
+
+
 PAGE = """<html><body class="with-sidebar"><header><a href=/>Site</a></header><nav><ul><li>Home</ul></nav><div class="cookie-notice">Cookies!</div>
 <main><article class="post-{k}"><h1>Title&nbsp;{k} &amp; more</h1><p>Body   text of page {k} that goes
 on<br>for a while, with a <a href=x>link</a>.<p>Second <b>block.<script>var x = "</p>";</script><ul><li>One<li>Two</ul>
