@@ -37,6 +37,7 @@ from govaudit.session import ship_package
 #: The bound of the labelled sample that the classifier is fitted on.
 SAMPLE = 20_000
 FEATURES, LEAST = 4096, 3
+SLICE = 1 << 19  # bytes of text worked on at a time
 CUTS = (0.01, 0.025)
 GRADES = 4
 
@@ -72,7 +73,7 @@ def _words_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         toxic = batch.column(0).to_numpy()
-        for a, b in slices(offsets, 1 << 21):
+        for a, b in slices(offsets, SLICE):
             hashes, row = words(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
             order = np.lexsort((hashes, row))
             hashes, row = hashes[order], row[order]
@@ -102,7 +103,7 @@ def _examples(model: Model):
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
-            for a, b in slices(offsets, 1 << 21):
+            for a, b in slices(offsets, SLICE):
                 rows, features, values, share = _active(model, data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
                 bounds = np.searchsorted(rows, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays(
@@ -189,7 +190,7 @@ def _score(model: Model, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(batch.num_columns - 1))
-            for a, b in slices(offsets, 1 << 21):
+            for a, b in slices(offsets, SLICE):
                 rows, features, values, share = _active(model, data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
                 z = np.bincount(rows, values * model.weights[features], minlength=b - a) + model.weights[-1] * _scaled(share)
                 above = 1 - _sigmoid(model.thresholds - z[:, None])
