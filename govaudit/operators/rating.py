@@ -10,7 +10,8 @@ from govaudit.operators.folds import PIECE_BITS, ordered_pieces
 from govaudit.session import cut_lineage
 
 R = cat.RATING
-LONG = 1 << (2 * PIECE_BITS)  # rounds of one agent that are folded in one row
+#: No rating climbs past this: from here on a double no longer tells the expectation from 1, so a win gains nothing.
+CEILING = 8000.0
 
 
 def task_for(rating: Column) -> Column:
@@ -65,31 +66,38 @@ def _from_state(df: DataFrame, earlier: DataFrame | None) -> DataFrame:
             .withColumn("start", F.coalesce("_rating", F.lit(R["start"]))).drop("_rating"))
 
 
-def _settle(blocks: DataFrame) -> DataFrame:
-    """Exact starts for the blocks of very long histories.
+def _runs(blocks: DataFrame) -> DataFrame:
+    """(agent, run, parts, start): rows to fold whose start is known.
 
-    All blocks are folded at once from a guessed start; each then hands its end
-    to the next, and only blocks whose start changed are off.  When nothing
-    changes any more the starts are exactly those of one sequential fold.  A
-    rating forgets its start within a few thousand rounds, so this takes a few
-    passes, and at most as many as an agent has blocks.
+    A step never lowers the higher of two ratings below the lower one: the
+    expectation rises by less than a rating does, and a harder task lowers it.
+    So what a block makes of any start lies between what it makes of the floor
+    and of ``CEILING``. Where both ends are one number the block's end doesn't
+    depend on its start. Blocks between two such ends, the last one included,
+    form a run, which is folded in one row from the first end. A block of 2**20
+    rounds couples unless hardly a round of it is lost or won.
     """
-    chain = Window.partitionBy("agent").orderBy("block")
-
-    def folded(df: DataFrame) -> DataFrame:
-        end = F.aggregate("parts", F.col("start"), lambda r, p: _after(p.getField("wins"), r))
-        return cut_lineage(df.withColumn("end", end))
-
-    # ``start`` of the blocks comes in as the agent's rating before all of them.
-    current = folded(blocks.withColumn("first", F.col("start")))
-    while True:
-        # only numbers go through the window by agent, never the blocks' rounds
-        handed = (current.select("agent", "block", "first", "end")
-                  .select("agent", "block", F.coalesce(F.lag("end").over(chain), F.col("first")).alias("handed")))
-        joined = current.join(handed, ["agent", "block"])
-        if joined.filter(F.col("handed") != F.col("start")).isEmpty():
-            return current
-        current = folded(joined.withColumn("start", F.col("handed")).drop("handed", "end"))
+    spans = blocks.groupBy("agent").agg(F.min("block").alias("first"), F.count(F.lit(1)).alias("n_blocks"))
+    placed = blocks.join(spans, "agent")
+
+    def end(start: Column) -> Column:
+        # the end of an agent's only block is asked by nobody
+        return F.when(F.col("n_blocks") > 1, F.aggregate("parts", start, lambda r, p: _after(p.getField("wins"), r)))
+
+    opening = F.col("block") == F.col("first")
+    ends = placed.select(
+        "agent", "block", "start",
+        end(F.when(opening, F.col("start")).otherwise(F.lit(R["floor"]))).alias("low"),
+        end(F.when(opening, F.col("start")).otherwise(F.greatest("start", F.lit(CEILING)))).alias("high"))
+    # numbers alone go through the window by agent, never the blocks' rounds
+    coupled = F.col("low") == F.col("high")
+    before = Window.partitionBy("agent").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.last(F.when(coupled, F.struct("block", F.col("low").alias("end"))), ignorenulls=True).over(before)
+    runs = (ends.withColumn("known", known)
+            .select("agent", "block", F.col("known.block").alias("run"), F.coalesce("known.end", "start").alias("start")))
+    return (blocks.drop("start").join(runs, ["agent", "block"])
+            .groupBy("agent", "run", "start").agg(F.flatten(F.transform(
+                F.array_sort(F.collect_list(F.struct("block", "parts"))), lambda b: b.getField("parts"))).alias("parts")))
 
 
 def round_pieces(rounds: DataFrame, order: list[str], bits: int = PIECE_BITS) -> DataFrame:
@@ -98,30 +106,18 @@ def round_pieces(rounds: DataFrame, order: list[str], bits: int = PIECE_BITS) ->
     return cut_lineage(ordered_pieces(rounds, ["agent"], order, item, bits))
 
 
-def piece_ratings(pieces: DataFrame, earlier: DataFrame | None = None, long: int = LONG,
-                  bits: int = PIECE_BITS) -> DataFrame:
+def piece_ratings(pieces: DataFrame, earlier: DataFrame | None = None, bits: int = PIECE_BITS) -> DataFrame:
     """(agent, piece, n, start, end): exact rating around every piece.
 
     ``earlier`` (agent, rating) is where the fold goes on from.
 
-    Runs a job to see whether any agent has more than ``long`` rounds.  Agents
-    below that are folded in one row each (one boolean per round); longer ones
-    block by block, see ``_settle``.
+    Histories are folded in blocks of 2**bits pieces, one boolean per round; how
+    a block gets its start is said in ``_runs``. No jobs, no passes.
     """
-    wins = pieces.select("agent", F.struct(
-        "piece", "n", F.transform("items", lambda x: x.getField("won")).alias("wins")).alias("part"), "piece", "n")
-    # At most rounds / long agents can be this long.
-    hot = wins.groupBy("agent").agg(F.sum("n").alias("total")).filter(F.col("total") > long).select("agent")
-
-    def parts(df: DataFrame, *keys: Column | str) -> DataFrame:
-        return df.groupBy("agent", *keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
-
-    if hot.isEmpty():
-        return _piece_starts(_from_state(parts(wins), earlier))
-    short = _from_state(parts(wins.join(hot, "agent", "left_anti")), earlier)
-    blocks = _from_state(
-        parts(wins.join(hot, "agent", "left_semi"), F.shiftright("piece", bits).alias("block")), earlier)
-    return _piece_starts(short).unionByName(_piece_starts(_settle(blocks)))
+    part = F.struct("piece", "n", F.transform("items", lambda x: x.getField("won")).alias("wins"))
+    blocks = (pieces.select("agent", F.shiftright("piece", bits).alias("block"), part.alias("part"))
+              .groupBy("agent", "block").agg(F.array_sort(F.collect_list("part")).alias("parts")))
+    return _piece_starts(_runs(_from_state(blocks, earlier)))
 
 
 def rating_state(ratings: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from govaudit import catalog as cat
@@ -42,12 +43,12 @@ def test_offsets(rounds):
     assert all(r.n_before == r["items"][0] for r in rows)
 
 
-@pytest.mark.parametrize("long", [10**6, 100])
-def test_rating_history_against_model(rounds, long):
-    """Short histories in one row each; long ones block by block: same result."""
+@pytest.mark.parametrize("piece, block", [(5, 10), (5, 5), (2, 2)])
+def test_rating_history_against_model(rounds, piece, block):
+    """One block, blocks that couple, blocks that mostly don't: same result."""
     data, df = rounds
-    pieces = rating.round_pieces(df, ORDER, bits=5)
-    ratings = rating.piece_ratings(pieces, long=long, bits=5)
+    pieces = rating.round_pieces(df, ORDER, bits=piece)
+    ratings = rating.piece_ratings(pieces, bits=block)
     got = {(r.agent, r.n): r.elo_after for r in rating.rating_history(pieces, ratings).collect()}
     for agent, scores in data.items():
         for i, want in enumerate(model.rate([s >= 0.75 for s in scores])):
@@ -57,6 +58,38 @@ def test_rating_history_against_model(rounds, long):
     assert round(got[40, 0], 1) == 1025.9 and round(got[40, 59], 1) == 1844.7 and round(got[41, 59], 1) == 562.2
 
 
+def test_blocks_couple_and_start_no_jobs(spark):
+    """A long history is folded in as many rows as it has blocks, in a number of jobs that doesn't follow them."""
+    rows = spark.range(60_000).selectExpr("1L AS agent", "id AS n", "CAST(pmod(xxhash64(id), 2) AS DOUBLE) AS overall")
+    pieces = rating.round_pieces(rows, ORDER)
+    wins = [r.overall >= 0.75 for r in rows.orderBy("n").collect()]
+    want = model.rate(wins)[-1]
+    jobs = {}
+    for bits in (2, 3, 10):
+        spark.sparkContext.setJobGroup(f"coupling-{bits}", "")
+        ratings = rating.piece_ratings(pieces, bits=bits)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"coupling-{bits}")
+        assert abs(rating.rating_state(ratings).first().rating - want) < 1e-6
+        jobs[bits] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"coupling-{bits}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[2] <= jobs[10] + 2
+    blocks = rating._from_state(pieces.select("agent", F.shiftright("piece", 2).alias("block"), F.struct(
+        "piece", "n", F.transform("items", lambda x: x.won).alias("wins")).alias("part")).groupBy("agent", "block").agg(
+        F.array_sort(F.collect_list("part")).alias("parts")), None)
+    assert rating._runs(blocks).agg(F.max(F.size("parts"))).first()[0] <= 8
+
+
+@pytest.mark.parametrize("result", [0.0, 1.0])
+def test_steps_keep_the_order_of_ratings(spark, result):
+    """What coupling rests on, over all ratings from the floor to the ceiling, thresholds included."""
+    ratings = spark.range(0, 761_000).select((F.lit(cat.RATING["floor"]) + F.col("id") / 100).alias("r"))
+    after = ratings.select("r", rating.next_rating(F.col("r"), F.lit(result == 1.0)).alias("s"))
+    steps = after.select((F.col("s") - F.lag("s").over(Window.orderBy("r"))).alias("rise"))
+    assert steps.where("rise < 0").isEmpty()
+    top = spark.range(1).select(rating.next_rating(F.lit(rating.CEILING), F.lit(True)).alias("s")).first().s
+    assert top == rating.CEILING
+
+
 def test_ratings_continue_from_state(spark, rounds):
     data, df = rounds
     first = next_ratings(spark.createDataFrame([], RATING_SCHEMA), df.filter("n < 7"), ORDER)
