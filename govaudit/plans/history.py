@@ -12,8 +12,8 @@ from govaudit.plans.registry import SQL, query
 from govaudit.plans.reviews import VERDICT, graded_reviews, joined, rounded
 from govaudit.plans.sql import band, q
 from govaudit.operators import grade, scan
-from govaudit.session import new_path
-from govaudit.sources import bridge, state
+from govaudit.session import new_path, written
+from govaudit.sources import bridge, keyed_runs, state
 from govaudit.sources.bridge import MISS_ORDER, ROUND_ORDER
 
 # Means of at most 20 scores have up to 11 decimals that end; rounding there
@@ -260,6 +260,21 @@ def saved_episode_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(found.columns)
 
 
+@query(SQL["episode_memory"])
+def remembered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews remembered in three runs, the last of them made twice, and put into one base in between: every
+    review is there once, as its newest run has it."""
+    found = written(episode_memory(spark, sf_dir), "reviews")
+    path = new_path(spark, "memory-runs")
+    late = F.pmod(F.xxhash64("episode_id"), F.lit(2)) == 0
+    keyed_runs.append_run(found.withColumn("judge_feedback", F.lit("to be judged")), path, 1)
+    keyed_runs.append_run(found.filter(~late), path, 2)
+    keyed_runs.compact(spark, path, found.schema, ["episode_id"])
+    for _ in range(2):
+        keyed_runs.append_run(found.filter(late), path, 3)
+    return keyed_runs.read_newest(spark, path, found.schema, ["episode_id"])
+
+
 @query(sql.query("SELECT packet_id, sector, unnest(detected) AS code FROM scan", "scan"))
 def saved_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit results written as JSON lines by sector, read back."""

@@ -13,7 +13,8 @@ from govaudit.operators.rules import phrase_rule, with_rule
 from govaudit.plans import sql
 from govaudit.plans.registry import query
 from govaudit.plans.sql import CODES, q, qlist
-from govaudit.sources import bridge, packets as packet_source
+from govaudit.session import new_path
+from govaudit.sources import bridge, lookup, packets as packet_source
 
 SEVERITY_SQL = sql.severity("code")
 
@@ -97,6 +98,24 @@ def packet_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("packet_id", "request_id"))
 
 
+LOOKED_UP = 100
+
+
+@query(sql.query(f"""
+  SELECT packet_id, feature_name, expected_decision, retention_policy_yaml AS retention FROM packets WHERE packet_id IN (
+    SELECT o_custkey FROM (SELECT o_custkey, max(o_totalprice) AS most FROM orders GROUP BY 1) ORDER BY most DESC, o_custkey LIMIT {LOOKED_UP})""",
+    "packets"))
+def packets_of_largest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point reads of the packets of the customers with the largest orders, one artifact each."""
+    every = bridge.packets(spark, sf_dir)
+    path = new_path(spark, "packets-by-id")
+    lookup.write_for_lookup(every, path)
+    most = bridge.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("most"))
+    ids = [r.o_custkey for r in most.orderBy(F.desc("most"), "o_custkey").limit(LOOKED_UP).collect()]
+    found = lookup.look_up(spark, path, every.schema, ids)
+    return found.select("packet_id", "feature_name", "expected_decision", F.col("artifacts").getField("retention_policy.yaml").alias("retention"))
+
+
 _TEMPLATE_TEXTS = ", ".join(
     f"{sql.patched_text(a, sql.template_text(a, 'domain', 'title'), 'truth')} AS {sql.col_of(a)}" for a in cat.ARTIFACTS)
 # Template packets: one per part, with the codes of its key planted by patches.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govaudit import catalog as cat
-from govaudit.operators import scan, synth, weakness
+from govaudit.operators import reservoir, scan, synth, weakness
 from govaudit.plans import sql
 from govaudit.plans.history import WEAKNESS, weakness_table
 from govaudit.plans.packets import TEMPLATE_BLOCKS
@@ -93,6 +93,27 @@ def targeted_codes_and_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targeted(spark, sf_dir).select("agent", *joined("chosen"), "domain")
 
 
+SAMPLED = 40
+_DRAWN = "(('0x' || substr(md5('launch|' || packet_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+
+
+@query(sql.query(f"""
+  SELECT sector, packet_id, weight, CAST(place AS INTEGER) AS place FROM (
+    SELECT sector, packet_id, weight, row_number() OVER (PARTITION BY sector ORDER BY -ln({_DRAWN}) / weight, packet_id) AS place FROM (
+      SELECT p.packet_id, p.sector, CAST(1500 + coalesce(sum(r.rate), 0) AS BIGINT) AS weight
+      FROM (SELECT packet_id, sector, unnest(CASE WHEN len(truth) = 0 THEN [NULL] ELSE truth END) AS code FROM packets) p
+      LEFT JOIN (SELECT code, sum(missed) * 10000 // count(*) AS rate FROM misses GROUP BY 1) r ON r.code = p.code
+      GROUP BY 1, 2)) WHERE place <= {SAMPLED}""", "packets", extra={"misses": WEAKNESS["misses"]}))
+def packets_drawn_by_miss_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per sector a sample for training reviewers: packets whose planted codes are often missed come rather than others."""
+    rates = (bridge.miss_outcomes(spark, sf_dir).groupBy("code").agg((F.floor(F.sum("missed") * 10000 / F.count(F.lit(1)))).cast("bigint").alias("rate"))
+             .agg(F.map_from_entries(F.collect_list(F.struct("code", "rate")))).scalar())  # eight entries
+    weighted = (bridge.packets(spark, sf_dir).select("packet_id", "sector", "truth").withColumn("rates", rates)
+                .withColumn("weight", F.expr("aggregate(truth, 1500L, (sum, code) -> sum + coalesce(rates[code], 0L))")))
+    return (reservoir.weighted_reservoir(weighted, ["sector"], F.col("weight"), SAMPLED, "packet_id", SEED)
+            .select("sector", "packet_id", "weight", "place"))
+
+
 @query(sql.query("SELECT packet_id, " + ", ".join(
     f"{sql.risk_of('truth', n)} AS {f}_risk, {sql.decision_of('truth')} AS {f}_decision"
     for f, n in (("generator", 2), ("mutator", 3), ("adversarial", 1))) + " FROM packets WHERE len(truth) > 0", "packets"))
