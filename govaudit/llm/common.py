@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from govaudit.session import new_path, ship_package
@@ -107,6 +108,21 @@ def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Bytes up to which the polynomial tells stretches apart; of longer ones, texts of a simple pattern (two
+#: complementary Thue-Morse texts of 1,024 letters, say) agree modulo 2**64 whatever the base.
+SHORT_STRETCH = 64
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to each end, by polynomial if short, else by XXH3."""
+    hashes = stretch_hashes(prefix_sums(data), starts, ends)
+    long = np.flatnonzero(ends - starts > SHORT_STRETCH)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        hashes[long] = [xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(starts[long].tolist(), ends[long].tolist())]
+    return hashes
+
+
 def spread(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Positions starts[i] … starts[i] + counts[i] - 1 for all i, one after the other."""
     total = int(counts.sum())

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govaudit.llm.common import LOWER, prefix_sums, slices, stored, stretch_hashes, text_bytes
+from govaudit.llm.common import LOWER, byte_hashes, slices, stored, text_bytes
 from govaudit.session import ship_package
 
 #: The bound of the labelled sample that the classifier is fitted on.
@@ -66,7 +66,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[begins] |= inside[begins]
     last[ends] |= inside[ends]
     starts = np.flatnonzero(first)
-    return stretch_hashes(prefix_sums(part), starts, np.flatnonzero(last) + 1), np.searchsorted(offsets, starts, "right") - 1
+    return byte_hashes(part, starts, np.flatnonzero(last) + 1), np.searchsorted(offsets, starts, "right") - 1
 
 
 def _words_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

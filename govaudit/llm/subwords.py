@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-from govaudit.llm.common import SPACE, prefix_sums, slices, stretch_hashes, spread
+from govaudit.llm.common import SPACE, byte_hashes, slices, spread
 
 #: White space, then letters below U+0250, then one mark: these are tokens of their own before merging.
 _PLAIN = re.compile("(\n?)( ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])+)([.,;:!?|]?)")
@@ -133,7 +133,7 @@ class SubwordTable:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         ends = np.append(starts[1:], len(data))
-        distinct, seen_at, which = np.unique(stretch_hashes(prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
+        distinct, seen_at, which = np.unique(byte_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.hashes) > REMEMBERED:
             self.clear()
         at = np.searchsorted(self.hashes, distinct)

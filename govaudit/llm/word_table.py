@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govaudit.llm.common import LOWER, SPACE, U64, prefix_sums, slices, stored_in_buckets, stretch_hashes, text_bytes
+from govaudit.llm.common import LOWER, SPACE, U64, byte_hashes, slices, stored_in_buckets, text_bytes
 from govaudit.session import ship_package
 
 CHUNK, HASHED = 1 << 23, 1 << 21  # bytes of text in a chunk, and those hashed at a time
@@ -62,7 +62,7 @@ def _hashes(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.
     out = np.zeros(len(starts), dtype=np.uint64)
     for a, b in slices(offsets, HASHED):
         low, high = np.searchsorted(starts, (offsets[a], offsets[b]))
-        out[low:high] = stretch_hashes(prefix_sums(data[offsets[a]: offsets[b]]), starts[low:high] - offsets[a], ends[low:high] - offsets[a])
+        out[low:high] = byte_hashes(data[offsets[a]: offsets[b]], starts[low:high] - offsets[a], ends[low:high] - offsets[a])
     return out
 
 
