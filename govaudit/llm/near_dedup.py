@@ -5,7 +5,8 @@ words (64-bit hashes). A shingle's hash picks one of ``REGISTERS`` buckets; a
 bucket keeps the smallest of its shingles' second hashes, compressed to its
 number of leading zeros and the ``MANTISSA`` bits that follow, 16 bits in all.
 
-1. Documents with equal sets form a class; its smallest doc_id stands for it.
+1. Documents with equal sets form a class, which has a number of its own; the
+   text of one of its rows (known by doc_id and a hash of the text) stands for it.
 2. The registers are cut into ``BANDS`` bands of ``BAND``. Representatives that
    agree in a band share a bin. Empty registers take part, all-empty bands
    don't. A pair of likeness 0.75 shares none of the 64 bins with a chance of
@@ -21,6 +22,8 @@ number of leading zeros and the ``MANTISSA`` bits that follow, 16 bits in all.
    one that a pair shares stands so early in both that what follows suffices for
    the threshold. Common passages come last in that order, and so do words that
    a group of copies has in common, so neither brings its documents together.
+   Of a shingle's documents only those outside its most frequent component are
+   joined with all of them, so a large component isn't paired with itself.
    Nothing is dropped, and no group is expanded into all its pairs.
 
 Comparing means: the likeness estimated from the registers, corrected for
@@ -30,8 +33,9 @@ from the texts: 100 * intersection >= 75 * union.
 
 Null and empty texts and texts without words have an empty set and link with
 nothing. Texts of fewer than five words have one shingle, the whole sequence.
-Rows with equal texts link whatever their ids; a row without id never stands
-for others, and its kept is true only if no row with an id is in its component.
+Rows with equal texts link whatever their ids; of a row without id, kept is true
+only if no row with an id is in its component. Rows of one id with different
+texts are documents of their own, each with the component that its text is in.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from govaudit.llm.common import LOWER, SPACE, U64, mixed, prefix_sums, slices, stored, stretch_hashes, text_bytes
+from govaudit.llm.common import LOWER, SPACE, U64, byte_hashes, mixed, slices, stored, text_bytes
 from govaudit.llm.components import components
 from govaudit.session import ship_package
 
@@ -79,7 +83,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         last[:-1] &= gap[1:]
         last[bounds[1:][bounds[:-1] < bounds[1:]] - 1] |= ~gap[bounds[1:][bounds[:-1] < bounds[1:]] - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        words = stretch_hashes(prefix_sums(part), starts, ends)
+        words = byte_hashes(part, starts, ends)
         at = np.searchsorted(starts, bounds)
         n = max(0, len(words) - SHINGLE + 1)
         shingles = np.zeros(n, dtype=np.uint64)
@@ -136,14 +140,14 @@ def estimated_likeness(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarra
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
+        data, offsets = text_bytes(batch.column(2))
         for a, b in slices(offsets, 1 << 23):
             sets = shingle_sets(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                  pa.array([r.tobytes() for r in registers(sets)], pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "registers"])
+                names=["doc_id", "mark", "n_shingles", "digest", "registers"])
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -216,10 +220,23 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return sized.mapInArrow(_maybe, "u long, v long")
 
 
-def prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text: with doc_id it names a row) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+
+
+def _with_text(rows: DataFrame, rep: str, classes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the text of the class that the column ``rep`` names."""
+    placed = rows.join(classes.select(F.col("rep").alias(rep), "own_id", "own_mark"), rep)
+    named = texts.select("doc_id", "mark", F.col("text").alias(name))
+    return placed.join(named, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_mark") == F.col("mark"))).drop("own_id", "own_mark", "doc_id", "mark")
+
+
+def prefix_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (u, v), u > v, of ``members`` (rep, label) with different labels that can reach the
-    threshold; exact."""
-    rows = (members.join(texts.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "rep")
+    threshold; exact. ``classes`` (rep, own_id, own_mark) name rows of ``texts`` (doc_id, mark, text)."""
+    ship_package(members.sparkSession)
+    rows = (_with_text(members.select("rep", "label"), "rep", classes, texts, "text").dropDuplicates(["rep"])
             .select("rep", "label", "text").mapInArrow(_shingle_rows, "rep long, label long, n long, shingle long"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
     # a document's own shingles, so no more rows than its words
@@ -227,39 +244,45 @@ def prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     prefix = (rows.join(often, "shingle").withColumn("place", F.row_number().over(order))
               .where(f"place <= n - ceil(n * {PERCENT} / 100) + 1 AND often > 1"))
     prefix = stored(prefix.select("shingle", "rep", "label", "n", "place"), "prefixes")
-    mixed_keys = prefix.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("shingle")
-    prefix = prefix.join(mixed_keys, "shingle")
-    other = prefix.select("shingle", F.col("rep").alias("v"), F.col("label").alias("its"), F.col("n").alias("m"), F.col("place").alias("at"))
+    by_label = prefix.groupBy("shingle", "label").agg(F.count("*").alias("size"))
+    main = (by_label.groupBy("shingle").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels"))
+            .where("labels > 1").select("shingle", "main"))
+    prefix = prefix.join(main, "shingle")
+    # one of two documents with different labels isn't of the shingle's main label
+    minor = prefix.where("label <> main").select("shingle", F.col("rep").alias("other"), F.col("label").alias("its"), F.col("n").alias("m"), F.col("place").alias("at"))
     enough = f"{100 + PERCENT} * (1 + least(n - place, m - at)) >= {PERCENT} * (n + m)"
-    return (prefix.join(other, "shingle").where(f"rep > v AND label <> its AND {_fits('n', 'm')} AND {enough}")
-            .select(F.col("rep").alias("u"), "v").distinct())
+    return (prefix.join(minor, "shingle").where(f"label <> its AND {_fits('n', 'm')} AND {enough}")
+            .select(F.greatest("rep", "other").alias("u"), F.least("rep", "other").alias("v")).distinct())
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (u, v) that are alike on their full sets."""
-    first = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
-    both = first.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    both = _with_text(_with_text(pairs, "u", classes, texts, "a"), "v", classes, texts, "b")
     return both.select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id)
-    for each row of ``docs`` (doc_id, text). Starts jobs."""
+def near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, n_shingles, component (its number; null for an empty set), component_id and kept for each
+    row of ``docs`` (doc_id, text), see ``near_duplicates``. Starts jobs."""
     ship_package(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = stored(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, registers binary"), "sketches")
-    classes = sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = (sketches.join(classes, (sketches.digest == classes.digest) & (sketches.doc_id == classes.rep), "left_semi")
-            .select(F.col("doc_id").alias("rep"), "n_shingles", "registers").dropDuplicates(["rep"]))
+    texts = marked(docs)
+    sketches = stored(texts.mapInArrow(_sketch, "doc_id long, mark long, n_shingles long, digest binary, registers binary"), "sketches")
+    one = sketches.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("smallest"), F.min(F.struct("doc_id", "mark")).alias("own"), F.min("n_shingles").alias("n_shingles"))
+    classes = stored(one.select(F.monotonically_increasing_id().alias("rep"), "digest", "smallest", F.col("own.doc_id").alias("own_id"),
+                                F.col("own.mark").alias("own_mark"), "n_shingles"), "classes")
+    its = classes.select("rep", F.col("digest").alias("its"), "own_id", "own_mark")
+    own = (sketches.digest == its.its) & sketches.doc_id.eqNullSafe(its.own_id) & (sketches.mark == its.own_mark)
+    reps = sketches.join(its, own).select("rep", "n_shingles", "registers").dropDuplicates(["rep"])
     bins = reps.select("rep", "registers", "n_shingles").mapInArrow(_bins, "bin long, rep long, n long")
     counts = bins.groupBy("bin").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).where("size > 1")
     shared = stored(bins.join(counts, "bin"), "bins")
-    sizes = sketches.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("m")).dropDuplicates(["v"])
+    sizes = classes.select(F.col("rep").alias("v"), F.col("n_shingles").alias("m"))
 
     # those that meet their centre often; step 4 compares what is left out here
     stars = (shared.where("rep > centre").groupBy(F.col("rep").alias("u"), "n", F.col("centre").alias("v")).agg(F.count("*").alias("bins"))
              .where(f"bins >= greatest(1, least({OFTEN}, n div 2))").join(sizes, "v").where(_fits("n", "m")).select("u", "v"))
-    links = stored(_confirmed(stored(_likely(stars, reps), "pairs"), texts), "links")
+    links = stored(_confirmed(stored(_likely(stars, reps), "pairs"), classes, texts), "links")
     first = stored(components(links), "labels")
 
     labelled = shared.join(first, shared.rep == first.node, "left").select(
@@ -272,11 +295,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
              .select(F.col("rep").alias("u"), "v"))
     crowd = (left.where(f"size > {CROWD}").groupBy("rep", "label", "n").agg(F.count("*").alias("bins"))
              .where(f"bins > 1 OR n < {FEW}").select("rep", "label"))
-    pairs = stored(pairs.union(prefix_pairs(crowd, texts)).distinct(), "pairs")
-    more = stored(_confirmed(stored(_likely(pairs, reps), "pairs"), texts), "links")
+    pairs = stored(pairs.union(prefix_pairs(crowd, classes, texts)).distinct(), "pairs")
+    more = stored(_confirmed(stored(_likely(pairs, reps), "pairs"), classes, texts), "links")
     labels = stored(components(links.union(more)), "labels")
 
-    member = sketches.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    found = member.join(labels, member.rep == labels.node, "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id")).withColumn(
+    numbered = classes.join(labels, classes.rep == labels.node, "left").select("digest", "smallest", F.coalesce("label", "rep").alias("component"))
+    smallest = numbered.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    member = sketches.select("doc_id", "mark", "n_shingles", "digest").join(numbered.join(smallest, "component").drop("smallest"), "digest", "left")
+    return member.select("doc_id", "mark", "n_shingles", "component", F.expr("if(component IS NULL, doc_id, component_id)").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id)
+    for each row of ``docs`` (doc_id, text). Starts jobs."""
+    return near_duplicate_rows(docs).select("doc_id", "n_shingles", "component_id", "kept")

@@ -15,6 +15,12 @@ from tests.llm import brute
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
+def complementary():
+    """Two Thue-Morse texts of 4,096 letters that swap a and b: a polynomial modulo 2**64 takes them for equal."""
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def awkward_rows():
     rng = random.Random(4)
     words = ["the", "of", "Éclair", "don't", "x1y2", "ﬁn", "<|endoftext|>", "日本語", "ß", "end."]
@@ -22,7 +28,8 @@ def awkward_rows():
     base = say(150)
     rows = [(0, None), (1, ""), (2, " \n\t "), (3, "one two"), (4, "One  TWO"), (5, "a" * 3000), (6, base), (7, base), (7, base),
             (8, base.replace("the", "The", 1)), (9, base[: len(base) // 2]), (10, say(30_000)), (11, "\0\x1c\x85  x  y"), (12, say(60) + base),
-            (13, base + " " + say(12)), (-5, say(20)), (2**40, base), (14, "a b c d e"), (15, "a b c d"), (16, "|" * 250)]
+            (13, base + " " + say(12)), (-5, say(20)), (2**40, base), (14, "a b c d e"), (15, "a b c d"), (16, "|" * 250),
+            *zip((17, 18), complementary(), strict=True), *((19 + k, f"one {x} two") for k, x in enumerate(complementary()))]
     rows += [(100 + k, " ".join(base.split()[: 140 - 3 * k] + say(3 * k).split())) for k in range(12)]
     return rows
 
@@ -59,6 +66,43 @@ def test_near_duplicates(docs, texts, nothing, nameless):
     assert sorted((r.doc_id or 0, r.kept) for r in near_dedup.near_duplicates(nameless).collect()) == [(0, False), (0, False), (0, True), (3, True)]
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark, sf_dir):
+    """Rows of one id with different texts, and rows without id, against all pairs."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    a, b, c = say(100), say(100), say(100)
+    rows = [(5, a), (5, b), (1, b + " x"), (9, a + " x"), (None, a + " y"), (None, c), (3, c + " z"), (None, say(30)), (7, c + " u"), (7, c + " v"),
+            (8, say(50)), (8, say(50)), (8, None), (None, ""), (5, a), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    label, _ = brute.components(dict(enumerate(t for _, t in rows)))
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        ids[label[k]] = min((x for x in (i, ids.get(label[k])) if x is not None), default=None)
+    want = sorted(((i, ids[label[k]]) for k, (i, _) in enumerate(rows)), key=str)
+    got = near_dedup.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == want
+    assert all(r.kept == (r.doc_id == r.component_id if r.component_id is not None else True) for r in got)
+    left = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    # one row of each component that has words; of the empty ones one per id and text
+    kept = sorted((label[next(k for k, row in enumerate(rows) if row == (r.doc_id, r.text))] for r in left if r.text))
+    assert kept == sorted({label[k] for k, (_, t) in enumerate(rows) if t})
+    assert sorted(((r.doc_id, r.text) for r in left if not r.text), key=str) == [(8, None), (None, "")]
+
+
+def test_prefix_pairs_of_a_cluster_and_an_outsider(spark):
+    """Only the outsider's pairs are left, whatever the cluster's size."""
+    def joined(n):
+        rows = spark.range(n).selectExpr("id AS doc_id", "concat('c1 c2 c3 c4 c5 c6 c7 c8 c9 c10 c11 c12 u', id) AS text")
+        texts = near_dedup.marked(rows)
+        classes = texts.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"))
+        members = rows.select(F.col("doc_id").alias("rep"), F.when(F.col("doc_id") == 0, 0).otherwise(1).cast("long").alias("label"))
+        return near_dedup.prefix_pairs(members, classes, texts).count()
+
+    assert [joined(n) for n in (50, 4000)] == [49, 3999]
+
+
 def test_prefix_pairs_find_every_pair(spark):
     """The exact way for crowded bins, on many copies with a common passage."""
     rng = random.Random(1)
@@ -71,7 +115,9 @@ def test_prefix_pairs_find_every_pair(spark):
         rows.append((k, " ".join(words)))
     texts = spark.createDataFrame(rows, "doc_id long, text string")
     members = texts.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("label"))
-    found = {(r.u, r.v) for r in near_dedup.prefix_pairs(members, texts).collect()}
+    texts = near_dedup.marked(texts)
+    classes = texts.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"))
+    found = {(r.u, r.v) for r in near_dedup.prefix_pairs(members, classes, texts).collect()}
     sets = {i: brute.shingles(t) for i, t in rows}
     want = {(i, j) for i in sets for j in sets if i > j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     assert want and want <= found
