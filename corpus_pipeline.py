@@ -26,13 +26,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, the one with the smallest id. Documents without id are known by
-    their text and come after those with one; of rows with the same id and text one stays."""
+    their text and come after those with one; of rows with the same id and text one stays, and of near
+    duplicates with the same id too."""
     key = "key"
-    while key in docs.columns:
+    while key in docs.columns or f"{key}_mark" in docs.columns:
         key += "_"
-    keyed = docs.withColumn(key, F.expr("coalesce(CAST(doc_id AS BIGINT), 4611686018427387904 + (xxhash64(coalesce(text, '')) & 4611686018427387903))"))
-    kept = near_dedup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key, "text"]).select(docs.columns)
+    mark = f"{key}_mark"
+    keyed = (docs.withColumn(key, F.expr("coalesce(CAST(doc_id AS BIGINT), 4611686018427387904 + (xxhash64(coalesce(text, '')) & 4611686018427387903))"))
+             .withColumn(mark, F.xxhash64("text")))
+    found = near_dedup.near_duplicate_rows(keyed.select(F.col(key).alias("doc_id"), "text")).where("kept")
+    kept = (found.groupBy("doc_id", "component", F.expr("if(component IS NULL, mark, NULL)").alias("alone"))
+            .agg(F.min("mark").alias(mark)).select(F.col("doc_id").alias(key), mark))
+    return keyed.join(kept, [key, mark], "left_semi").dropDuplicates([key, "text"]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
