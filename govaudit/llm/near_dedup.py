@@ -269,7 +269,8 @@ def near_duplicate_rows(docs: DataFrame) -> DataFrame:
     sketches = stored(texts.mapInArrow(_sketch, "doc_id long, mark long, n_shingles long, digest binary, registers binary"), "sketches")
     one = sketches.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("smallest"), F.min(F.struct("doc_id", "mark")).alias("own"), F.min("n_shingles").alias("n_shingles"))
-    classes = stored(one.select(F.monotonically_increasing_id().alias("rep"), "digest", "smallest", F.col("own.doc_id").alias("own_id"),
+    # numbers rise with the smallest doc_id: the first of a group of copies is the likeliest to be near them all
+    classes = stored(one.orderBy(F.col("smallest").asc_nulls_last(), "own").select(F.monotonically_increasing_id().alias("rep"), "digest", "smallest", F.col("own.doc_id").alias("own_id"),
                                 F.col("own.mark").alias("own_mark"), "n_shingles"), "classes")
     its = classes.select("rep", F.col("digest").alias("its"), "own_id", "own_mark")
     own = (sketches.digest == its.its) & sketches.doc_id.eqNullSafe(its.own_id) & (sketches.mark == its.own_mark)
