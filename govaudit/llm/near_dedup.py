@@ -225,18 +225,23 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
 
-def _with_text(rows: DataFrame, rep: str, classes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """``rows`` with the text of the class that the column ``rep`` names."""
-    placed = rows.join(classes.select(F.col("rep").alias(rep), "own_id", "own_mark"), rep)
+def _placed(rows: DataFrame, rep: str, classes: DataFrame) -> DataFrame:
+    """``rows`` with the names of the rows that stand for the classes in the column ``rep``."""
+    return rows.join(classes.select(F.col("rep").alias(rep), F.col("own_id").alias(f"{rep}_id"), F.col("own_mark").alias(f"{rep}_mark")), rep)
+
+
+def _with_text(placed: DataFrame, rep: str, texts: DataFrame, name: str) -> DataFrame:
+    """Placed rows with the text that their names stand for."""
     named = texts.select("doc_id", "mark", F.col("text").alias(name))
-    return placed.join(named, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_mark") == F.col("mark"))).drop("own_id", "own_mark", "doc_id", "mark")
+    same = F.col(f"{rep}_id").eqNullSafe(F.col("doc_id")) & (F.col(f"{rep}_mark") == F.col("mark"))
+    return placed.join(named, same).drop(f"{rep}_id", f"{rep}_mark", "doc_id", "mark")
 
 
 def prefix_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (u, v), u > v, of ``members`` (rep, label) with different labels that can reach the
     threshold; exact. ``classes`` (rep, own_id, own_mark) name rows of ``texts`` (doc_id, mark, text)."""
     ship_package(members.sparkSession)
-    rows = (_with_text(members.select("rep", "label"), "rep", classes, texts, "text").dropDuplicates(["rep"])
+    rows = (_with_text(_placed(members.select("rep", "label"), "rep", classes), "rep", texts, "text").dropDuplicates(["rep"])
             .select("rep", "label", "text").mapInArrow(_shingle_rows, "rep long, label long, n long, shingle long"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
     # a document's own shingles, so no more rows than its words
@@ -257,7 +262,8 @@ def prefix_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Da
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (u, v) that are alike on their full sets."""
-    both = _with_text(_with_text(pairs, "u", classes, texts, "a"), "v", classes, texts, "b")
+    # both rows are named before the first text comes in, so that texts are shuffled by nothing but those names
+    both = _with_text(_with_text(_placed(_placed(pairs, "u", classes), "v", classes), "u", texts, "a"), "v", texts, "b")
     return both.select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long")
 
 
