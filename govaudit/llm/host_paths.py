@@ -18,11 +18,24 @@ their own container. Whatever wins holds all text of the page's own best
 container, so neither that bound nor ``ENOUGH`` can take from it.
 
 Boilerplate, left out of the text too: scripts, styles, forms, menus, headers
-without heading, footers, sidebars, notices, adverts, comments and the like, by
-element, class, id or role. Character references are decoded, white space in a
-block becomes one space, blocks are joined by a line feed. A line break inside
-a block is white space. A null html is empty, and an empty page has no text;
-a null or odd url counts as host ''. Repeated rows give repeated results.
+without heading, footers, sidebars, notices, adverts, comments and the like. An
+element is boilerplate by its tag, its role, or if it is hidden. Names are weaker:
+
+* A class counts by its head, the last of its words but for words of place and
+  shape: "ad-slot" is about an ad, "social-policy" about a policy. A class that
+  says what its element is laid out with ("has-sidebar") names no boilerplate.
+* Heads that hardly name anything else ("newsletter") are enough, unless the
+  element holds the page's main part or an article. Others ("related", "menu")
+  are believed only of a block at least half of whose characters stand in links.
+* An id is believed like such a doubtful class, as ids are made from headings too;
+  only a few whole ids of reader comments and frames ("comments") are enough.
+* Headings are no boilerplate by name, nor are articles (but comments).
+
+A form that holds the main part or an article is no boilerplate either. Formulas
+stay. Character references are decoded, white space in a block becomes one space,
+blocks are joined by a line feed. A line break inside a block is white space. A
+null html is empty, and an empty page has no text; a null or odd url counts as
+host ''. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -43,41 +56,78 @@ ENOUGH = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|object|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span "
-                    "strike strong sub sup time tt u var wbr br img picture".split())
+                    "strike strong sub sup time tt u var wbr br img picture "
+                    "math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded "
+                    "mphantom mfenced menclose mtable mtr mtd mmultiscripts annotation annotation-xml".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CELLS = frozenset(("td", "th"))
-_DROPPED = frozenset("nav footer aside form button dialog menu head title".split())
-_NEVER = frozenset("html body article main".split())
-_MARKS = frozenset("ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored sponsors promo promotion promoted banner "
-                   "banners cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
-                   "signup sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs footer foot comment comments reply "
-                   "replies respond disqus discussion share sharing social related recommended recommendations widget widgets toolbar pagination "
-                   "pager masthead skip login".split())
+_DROPPED = frozenset("nav footer aside form button dialog menu head title annotation annotation-xml".split())
+#: Words that are enough as the head of a class, and those that links have to confirm.
+_SURE = frozenset("ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored sponsors promo promos promotion promoted "
+                  "banner banners cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
+                  "subscription signup sidebar sidebars navbar navigation breadcrumb breadcrumbs footer comment comments reply replies disqus "
+                  "toolbar pagination pager masthead".split())
+_DOUBTFUL = frozenset("rail menu menus nav foot respond discussion share sharing social related recommended recommendations widget widgets skip "
+                      "login".split())
+_SURE_IDS = frozenset("comments disqus_thread respond sidebar footer navbar navigation breadcrumbs newsletter".split())
+#: Words of place and shape, which say nothing of what a class is about, and words of layout.
+_SHAPES = frozenset("site page top bottom left right main global primary secondary box slot block area section container wrapper wrap inner outer "
+                    "content bar list item items link links unit zone panel module body row col column fixed sticky mobile desktop form icon icons "
+                    "button buttons posts articles stories".split())
+_LAYOUT = frozenset("with has no without layout grid template is".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note".split())
 #: A start tag of the key closes an open element of these.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
            "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody")}
 
 
+def _head(name: str) -> str:
+    """The word that a class or id is about: the last one but words of shape; '' if it tells of a layout."""
+    words = [x.lower() for x in _PIECES.findall(name) if not x.isdigit()]
+    if not _LAYOUT.isdisjoint(words):
+        return ""
+    return next((x for x in reversed(words) if x not in _SHAPES), "")
+
+
 class Page:
     """Elements (parent, path label, dropped) and blocks (element, text, characters in links)."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.label, self.dropped, self.headed = [-1], [""], [""], [False], [False]
         self.header: list[int] = []
+        self.named: list[int] = []  # boilerplate by name, or a form, unless it holds a main part or an article
+        self.doubtful: list[int] = []  # boilerplate if links confirm it
+        self.central = [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._read(source)
         for k in self.header:  # a header goes with all it holds, unless it has a heading
             self.dropped[k] = self.dropped[k] or not self.headed[k]
+        for k in self.named:
+            self.dropped[k] = not self.central[k]
+        if self.doubtful:
+            self._confirm()
         for k in range(1, len(self.parent)):
             self.dropped[k] = self.dropped[k] or self.dropped[self.parent[k]]
 
+    def _confirm(self) -> None:
+        """Drops the doubtful elements at least half of whose characters stand in links."""
+        size, linked = dict.fromkeys(self.doubtful, 0), dict.fromkeys(self.doubtful, 0)
+        for at, text, links in self.blocks:
+            while at >= 0:
+                if at in size:
+                    size[at] += len(text)
+                    linked[at] += links
+                at = self.parent[at]
+        for k in self.doubtful:
+            self.dropped[k] = self.dropped[k] or 2 * linked[k] >= size[k]
+
     def _read(self, source: str) -> None:
         stack, text, links, inside = [0], [], 0, 0
 
@@ -127,7 +177,8 @@ class Page:
                         break
                 continue
             names = {k.lower(): v.strip("\"'") for k, v in _NAMES.findall(m["rest"])} if m["rest"] else {}
-            drop = self._is_dropped(tag, names)
+            named = self._named(tag, names) if names else 0
+            drop = self._is_dropped(tag, names) or named == 2
             if tag in _CELLS:
                 text.append(" ")
             elif tag not in _INLINE or drop:
@@ -141,16 +192,24 @@ class Page:
                         break
                     if name not in _INLINE and name != "p":
                         break
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            if tag in _HEADINGS:
                 for x in stack:
                     self.headed[x] = True
-            if tag == "header" or "header" in self._marks(names):
+            if tag == "main" or tag == "article" and not drop:
+                for x in stack:
+                    self.central[x] = True
+            if tag == "header" or any(_head(x) == "header" for x in names.get("class", "").split()):
                 self.header.append(len(self.parent))
+            elif tag not in _INLINE and (tag == "form" or named == 2 and not self._is_dropped(tag, names)):
+                self.named.append(len(self.parent))
+            elif tag not in _INLINE and named == 1:
+                self.doubtful.append(len(self.parent))
             self.parent.append(stack[-1])
             self.tag.append(tag)
             self.label.append(tag + "".join("." + re.sub(r"\d+", "0", x.lower()) for x in sorted(names.get("class", "").split())))
             self.dropped.append(drop)
             self.headed.append(False)
+            self.central.append(False)
             stack.append(len(self.parent) - 1)
             inside += tag == "a"
             if m["rest"].endswith("/") and tag in _INLINE:
@@ -158,17 +217,26 @@ class Page:
         flush()
 
     @staticmethod
-    def _marks(names: dict[str, str]) -> set[str]:
-        return {x.lower() for k in ("class", "id") for x in _PIECES.findall(names.get(k, ""))}
+    def _named(tag: str, names: dict[str, str]) -> int:
+        """2: boilerplate by its class or id, 1: if links confirm it, 0: no."""
+        if tag in _HEADINGS or tag in ("html", "body", "main"):
+            return 0
+        heads = {_head(x) for x in names.get("class", "").split()}
+        name = names.get("id", "").strip().lower()
+        if tag == "article":
+            return 2 if heads & {"comment", "comments", "reply"} else 0
+        if heads & _SURE or name in _SURE_IDS:
+            return 2
+        return 1 if heads & _DOUBTFUL or _head(name) in _SURE | _DOUBTFUL else 0
 
-    def _is_dropped(self, tag: str, names: dict[str, str]) -> bool:
+    @staticmethod
+    def _is_dropped(tag: str, names: dict[str, str]) -> bool:
         if tag in _DROPPED:
             return True
         if not names or tag in ("html", "body"):
             return False
         hidden = "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
-        marked = not self._marks(names).isdisjoint(_MARKS) and not (tag == "main" or (tag == "article" and self._marks(names).isdisjoint({"comment", "comments"})))
-        return hidden or marked or names.get("role", "").lower() in _ROLES
+        return hidden or names.get("role", "").lower() in _ROLES
 
     def path(self, k: int) -> str:
         parts = []
