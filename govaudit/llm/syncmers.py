@@ -9,10 +9,15 @@ equal passages have equal anchors wherever they stand, at the same distances
 k-mers is closed, has one anchor, the hash of all its words; so has a null or
 empty text, with no words.
 
-A fingerprint is the ``SKETCH`` smallest distinct anchor hashes (32 bits each,
-8 hex digits). The likeness of two fingerprints is the share of their joint
-smallest hashes that both hold: it estimates the share of anchors that the
-texts have in common. Equal texts have equal fingerprints and likeness 1.
+A fingerprint is the ``SKETCH`` smallest distinct anchor hashes, each with its
+first place (16 hex digits: 32 bits of hash, 31 of place). Of two fingerprints the
+joint smallest hashes that both hold are matched by their places: a match counts
+if the distance between its two places is that of the middle match, give or take
+an eighth of the longer text (8 words at least). The likeness is the share of the
+joint smallest hashes whose match counts: it estimates the share of anchors that
+the texts have in common at like places, so a passage that moved as a whole, a text
+with something put before it, stays alike, and one whose passages change places does
+not. Equal texts have equal fingerprints and likeness 1.
 
 "Next document" goes by ascending doc_id (null first, repeated ids by text),
 the first one following the last. Ids are cut into ranges of ``RANGE``; a range
@@ -27,6 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K, S, SKETCH, RANGE = 5, 2, 64, 1 << 11
+#: An anchor is one number: its hash above ``PLACE`` bits, its place in them.
+PLACE = 31
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -57,9 +64,9 @@ def _anchors(entry: str, whole: str) -> str:
 _WHOLE = "shiftrightunsigned(xxhash64(h), 32)"
 
 
-def anchor_hashes(text: str) -> str:
-    """SQL: the hashes of all anchors of a text, in order."""
-    return _with_mers(text, _anchors(_HASH, _WHOLE))
+def anchor_numbers(text: str) -> str:
+    """SQL: all anchors of a text as numbers of hash and place, in order."""
+    return _with_mers(text, _anchors(f"shiftleft({_HASH}, {PLACE}) | CAST(i AS BIGINT)", f"shiftleft({_WHOLE}, {PLACE})"))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -69,19 +76,31 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def sketch(text: str) -> str:
-    """SQL: the smallest distinct anchor hashes, ascending."""
-    return f"slice(sort_array(array_distinct({anchor_hashes(text)})), 1, {SKETCH})"
+    """SQL: the anchors of smallest hash, ascending, each hash with its first place."""
+    first = f"filter(e, (y, j) -> j = 0 OR shiftright(y, {PLACE}) <> shiftright(get(e, j - 1), {PLACE}))"
+    return f"slice({_let(f'sort_array({anchor_numbers(text)})', 'e', first)}, 1, {SKETCH})"
 
 
 def fingerprint(sketch_column: str) -> str:
     """SQL: a sketch as text."""
-    return f"concat_ws('', transform({sketch_column}, x -> lpad(lower(hex(x)), 8, '0')))"
+    return f"concat_ws('', transform({sketch_column}, x -> lpad(lower(hex(x)), 16, '0')))"
 
 
 def likeness(a: str, b: str) -> str:
-    """SQL: the share of the joint smallest hashes that both sketches hold."""
-    joint = f"slice(sort_array(array_union({a}, {b})), 1, {SKETCH})"
-    return _let(joint, "u", f"CAST(size(array_intersect(u, array_intersect({a}, {b}))) AS DOUBLE) / size(u)")
+    """SQL: the share of the joint smallest hashes that both sketches hold at like places."""
+    def place(of: str, hashes: str) -> str:
+        return f"(element_at({of}, CAST(array_position({hashes}, x) AS INT)) & {2**PLACE - 1})"
+
+    def last(of: str) -> str:
+        return f"array_max(transform({of}, x -> x & {2**PLACE - 1}))"
+
+    # twice the distance of the middle match, and how far others may be from it
+    middle = "(get(o, (size(o) - 1) div 2) + get(o, size(o) div 2))"
+    counted = f"size(filter(o, y -> abs(2 * y - {middle}) <= 2 * greatest(8, greatest({last(a)}, {last(b)}) div 8)))"
+    offsets = f"sort_array(transform(c, x -> {place(a, 'p')} - {place(b, 'q')}))"
+    share = f"CASE WHEN size(c) = 0 THEN 0D ELSE CAST({_let(offsets, 'o', counted)} AS DOUBLE) / size(u) END"
+    matched = _let(f"slice(sort_array(array_union(p, q)), 1, {SKETCH})", "u", _let("array_intersect(u, array_intersect(p, q))", "c", share))
+    return _let(f"transform({a}, x -> shiftright(x, {PLACE}))", "p", _let(f"transform({b}, x -> shiftright(x, {PLACE}))", "q", matched))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -84,13 +85,47 @@ def sketch(text):
     h = [_hash(w.encode()) for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     whole = [(_hash(*h) & (2**64 - 1)) >> 32]
     m = [_hash(a, b) for a, b in zip(h, h[1:])]
-    closed = {(_hash(m[i], m[i + 2], m[i + 3]) & (2**64 - 1)) >> 32 for i in range(len(h) - 4) if min(m[i], m[i + 3]) <= min(m[i + 1], m[i + 2])}
-    return sorted(closed)[:64] or whole
+    places = {}
+    for i in range(len(h) - 4):
+        if min(m[i], m[i + 3]) <= min(m[i + 1], m[i + 2]):
+            places.setdefault((_hash(m[i], m[i + 2], m[i + 3]) & (2**64 - 1)) >> 32, i)
+    return sorted(places.items())[:64] or [(whole[0], 0)]
 
 
 def likeness(a, b):
-    joint = sorted(set(a) | set(b))[:64]
-    return len(set(joint) & set(a) & set(b)) / len(joint)
+    joint, a, b = sorted({x for x, _ in (*a, *b)})[:64], dict(a), dict(b)
+    apart = sorted(a[x] - b[x] for x in joint if x in a and x in b)
+    if not apart:
+        return 0
+    middle = (apart[(len(apart) - 1) // 2] + apart[len(apart) // 2]) / 2
+    return sum(abs(x - middle) <= max(8, max(*a.values(), *b.values()) // 8) for x in apart) / len(joint)
+
+
+class _Article(HTMLParser):
+    """The blocks of the article elements of a simple page."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.blocks += [""] if tag in ("p", "h1") else []
+        self.blocks[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.blocks += [""] if tag in ("p", "h1") else []
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.inside else ""
+
+
+def article(page):
+    reader = _Article()
+    reader.feed(page)
+    reader.close()
+    return "\n".join(x for x in (" ".join(b.split()) for b in reader.blocks) if x)
 
 
 def base_scores(docs):
