@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from govaudit import catalog as cat
 from govaudit.functions import actions as act
 from govaudit.functions.text import asserted_occurrences, occurrences
-from govaudit.operators import audit, grade, phrase_index, scan
-from govaudit.operators.rules import phrase_rule, with_rule
+from govaudit.operators import audit, grade, phrase_index, rescan, scan
+from govaudit.operators.rules import REGISTRY, phrase_rule, with_rule
 from govaudit.plans import sql
 from govaudit.plans.registry import query
 from govaudit.plans.sql import CODES, q, qlist
-from govaudit.session import new_path
+from govaudit.session import new_path, written
 from govaudit.sources import bridge, lookup, packets as packet_source
 
 SEVERITY_SQL = sql.severity("code")
@@ -40,6 +40,19 @@ def rule_results(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("packet_id", "ord", "code", "passed", "message"))
 
 
+@query(sql.query(f"""
+  SELECT *, code = 'AUDIT-007' OR (code = 'EVAL-008' AND packet_id % 100 = 7) AS evaluated FROM ({sql.checks("scan")})""", "scan"))
+def rescanned_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All packets scanned again after one in a hundred got another evaluation report and the registry one more rule."""
+    packets = bridge.packets(spark, sf_dir)
+    earlier = packets.withColumn("artifacts", F.when(F.col("packet_id") % 100 == 7, F.col("artifacts").withField(
+        "`eval_report.json`", F.lit("to come"))).otherwise(F.col("artifacts")))
+    fewer = {code: rule for code, rule in REGISTRY.items() if code != "AUDIT-007"}
+    empty = spark.createDataFrame([], "packet_id BIGINT, digest BINARY, message STRING")
+    before = written(rescan.rescan(earlier, empty, fewer), "verdicts-before")
+    return rescan.rescan(packets, before).drop("digest")
+
+
 @query(sql.query("SELECT packet_id, array_to_string(detected, ',') AS detected, CAST(len(detected) AS BIGINT) AS n_detected,"
                  " detected = truth AS as_declared FROM scan", "scan"))
 def violation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
