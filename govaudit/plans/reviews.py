@@ -359,7 +359,8 @@ _OUTCOME = (f"SELECT packet_id, decision, CAST(n_valid AS BIGINT) AS n_steps, {r
 
 def _planned(scanned: DataFrame, review_plan, source_columns: list[str]) -> DataFrame:
     with_names = scanned.withColumn("artifact_names", F.array(*[F.lit(a) for a in cat.ARTIFACTS]))
-    log = plan.planned_actions(with_names, review_plan)
+    # Logs are short and as many as packets: dealt by their number, a task replays the same share of them however many there are.
+    log = plan.planned_actions(with_names, review_plan).repartition(bridge.tasks_for(scanned), "episode_id")
     assigned = with_names.select(F.col("packet_id").cast("string").alias("episode_id"), "packet_id", *source_columns,
                                  "artifact_names")
     state = replay.review_state(replay.replay(log, assigned), assigned)
