@@ -11,6 +11,7 @@ from govaudit.operators import replay, scan
 from govaudit.plans import sql
 from govaudit.plans.history import ROUNDS, WEAKNESS, _HISTORY
 from govaudit.plans.registry import SQL, query
+from govaudit.session import written
 from govaudit.sources import bridge
 from govaudit.streaming import activity, incremental, scorer, summary_tree
 from govaudit.streaming.files import run_available, stream_table
@@ -95,13 +96,15 @@ DECISION_OF = {"A": cat.DECISIONS[0], "R": cat.DECISIONS[1], "N": cat.DECISIONS[
 
 def decided_violations(orders: DataFrame, lineitem: DataFrame, packets: DataFrame) -> DataFrame:
     """Violations of submitted packets per 30 days of decision time. An order submits its customer's
-    packet, a line decides about its order; ``packets`` is a table."""
+    packet, a line decides about its order; ``packets`` is a table, scanned and written once before the
+    stream begins, and joined by a merge: not each batch's work, and nobody holds it whole."""
     submissions = orders.select(F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("packet_id"),
                                 F.col("o_orderdate").cast("timestamp").alias("submitted_at"))
     decisions = lineitem.select(F.col("l_orderkey").alias("submission_id"), F.element_at(cat.literal_map(DECISION_OF), F.col("l_returnflag")).alias("decision"),
                                 F.col("l_shipdate").cast("timestamp").alias("decided_at"))
     decided = activity.decided_submissions(submissions, decisions, "submission_id")
-    found = decided.join(scan.scan(packets).select("packet_id", "detected"), "packet_id")
+    scanned = written(scan.scan(packets).select("packet_id", "detected"), "scanned-packets")
+    found = decided.join(scanned.hint("merge"), "packet_id")
     return activity.violation_counts(found, "decided_at", "30 days", "decision")
 
 

@@ -1,8 +1,10 @@
 """What a task holds doesn't grow with the tables."""
 
+import datetime
+
 import pytest
 
-from govaudit.plans import reviews
+from govaudit.plans import reviews, streams
 from govaudit.sources import bridge
 
 
@@ -32,3 +34,13 @@ def test_packets_are_dealt_over_tasks(spark, tables, customers):
 def test_planned_logs_are_dealt_by_their_number(spark, tables, name):
     plan = getattr(reviews, name)(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [episode_id" in plan and "], 3" in plan
+
+
+def test_packets_are_scanned_before_the_stream(spark, customers):
+    day = datetime.datetime(2024, 1, 1)
+    orders = spark.createDataFrame([(1, 3, day)], "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP")
+    lines = spark.createDataFrame([(1, "R", day)], "l_orderkey BIGINT, l_returnflag STRING, l_shipdate TIMESTAMP")
+    found = streams.decided_violations(orders, lines, bridge.packets_from(customers.limit(9)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "logging" not in plan and "strategy=merge" in plan
+    assert {(r.code, r.decision, r.n_violations) for r in found.collect()} == {("PII-001", "reject", 1), ("ACCESS-002", "reject", 1)}
