@@ -72,6 +72,9 @@ _LOG = ("SELECT episode_id, seq, CAST(step AS BIGINT) AS step, action_type, "
         "coalesce(nullif(target, ''), nullif(issue_code, ''), '') AS detail, round(reward, 3) AS reward, reason FROM {0}")
 
 
+_LOGGED = ["episode_id", "seq", "step", "action_type", "target", "issue_code", "reward", "reason", "terminal"]
+
+
 def _log(steps: DataFrame) -> DataFrame:
     return replay.reward_log(steps).withColumn("step", F.col("step").cast("bigint"))
 
@@ -79,14 +82,14 @@ def _log(steps: DataFrame) -> DataFrame:
 @query(sql.query(_LOG.format("steps"), "steps"))
 def reward_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions, assigned = _inputs(spark, sf_dir)
-    steps = cut_lineage(replay.replay(actions, assigned))  # used twice
+    steps = cut_lineage(replay.replay(actions, assigned).select(_LOGGED))  # used twice
     return _log(replay.with_exact_steps(steps, replay.episode_lengths(actions, steps)))
 
 
 @query(sql.query(_LOG.format("short"), "actions", "assigned", extra={"short": sql.replayed(12)}))
 def reward_log_with_short_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions, assigned = _inputs(spark, sf_dir)
-    steps = cut_lineage(replay.replay(actions, assigned, max_steps=12))
+    steps = cut_lineage(replay.replay(actions, assigned, max_steps=12).select(_LOGGED))
     return _log(replay.with_exact_steps(steps, replay.episode_lengths(actions, steps)))
 
 
@@ -99,7 +102,8 @@ def reward_log_with_short_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     "actions", "steps"))
 def every_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions, assigned = _inputs(spark, sf_dir)
-    fates = replay.every_action(actions, cut_lineage(replay.replay(actions, assigned)))
+    steps = replay.replay(actions, assigned).select("episode_id", "seq", "reward", "terminal")  # the windows carry and the checkpoint keeps no more
+    fates = replay.every_action(actions, cut_lineage(steps))
     return fates.select("episode_id", "seq", "status", *rounded("reward"))
 
 

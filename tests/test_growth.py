@@ -36,6 +36,15 @@ def test_planned_logs_are_dealt_by_their_number(spark, tables, name):
     assert "RepartitionByExpression [episode_id" in plan and "], 3" in plan
 
 
+def test_a_checkpoint_of_steps_keeps_what_is_used(spark, sf_dir, monkeypatch):
+    kept = []
+    monkeypatch.setattr(reviews, "cut_lineage", lambda df: kept.append(df.columns) or df)
+    for query in (reviews.every_action, reviews.reward_log, reviews.reward_log_with_short_limit):
+        query(spark, sf_dir)
+    assert len(kept) == 3 and not {"raw", "note", "artifact_names", "inspected", "parts"} & {c for columns in kept for c in columns}
+    assert "reason" not in kept[0]
+
+
 def test_packets_are_scanned_before_the_stream(spark, customers):
     day = datetime.datetime(2024, 1, 1)
     orders = spark.createDataFrame([(1, 3, day)], "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP")
