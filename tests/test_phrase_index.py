@@ -63,3 +63,16 @@ def test_plan_reads_texts_once_and_has_no_python(spark, rules):
     plan = phrase_index.phrase_hits(rows, rules, ["id"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert plan.count("lower(") == 0  # texts were cut into words when the index was written
+
+
+def test_what_is_kept_does_not_multiply_rules_by_words(spark, monkeypatch):
+    """All first words end in a letter that ends all words of the corpus."""
+    corpus = [f"w{i}a" for i in range(300)]
+    vocabulary = spark.createDataFrame([(w, 5) for w in corpus] + [(f"x{i}", 1) for i in range(40)], "word STRING, n BIGINT")
+    rules = spark.createDataFrame([(f"r{i}", f"a x{i}") for i in range(40)], "rule_id STRING, phrase STRING")
+    rows = []
+    monkeypatch.setattr(phrase_index, "written", lambda df, name: rows.append(df.count()) or df)
+    found = phrase_index.anchors(vocabulary, rules).collect()
+    begun = {(f"r{i}", f"x{j}") for i in range(40) for j in range(40) if f"x{j}".startswith(f"x{i}")}
+    assert {(r.rule_id, r.word) for r in found} == begun and {r.k for r in found} == {1}
+    assert max(rows) <= 100
