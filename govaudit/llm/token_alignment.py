@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ from govaudit.llm.subwords import byte_letters, stretch_starts
 from govaudit.session import ship_package
 
 CHUNK, REMEMBERED, LEARNED = 1 << 20, 300_000, 4096  # bytes of text aligned at a time; stretches that a worker remembers, and aligns at a time
+TOGETHER = 64  # stretches that A encodes as one text, at most
 LINK = np.dtype([("a", "<u4"), ("b", "<u4")])
 
 
@@ -62,6 +64,30 @@ def overlaps(a_starts: np.ndarray, a_ends: np.ndarray, b_starts: np.ndarray, b_e
     return np.repeat(np.arange(len(a_starts)), n), spread(n, low)
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each list has."""
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
+
+
+def _joined(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens' bytes, one after the other, and each one's start and length."""
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def _spells(ids: np.ndarray, n: np.ndarray, side: tuple[np.ndarray, np.ndarray, np.ndarray], raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each stretch's tokens (n of ``ids``) spell its bytes (sizes of ``raw``)."""
+    data, starts, lengths = side
+    running = np.append(0, np.cumsum(lengths[ids]))
+    same = np.diff(running[np.append(0, np.cumsum(n))]) == sizes
+    mine = ids[np.repeat(same, n)]
+    wrong = data[spread(lengths[mine], starts[mine])] != raw[np.repeat(same, sizes)]
+    running = np.append(0, np.cumsum(wrong))
+    same[same] = np.diff(running[np.append(0, np.cumsum(sizes[same]))]) == 0
+    return same
+
+
 class Aligner:
     """Two tokenizer files: A for the tokenizers library (byte-level), B for sentencepiece (byte fallback, space in front)."""
 
@@ -79,6 +105,9 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
+        self.sides = [_joined(self.a_bytes), _joined(self.b_bytes)]
+        # a token of the groups' text by its number: A's ids, then B's, each before another token of its side and as the last of its group
+        self.written = [f"{i}{x}" for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")) for i in range(n) for x in (",", last)]
         #: No piece has a space behind other characters, so no token crosses a cut.
         self.cuttable = not any("▁" in x.lstrip("▁") for x in pieces)
         self.known: dict[bytes, int] = {}
@@ -87,21 +116,36 @@ class Aligner:
     def clear(self) -> None:
         """Forgets all stretches."""
         self.known.clear()
-        self.facts: list[tuple] = []  # n_a, n_b, n_groups, the groups' text, links; None for stretches that don't come back
+        self.counts = np.zeros((1 << 12, 3), dtype=np.int64)  # n_a, n_b, n_groups of a stretch; n_a is -1 for one that doesn't come back
+        self.texts: list[str] = []  # its groups
+        self.links: list[bytes] = []
+
+    def _a_ids(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all stretches and how many each has. Neighbours are encoded together, as they might stand in a text:
+        a cut is before a space that follows no white space."""
+        apart = np.array([k % TOGETHER == 0 or x[-1].isspace() for k, x in enumerate(["  ", *texts[:-1]])])
+        edges = [*np.flatnonzero(apart).tolist(), len(texts)]
+        found = self.a.encode_batch_fast(["".join(texts[x:y]) for x, y in zip(edges, edges[1:])], add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(e.ids for e in found), np.int64)
+        ends, goals = np.cumsum(self.sides[0][2][flat]), np.cumsum(sizes)
+        bounds = np.searchsorted(ends, goals, "right")
+        if len(flat) and bounds[0] and bounds[-1] == len(flat) and (ends[bounds - 1] == goals).all():
+            return flat, np.diff(bounds, prepend=0)
+        return _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
 
     def learn(self, stretches: list[bytes]) -> None:
         """Aligns new stretches, all at once. Each begins with a space."""
         texts = [x.decode("utf-8", "replace") for x in stretches]
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        raw, sizes = np.frombuffer(b"".join(stretches), np.uint8), np.fromiter(map(len, stretches), np.int64, len(stretches))
         b = self.b.encode([x[1:] for x in texts], num_threads=1)
         b = [q if len(x) > 1 else [self.b.piece_to_id("▁")] for x, q in zip(texts, b)]  # a space at a text's end
-        whole = [x == b"".join([self.a_bytes[i] for i in p]) == b"".join([self.b_bytes[i] for i in q]) for x, p, q in zip(stretches, a, b)]
-        fine = [k for k, ok in enumerate(whole) if ok]
+        coded = [self._a_ids(texts, sizes), _flat(b)]
+        whole = np.logical_and(*[_spells(ids, n, side, raw, sizes) for (ids, n), side in zip(coded, self.sides)])
         sides = []
-        for ids, raw in ((a, self.a_bytes), (b, self.b_bytes)):
-            flat = np.array([i for k in fine for i in ids[k]], dtype=np.int64)
-            ends = np.cumsum(np.array([len(raw[i]) for k in fine for i in ids[k]], dtype=np.int64))
-            sides.append((flat, np.append(0, ends[:-1]) if len(ends) else ends, ends, np.append(0, np.cumsum([len(ids[k]) for k in fine])).astype(np.int64)))
+        for (ids, n), (_, _, lengths) in zip(coded, self.sides):
+            ids, n = ids[np.repeat(whole, n)], n[whole]
+            ends = np.cumsum(lengths[ids])
+            sides.append((ids, ends - lengths[ids], ends, np.append(0, np.cumsum(n))))
         (a_ids, a_starts, a_ends, a_bounds), (b_ids, b_starts, b_ends, b_bounds) = sides
         starts, ends = np.concatenate([a_starts, b_starts]), np.concatenate([a_ends, b_ends])
         order, group = coalesce(starts, ends)
@@ -112,28 +156,24 @@ class Aligner:
         left, right = left[together], right[together]
         links = np.empty(len(left), dtype=LINK)
         links["a"], links["b"] = a_ids[left], b_ids[right]
-        a_texts, b_texts = (self._groups(ids, group_of[x]) for ids, x in ((a_ids, slice(0, len(a_ids))), (b_ids, slice(len(a_ids), None))))
-        joined = [p + "|" + q for p, q in zip(a_texts, b_texts, strict=True)]
-        at = group_of[a_bounds[:-1]] if fine else np.zeros(0, np.int64)  # each stretch's first group
-        group_bounds = np.append(at, len(joined)).tolist()
-        link_bounds = np.searchsorted(left, a_bounds).tolist()
-        facts = iter(range(len(fine)))
-        for x, ok in zip(stretches, whole):
-            self.known[x] = len(self.facts)
-            if not ok:
-                self.facts.append(None)
-                continue
-            k = next(facts)
-            g, h = group_bounds[k], group_bounds[k + 1]
-            self.facts.append((int(a_bounds[k + 1] - a_bounds[k]), int(b_bounds[k + 1] - b_bounds[k]), h - g, ";".join(joined[g:h]),
-                               links[link_bounds[k]: link_bounds[k + 1]].tobytes()))
-
-    @staticmethod
-    def _groups(ids: np.ndarray, group: np.ndarray) -> list[str]:
-        """Each group's ids, with commas."""
-        names = list(map(str, ids.tolist()))
-        edges = np.append(np.flatnonzero(np.append(True, np.diff(group) > 0)), len(ids)).tolist() if len(ids) else []
-        return [names[s] if e == s + 1 else ",".join(names[s:e]) for s, e in zip(edges, edges[1:])]
+        links, link_bounds = links.tobytes(), (np.searchsorted(left, a_bounds) * LINK.itemsize).tolist()
+        last = np.concatenate([np.diff(x, append=-1) != 0 for x in (group_of[: len(a_ids)], group_of[len(a_ids):])])
+        tokens = (np.concatenate([a_ids, b_ids + len(self.a_bytes)]) * 2 + last)[np.argsort(group_of, kind="stable")]  # by group, A's before B's
+        written = list(map(self.written.__getitem__, tokens.tolist()))
+        bounds = (a_bounds + b_bounds).tolist()
+        firsts = np.append(group_of[a_bounds[:-1]], group[-1] + 1 if len(group) else 0)  # each stretch's first group
+        at = len(self.texts)
+        while at + len(stretches) > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+        new = self.counts[at: at + len(stretches)]
+        new[:] = (-1, 0, 0)
+        new[whole] = np.stack([np.diff(a_bounds), np.diff(b_bounds), np.diff(firsts)], axis=1)
+        which = iter(range(len(bounds)))
+        for k, (x, ok) in enumerate(zip(stretches, whole.tolist())):
+            self.known[x] = at + k
+            j = next(which) if ok else None
+            self.texts.append("".join(written[bounds[j]: bounds[j + 1]])[:-1] if ok else "")
+            self.links.append(links[link_bounds[j]: link_bounds[j + 1]] if ok else b"")
 
     def align(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
         """(n_a, n_b, n_groups, groups, links) per text; zeros and empty where a text has no tokens."""
@@ -153,25 +193,27 @@ class Aligner:
         column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(spaced.tobytes())])
         coded = column.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.facts) > REMEMBERED:
+        if len(self.texts) > REMEMBERED:
             self.clear()
         new = [x for x in distinct if x not in self.known]
         for k in range(0, len(new), LEARNED):
             self.learn(new[k: k + LEARNED])
-        facts = [self.facts[self.known[x]] for x in distinct]
+        numbers = list(map(self.known.__getitem__, distinct))
+        texts, links = (list(map(x.__getitem__, numbers)) for x in (self.texts, self.links))
         which = coded.indices.to_numpy()
         first = np.searchsorted(starts, bounds)
-        counts = np.array([x[:3] if x else (0, 0, 0) for x in facts], dtype=np.int64).reshape(-1, 3)
-        totals = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(counts[which], axis=0)])
+        counts = self.counts[np.array(numbers, dtype=np.int64)]
+        counts = np.concatenate([counts, counts[:, :1] < 0], axis=1)
+        totals = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[which], axis=0)])
         totals = (totals[first[1:]] - totals[first[:-1]]).tolist()
         out = []
         which, first = which.tolist(), first.tolist()
         for k in range(n):
-            mine = [facts[x] for x in which[first[k]: first[k + 1]]]
-            if not mine or None in mine:
+            mine = which[first[k]: first[k + 1]]
+            if not mine or totals[k][3]:  # a stretch that doesn't come back
                 out.append((0, 0, 0, "", b""))
             else:
-                out.append((*totals[k], ";".join([x[3] for x in mine]), b"".join([x[4] for x in mine])))
+                out.append((*totals[k][:3], ";".join(map(texts.__getitem__, mine)), b"".join(map(links.__getitem__, mine))))
         return out
 
 

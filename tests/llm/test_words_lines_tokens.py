@@ -188,6 +188,24 @@ def test_forgotten_stretches_come_back():
     assert aligner.align(data, offsets) == first == aligner.align(data, offsets)
 
 
+def test_stretches_are_encoded_together(monkeypatch):
+    """A gets neighbouring stretches as one text, those after white space alone; all is as for each stretch by itself."""
+    stretches = [f" w{k}{'ation' * (k % 3)}".encode() for k in range(500)] + [" ", "  lead", " x\u3000", " y\n", " z'", " 's", " é😀", " \x1c", " end\x85", " 日本"]
+    stretches = [x if isinstance(x, bytes) else x.encode() for x in stretches]
+    aligner, alone, seen = token_alignment.Aligner(BYTE_BPE, PIECES), token_alignment.Aligner(BYTE_BPE, PIECES), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            seen.append(len(texts))
+            return inner.encode_batch_fast(texts, **more)
+
+    inner, aligner.a = aligner.a, Counted()
+    data, offsets = np.frombuffer(b"".join(x[1:] for x in stretches), np.uint8), np.append(0, np.cumsum([len(x) - 1 for x in stretches]))
+    together = aligner.align(data, offsets)
+    assert together == [alone.align(np.frombuffer(x[1:], np.uint8), np.array([0, len(x) - 1]))[0] for x in stretches]
+    assert sum(seen) < 50
+
+
 def test_intervals_coalesce():
     """Groups and overlaps of random tilings, against their definitions."""
     rng = np.random.default_rng(4)
