@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from govaudit.operators import weakness
 from govaudit.operators.folds import MonotoneFold, ordered_pieces
-from govaudit.session import cut_lineage, new_path
+from govaudit.session import new_path, written
 from govaudit.streaming.files import _file_system, children, remove, run_batches
 
 SUMMARY = "n BIGINT, hits BIGINT, items ARRAY<INT>, base BIGINT, cuts ARRAY<BIGINT>"
@@ -74,9 +74,14 @@ class SummaryTree:
             remove(self.spark, f"{folder}/version={batch}")
             for old in sorted(self._versions(folder, batch))[:-1]:
                 remove(self.spark, f"{folder}/version={old}")
-        (df.withColumn("version", F.lit(batch)).repartition("node", "bucket")
+        # a folder's rows meet in a task, or in several where they are many
+        (df.withColumn("version", F.lit(batch)).hint("rebalance", "node", "bucket")
          .write.mode("append").partitionBy("node", "bucket", "version").parquet(f"{self.path}/{part}"))
 
+    def _written(self, part: str, folders: list[tuple[int, int]], schema: StructType, batch: int) -> DataFrame:
+        """What a batch has written to some folders."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{part}/node={node}/bucket={bucket}/version={batch}" for node, bucket in folders])
+
     def _bucket(self) -> Column:
         return F.pmod(F.hash(*self.group), F.lit(self.buckets))
 
@@ -98,32 +103,34 @@ class SummaryTree:
         return self.fold.combined(summaries, self.group, self.bits).join(hits, [*self.group, "piece"])
 
     def add(self, rows: DataFrame, leaf: Column, batch: int) -> None:
-        """Adds a batch's rows, in any order."""
+        """Adds a batch's rows, in any order. They are read three times, twice only their groups and leaves."""
         self.read_bytes = 0
         names = self.rows.names
         top = (1 << self.bits * self.levels) - 1
-        placed = cut_lineage(rows.select(*names, F.greatest(F.lit(0), F.least(F.lit(top), leaf.cast("bigint"))).alias("node"), self._bucket().alias("bucket")))
-        folders = self._folders(placed)
+        placed = rows.select(*names, F.greatest(F.lit(0), F.least(F.lit(top), leaf.cast("bigint"))).alias("leaf"))
+        folders = self._folders(placed.withColumn("node", F.col("leaf")).withColumn("bucket", self._bucket()))
         if not folders:
             return
         # the leaves' rows with those of the batch; other groups of a bucket go along
         numbered = StructType.fromDDL(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.rows) + ", leaf BIGINT")
-        before = self._read("rows", folders, numbered, batch).withColumnRenamed("leaf", "node").withColumn("bucket", self._bucket())
-        every = cut_lineage(before.select(*placed.columns).unionByName(placed))
-        self._write("rows", every.withColumn("leaf", F.col("node")), folders, batch)
-        touched = placed.select(*self.group, "node").distinct()
-        fresh = cut_lineage(self._leaves(every.join(touched, [*self.group, "node"], "left_semi")).select(self.summaries.names))
+        before = self._read("rows", folders, numbered, batch)
+        every = before.unionByName(placed).select(numbered.names)
+        self._write("rows", every.withColumn("node", F.col("leaf")).withColumn("bucket", self._bucket()), folders, batch)
+        every = self._written("rows", folders, numbered, batch).withColumnRenamed("leaf", "node")
+        if self.read_bytes:  # else the folders hold the batch's rows alone
+            touched = placed.select(*self.group, F.col("leaf").alias("node")).distinct()
+            every = every.join(touched, [*self.group, "node"], "left_semi")
+        fresh = written(self._leaves(every).select(self.summaries.names), "leaves")
         for level in range(self.levels + 1):
-            mine = fresh.withColumn("node", F.shiftright("piece", self.bits)).withColumn("bucket", self._bucket())
-            folders = self._folders(mine)
-            held = self._read(f"level={level}", folders, self.summaries, batch)
-            kept = held.join(fresh.select(*self.group, "piece"), [*self.group, "piece"], "left_anti").select(self.summaries.names)
-            now = cut_lineage(kept.unionByName(fresh))
-            self._write(f"level={level}", now.withColumn("node", F.shiftright("piece", self.bits)).withColumn("bucket", self._bucket()), folders, batch)
+            part = f"level={level}"
+            folders = self._folders(fresh.withColumn("node", F.shiftright("piece", self.bits)).withColumn("bucket", self._bucket()))
+            held = self._read(part, folders, self.summaries, batch)
+            now = held.join(fresh.select(*self.group, "piece"), [*self.group, "piece"], "left_anti").select(self.summaries.names).unionByName(fresh)
+            self._write(part, now.withColumn("node", F.shiftright("piece", self.bits)).withColumn("bucket", self._bucket()), folders, batch)
             if level < self.levels:
-                changed = now.withColumn("_up", F.shiftright("piece", self.bits)).join(
+                changed = self._written(part, folders, self.summaries, batch).withColumn("_up", F.shiftright("piece", self.bits)).join(
                     fresh.select(*self.group, F.shiftright("piece", self.bits).alias("_up")).distinct(), [*self.group, "_up"], "left_semi").drop("_up")
-                fresh = cut_lineage(self._parents(changed).select(self.summaries.names))
+                fresh = written(self._parents(changed).select(self.summaries.names), "parents")
 
     def state(self) -> DataFrame:
         """group..., n, hits, state: from the roots alone."""

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from govaudit.operators import weakness
+from govaudit.streaming import summary_tree
 from govaudit.streaming.summary_tree import SummaryTree
 
 ROWS = "agent BIGINT, code STRING, n BIGINT, missed INT"
@@ -54,3 +55,17 @@ def test_a_late_row_reads_one_leaf_and_its_ancestors(spark, tmp_path):
         read[leaves] = mine.read_bytes
         assert states(mine.state()) == batch_states(spark, [*rows, (1, "a", 45, 1)])
     assert 0 < read[64] < 1.3 * read[8]
+
+
+def test_a_batch_copies_no_rows(spark, tmp_path, monkeypatch):
+    """Rows are written to their leaves alone; what is kept on the way are summaries."""
+    rng, copied, frame = random.Random(4), [], type(spark.range(1))
+    rows = [(n % 3, "a", n, rng.randint(0, 1)) for n in range(3000)]
+    checkpoint, write = frame.checkpoint, getattr(summary_tree, "written", None)
+    monkeypatch.setattr(frame, "checkpoint", lambda df, *more: copied.append(df.count()) or checkpoint(df, *more))
+    monkeypatch.setattr(summary_tree, "written", lambda df, name: copied.append(df.count()) or write(df, name), raising=False)
+    mine = tree(spark, tmp_path, bits=1, levels=3, buckets=2)
+    for number in range(2):
+        mine.add(spark.createDataFrame(rows[number::2], ROWS), F.expr("n DIV 500"), number)
+    assert copied and sum(copied) < 300
+    assert states(mine.state()) == batch_states(spark, rows)
