@@ -306,6 +306,30 @@ def test_one_pass_gains_no_less_than_two_did(spark):
     assert sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows) > 0.09
 
 
+def test_every_place_asks_for_itself():
+    """The network equals a plain pass: each place's own query over itself and the places before it, a softmax over all classes."""
+    lm, rng = attention_lm, np.random.default_rng(2)
+    w = [(3 * x).astype(np.float64) for x in lm.Network.start(np.full(lm.CLASSES, 1 / lm.CLASSES))]
+    classes, own = rng.integers(0, lm.CLASSES + 1, (2, 12)), rng.integers(0, lm.OWN + 1, (2, 12))
+    got, = lm.Network.forward(w, classes, own)
+    for n in range(2):
+        x = w[0][classes[n]] + w[1][own[n]] + w[2][:12]
+        for t in range(12):
+            e = np.exp(np.array([(x[t] @ w[3]) @ (x[j] @ w[4]) for j in range(t + 1)]) * lm.WIDTH**-0.5)
+            z = (x[t] + (e / e.sum()) @ (x[: t + 1] @ w[5]) @ w[6]) @ w[7] + w[8]
+            assert np.allclose(got[n, t], z - np.log(np.exp(z).sum()), atol=1e-6)
+
+
+def test_counts_take_no_training_away(spark, monkeypatch):
+    """All training windows go through the network in each of two passes, after the common start."""
+    docs = spark.createDataFrame([(k, f"w{k * 7 % 40} of the x{k}") for k in range(60)], "doc_id long, text string").repartition(4, "doc_id")
+    learn, rows = attention_lm._learn, []
+    monkeypatch.setattr(attention_lm, "_learn", lambda model, learned, rate: rows.append(sum(len(r.sizes) for r in learned.collect())) or learn(model, learned, rate))
+    attention_lm.score_documents(docs, BYTE_BPE).count()
+    assert rows[1:] == [sum(attention_lm.trained_on(k) for k in range(60))] * 2 and 0 < rows[0] <= rows[1]
+    assert attention_lm.WIDTH == 16 and len(attention_lm._seen(attention_lm.CONTEXT, 64)) == 64 - attention_lm.CONTEXT
+
+
 def test_windows_score_each_place_once():
     for n in (1, 2, 31, 32, 33, 56, 57, 500):
         _, start = attention_lm.windows(np.array([n]))
