@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from govaudit.functions.text import asserted_occurrences, occurrences
 from govaudit.operators import phrase_index
+from govaudit.plans import packets
 
 NEGATORS = ["no", "not", "never"]
 WORDS = ["no", "not", "never,", "data", "database", "metadata", "raw", "log", "log.", "\"log\"", "Raw", "É", "é-x", "a\nb", "\t", "", "x.y*z", "(not)"]
@@ -76,3 +77,43 @@ def test_what_is_kept_does_not_multiply_rules_by_words(spark, monkeypatch):
     begun = {(f"r{i}", f"x{j}") for i in range(40) for j in range(40) if f"x{j}".startswith(f"x{i}")}
     assert {(r.rule_id, r.word) for r in found} == begun and {r.k for r in found} == {1}
     assert max(rows) <= 100
+
+
+def made_by_joins(df):
+    """The most rows that a join of the plan gave."""
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else [node.children().apply(k) for k in range(node.children().size())]
+        return max([node.metrics().apply("numOutputRows").value() if "Join" in name else 0, *map(walk, below)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_frequent_words_of_many_phrases(spark):
+    """400 phrases share 40 words; the index's rows follow the occurrences, not places times phrases."""
+    rng = random.Random(3)
+    pairs = [f"alpha{i} beta{j}" for i in range(20) for j in range(20)]
+    texts = [(k, " ".join(rng.choice(pairs) for _ in range(20))) for k in range(100)]
+    rules = spark.createDataFrame([(p, p) for p in pairs], "rule_id string, phrase string")
+    hits = phrase_index.phrase_hits(spark.createDataFrame(texts, "id long, text string"), rules, ["id"])
+    assert hits.agg(F.sum("n_found")).first()[0] >= 2000  # a beginning such as 'beta1' is also one of 'beta10'
+    assert made_by_joins(hits) < 8000
+
+
+def test_a_phrase_of_many_texts_that_is_the_rule_of_many(spark, tmp_path):
+    words = [f"w{k}{'abcdefg'[k % 7]}xyzq" for k in range(30)]
+    spark.createDataFrame([(k, " ".join(words)) for k in range(60)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = packets.phrase_registry(spark, str(tmp_path))
+    rows = found.collect()
+    assert len(rows) > 300 and all((r.n_texts, r.n_found) == (60, 60) for r in rows)
+    phrases = {" ".join(words[(d * 13 + j * 17) % 30:][: 1 + j % 3]) for d in range(60) for j in range(10)}
+    assert made_by_joins(found) <= 60 * len(phrases)
+
+
+def test_the_sieve_stops_most_and_loses_none(spark):
+    keys = spark.range(3000).selectExpr("CAST(id AS STRING) AS a", "CAST(id % 7 AS INT) AS b")
+    through = phrase_index.sieve(keys, "a, b")
+    assert phrase_index.sifted(keys, "a, b", through).count() == 3000
+    assert phrase_index.sifted(spark.range(3000, 33000).selectExpr("CAST(id AS STRING) AS a", "CAST(id % 7 AS INT) AS b"), "a, b", through).count() < 1500
