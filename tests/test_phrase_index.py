@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from govaudit.functions.text import asserted_occurrences, occurrences
+from govaudit.functions.text import asserted_occurrences, free_of_negators, no_negator_in, occurrences
 from govaudit.operators import phrase_index
 from govaudit.plans import packets
 
@@ -117,3 +117,12 @@ def test_the_sieve_stops_most_and_loses_none(spark):
     through = phrase_index.sieve(keys, "a, b")
     assert phrase_index.sifted(keys, "a, b", through).count() == 3000
     assert phrase_index.sifted(spark.range(3000, 33000).selectExpr("CAST(id AS STRING) AS a", "CAST(id % 7 AS INT) AS b"), "a, b", through).count() < 1500
+
+
+def test_negators_by_one_expression(spark):
+    rng = random.Random(5)
+    pieces = ["no", "not", "never", "no,", "(not)", "know", "nono", "x", "é", " ", "  ", "\t", "\n", "\u00a0", "\u3000", ".", "'", "no.t", ""]
+    rows = spark.createDataFrame([("".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(0, 14))),) for _ in range(3000)], "b string")
+    for negators in (["no", "not", "never"], ["no.t", "é"], ["", "no"], ["<li><a", "x"]):
+        got = rows.select(F.expr(no_negator_in("b", negators)).alias("x"), F.expr(free_of_negators("b", negators)).alias("y")).collect()
+        assert all(r.x == r.y for r in got) and sum(r.x for r in got)
